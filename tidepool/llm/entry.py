@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
+from .token_output import op7_token_output
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_bpe": op4_bpe,
+    "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
     "op10_preference_format": op10_preference_format,
 }
