@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
+from .simhash import op6_simhash
 from .token_output import op7_token_output
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
     "op10_preference_format": op10_preference_format,
