@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, join_side, settle, table
+from .vectors import groups, parts
 
 FAN = 16
 
@@ -137,9 +138,9 @@ def links(classes: DataFrame, most: int = 4, hot: int = 4096) -> DataFrame:
     """
     blocks = most + 2
     edge = [64 * i // blocks for i in range(blocks + 1)]
-    part = [((1 << edge[i + 1]) - (1 << edge[i])) for i in range(blocks)]
+    block = [((1 << edge[i + 1]) - (1 << edge[i])) for i in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(part[i] | part[j]) for i, j in combinations(range(blocks), 2)]
+    masks = [signed(block[i] | block[j]) for i, j in combinations(range(blocks), 2)]
     keys = F.array(*[F.struct(F.lit(n).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(masks)])
     rows = settle(classes.select("fp", "node", F.explode(keys).alias("k")).select("fp", "node", "k.combo", "k.key"))
     size = rows.groupBy("combo", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -149,12 +150,11 @@ def links(classes: DataFrame, most: int = 4, hot: int = 4096) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), slices - 1))
     rows = rows.select("fp", "node", "combo", "key", own.alias("own"), other.alias("other"))
     rows = rows.select("fp", "node", "combo", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "combo", "key", "i", "j").sortWithinPartitions("combo", "key", "i", "j")
+    dealt = rows.repartition(parts(rows), "combo", "key", "i", "j").sortWithinPartitions("combo", "key", "i", "j")
     names = ["combo", "key", "i", "j"]
 
     def run(batches):
-        for keys, fp, node, own in _groups(batches, names, ["fp", "node", "own"]):
+        for keys, fp, node, own in groups(batches, names, ["fp", "node", "own"]):
             fps = fp.view(np.uint64)
             left = own == keys[2] if keys[2] != keys[3] else None
             found = forest(fps, most, left)
@@ -165,30 +165,6 @@ def links(classes: DataFrame, most: int = 4, hot: int = 4096) -> DataFrame:
     return dealt.select(*names, "fp", "node", "own").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches, keys: list[str], columns: list[str]):
-    """Runs of equal keys of a sorted partition: (key values, an array for each column); a run may go over several batches."""
-    held: list = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        get = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-        k, v = [get(c) for c in keys], [get(c) for c in columns]
-        new = np.zeros(batch.num_rows, bool)
-        for c in k:
-            new[1:] |= c[1:] != c[:-1]
-        at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for s, e in zip(at, at[1:]):
-            key = tuple(c[s].item() for c in k)
-            if key != last and held:
-                yield (last, *(np.concatenate(x) for x in zip(*held)))
-                held = []
-            last = key
-            held.append([c[s:e] for c in v])
-    if held:
-        yield (last, *(np.concatenate(x) for x in zip(*held)))
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable by links of at most ``most`` differing bits) for each row.
 
