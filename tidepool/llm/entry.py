@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .learned_ann import op1_learned_ann
 from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
+from .projection_dedup import op9_projection_dedup
 from .simhash import op6_simhash
 from .token_output import op7_token_output
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op1_learned_ann": op1_learned_ann,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
+    "op9_projection_dedup": op9_projection_dedup,
     "op10_preference_format": op10_preference_format,
 }
 SQL = {"op8_url_filter": OP8_SQL, "op10_preference_format": OP10_SQL}

@@ -85,7 +85,7 @@ class Router:
         return np.argsort(-self.scores(x), axis=1, kind="stable")[:, : self.probes]
 
 
-def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: int = 30, seed: int = 1) -> Router:
+def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 64, epochs: int = 8, seed: int = 1) -> Router:
     """Softmax regression through one hidden layer on target distributions, by Adam."""
     rng = np.random.default_rng(seed)
     scale = 1 / max(float(np.sqrt((x**2).mean())), 1e-300)
@@ -113,7 +113,7 @@ def fit_router(sample: np.ndarray, depth: int, k: int, recall: float, seed: int
     """Cut the sample's graph, train on four fifths of it, and set the number of probes by the recall for the other fifth."""
     held = np.arange(len(sample)) % 5 == 4
     base, queries = sample[~held], sample[held]
-    lists = neighbour_lists(base, base, min(10, len(base) - 1), same=True)
+    lists = neighbour_lists(base, base, min(20, len(base) - 1), same=True)
     part = balanced_partition(lists, depth, seed)
     target = np.zeros((len(base), 1 << depth))
     np.add.at(target, (np.arange(len(base)), part), 1.0)
@@ -128,7 +128,7 @@ def fit_router(sample: np.ndarray, depth: int, k: int, recall: float, seed: int
     return router
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 10_000, depth: int = 5, recall: float = 0.97, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 8000, depth: int = 5, recall: float = 0.94, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products (double precision) for each row of vectors(vec_id, embedding) with ``is_query``.
 
     The router is fitted on at most ``sample`` different vectors (those with the smallest hashes), in 2**depth parts;
