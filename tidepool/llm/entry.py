@@ -8,11 +8,13 @@ from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
 from .projection_dedup import op9_projection_dedup
 from .simhash import op6_simhash
+from .toxicity import op2_toxicity
 from .token_output import op7_token_output
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_learned_ann": op1_learned_ann,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
