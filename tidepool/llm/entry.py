@@ -8,6 +8,7 @@ from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
 from .projection_dedup import op9_projection_dedup
 from .simhash import op6_simhash
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 from .token_output import op7_token_output
 from .url_filter import OP8_SQL, op8_url_filter
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op8_url_filter": op8_url_filter,
