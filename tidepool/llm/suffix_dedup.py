@@ -31,8 +31,9 @@ from .common import join_side, settle, table
 from .vectors import groups, parts
 
 LENGTH, PREFIX = 200, 32
-PIECE = 2 << 20  # bytes that are hashed at once
-RUN = 400_000  # anchors that are sorted at once
+PIECE = 1 << 19  # bytes that are hashed at once
+RUN = 150_000  # anchors that are sorted at once
+ROWS = 64  # texts that are taken out of an Arrow batch at once
 U = np.uint64
 
 
@@ -106,7 +107,6 @@ def pieces(batches, column: int = 0):
     """Texts of Arrow batches (null: empty) in buffers of about PIECE bytes: (buffer, starts, stops, row numbers in the
     batch, offsets in the texts, batch). Longer texts come in chunks that overlap so that no window is lost."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
         held: list[tuple[int, int, bytes]] = []
         size = 0
 
@@ -114,14 +114,15 @@ def pieces(batches, column: int = 0):
             ends = np.cumsum([0, *(len(x) for *_, x in held)])
             return np.frombuffer(b"".join(x for *_, x in held), np.uint8), ends[:-1], ends[1:], np.array([r for r, *_ in held]), np.array([o for _, o, _ in held]), batch
 
-        for row, text in enumerate(texts):
-            text = text or b""
-            for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-                held.append((row, at, text[at : at + PIECE + LENGTH - 1]))
-                size += len(held[-1][2])
-                if size >= PIECE:
-                    yield close()
-                    held, size = [], 0
+        for first in range(0, batch.num_rows, ROWS):
+            for row, text in enumerate(batch.column(column).slice(first, ROWS).cast(pa.binary()).to_pylist(), first):
+                text = text or b""
+                for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+                    held.append((row, at, text[at : at + PIECE + LENGTH - 1]))
+                    size += len(held[-1][2])
+                    if size >= PIECE:
+                        yield close()
+                        held, size = [], 0
         if held:
             yield close()
 
@@ -321,7 +322,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()]
             z = pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x in texts], pa.int64()), z], ["doc_id", "id", "dk", "size", "z"])
@@ -336,20 +337,31 @@ def run_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         codec = pa.Codec("zstd")
+        def made(rows):
+            types = [*[pa.int64()] * 9, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*KEY, *names, "t"])
+
+        rows = []
         for batch in batches:
             for i in range(batch.num_rows):
                 text = codec.decompress(batch.column(3)[i].as_py(), batch.column(2)[i].as_py(), asbytes=True)
-                runs = batch.column(4)[i].as_py()
-                cells = [pa.array([r[c] for r in runs], pa.int64()) for c in names]
-                same = [pa.array([batch.column(c)[i].as_py()] * len(runs), pa.int64()) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*same, *cells, pa.array([text[r["lo"] : r["lo"] + r["n"] + LENGTH] for r in runs], pa.binary())], [*KEY, *names, "t"])
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                rows += [(*key, *(r[c] for c in names), text[r["lo"] : r["lo"] + r["n"] + LENGTH]) for r in batch.column(4)[i].as_py()]
+                if len(rows) >= 1000:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
     joined = squeezed(docs).join(lists, KEY).select(*KEY, "size", "z", "runs")
     return joined.mapInArrow(run, ", ".join(f"{c} long" for c in [*KEY, *names]) + ", t binary")
 
 
-def windows_of(texts: list[bytes], counts: np.ndarray):
+def windows_of(texts: list[bytes], counts: np.ndarray, most: int = 1000):
     """For all windows of these runs: number of the run, place in it, two hashes."""
+    if len(texts) > most:
+        done = [windows_of(texts[i : i + most], counts[i : i + most]) for i in range(0, len(texts), most)]
+        return np.concatenate([x[0] + i * most for i, x in enumerate(done)]), *(np.concatenate(x) for x in list(zip(*done))[1:])
     buf = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.cumsum([0, *map(len, texts)])[:-1]
     total = int(counts.sum())
@@ -359,7 +371,7 @@ def windows_of(texts: list[bytes], counts: np.ndarray):
     return owner, place, *(r.of(r.sums(buf), at, at + LENGTH) for r in hashes())
 
 
-def common_windows(runs: DataFrame, most_rows: int = 20_000) -> DataFrame:
+def common_windows(runs: DataFrame, most_rows: int = 4000) -> DataFrame:
     """(id, dk, lo, n) of the windows that runs with m = 1 share with another run; runs of one kh are in one task.
 
     Equal windows have equal anchors, so all runs that could share one are here. Runs are told apart by th, so that a
@@ -464,7 +476,7 @@ def removal_digests(docs: DataFrame, hot: int = 8192) -> DataFrame:
 
     def run(batches):
         codec = pa.Codec("zstd")
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             got = []
             for size, z, spans in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 at = byte_spans(spans.as_py())
@@ -499,7 +511,7 @@ def remove_repeats(docs: DataFrame, hot: int = 8192) -> DataFrame:
         return without(raw, whole).decode()
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [cut(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(len(columns)))]
             cells = list(batch.columns[: len(columns)])
             cells[at] = pa.array(texts, pa.string())
