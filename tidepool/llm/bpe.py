@@ -22,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import few_rows, table
 from .tokens import split_added, vocabulary, vocabulary_path
 
 NEVER = 1 << 60
@@ -186,7 +186,7 @@ def _map(docs: DataFrame, path: str | None, schema: str, made, rows: int) -> Dat
                 columns = [part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*got), types[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return few_rows(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows(texts: DataFrame, most: int = 1000) -> DataFrame:
+    """texts as it is, once the session hands at most ``most`` rows to Python at once.
+
+    The usual 10,000 rows of long texts would take up hundreds of MB outside of an executor's heap.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= most:
+        conf.set(name, str(most))
+    return texts
+
+
 def join_side(df: DataFrame) -> DataFrame:
     """An aggregate that is about to be joined on its own key.
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import few_rows, settle, table
 from .tokens import encode, vocabulary, vocabulary_path
 
 WINDOW = 1024
@@ -37,7 +37,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 0, rows: int = 64)
                     ids = [np.append(x, x.dtype.type(end_id)) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return few_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_type(path: str) -> str:

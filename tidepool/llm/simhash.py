@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, join_side, settle, table
+from .common import components, few_rows, join_side, settle, table
 from .vectors import groups, parts
 
 FAN = 16
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     length are read whole; repeated rows each get a row; a row with null doc_id links nothing but gets the component of
     its fingerprint (null if no row has a doc_id); other columns are ignored; an empty table gives an empty result.
     """
-    fps = settle(fingerprints(docs, words))
+    fps = settle(fingerprints(few_rows(docs), words))
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(classes.filter("node is not null"), most))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_side, settle, table
+from .common import few_rows, join_side, settle, table
 from .vectors import groups, parts
 
 LENGTH, PREFIX = 200, 32
@@ -429,6 +429,7 @@ def common_windows_spread(runs: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, hot: int = 8192) -> DataFrame:
     """(id, dk, spans): for each document with repeated windows, an array of (first window, windows less one), unordered."""
+    docs = few_rows(docs)
     found = settle(all_anchors(docs).join(repeated_prefixes(docs), "kh"))
     mixed = found.filter("several")
     classes = settle(mixed.groupBy("kh", "th").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "lo", "off", "n")).alias("r")).select("kh", "th", "m", "r.*"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import few_rows, table
 from .packing import WINDOW
 from .tokens import encode, vocabulary_path
 
@@ -125,7 +125,7 @@ def packed_rows(docs: DataFrame, path: str | None = None, window: int = WINDOW,
         if pieces:
             yield from close(pieces)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return few_rows(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

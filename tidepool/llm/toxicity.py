@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import few_rows, settle, table
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"[^\W_]+").findall
@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     A document's toxic label is the largest it has; null labels are left out. Without labels of both kinds the model
     gives every text the share of toxic labels (0 without labels).
     """
+    docs = few_rows(docs)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold != 2")
     # a merge join at every size: broadcasting few labels would make small inputs no guide to large ones
@@ -242,7 +243,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
     Null and empty texts score as a text without toxic words; texts of any length are read whole; repeated rows are scored
     each; null doc_ids stay (held_out false); other columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = few_rows(docs).sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
 
     def run(batches):
@@ -260,7 +261,7 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = few_rows(docs).sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
