@@ -3,11 +3,13 @@
 ``with_index`` numbers the rows of each series in two levels: rows within a stretch of time, and stretches (one row each)
 among themselves. ``windowed`` evaluates frames that reach back a bounded number of rows in blocks of rows, each block
 with a copy of the rows just before it. ``cumulative`` sums within blocks and adds the totals of earlier blocks (one row
-each). All are lazy and exact; no window ranges over more than a block of rows, or over one row a block.
+each). These are lazy and exact; no window ranges over more than a block of rows, or over one row a block.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,6 +20,24 @@ INDEX = "_i"
 ROWS = 8192
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that driver and executors share, deleted when the application ends.
+
+    For what is read several times: indexes and running sums read their input twice, so plans of several steps would
+    otherwise double with each.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _stretch(df: DataFrame, order_col: str) -> Column:
     kind = df.schema[order_col].dataType
     if isinstance(kind, T.DateType):

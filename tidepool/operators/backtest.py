@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import INDEX, cumulative, windowed, with_index
+from ..functions.ordered import INDEX, cumulative, staged, windowed, with_index
 from .clean import log_prices
 from .hedge import estimate_hedge_ratio
 from .ou import fit_ou
@@ -54,7 +54,7 @@ def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str
     """
     v = F.col(pnl).cast("double")
     d = df.select(*partition_cols, order_col, F.when(~F.isnan(v), v).alias("_pnl")).filter("_pnl is not null")
-    d = cumulative(with_index(d, order_col, partition_cols), {"_equity": (F.col("_pnl"), "sum")}, partition_cols)
+    d = cumulative(staged(with_index(d, order_col, partition_cols)), {"_equity": (F.col("_pnl"), "sum")}, partition_cols)
     d = cumulative(d, {"_peak": (F.col("_equity"), "max")}, partition_cols)
     s = d.groupBy(*partition_cols).agg(
         F.coalesce(F.sum("_pnl"), F.lit(0.0)).alias("total_pnl"), F.avg("_pnl").alias("m"), F.stddev_samp("_pnl").alias("s"),
@@ -73,7 +73,7 @@ def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, s
     """
     if lag < 0:
         raise ValueError("lag must not be negative: it would look ahead")
-    d = with_index(df, order_col, partition_cols).withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0)))
+    d = staged(with_index(df, order_col, partition_cols).withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0))))
     d = windowed(d, {"_ds": lambda w: F.col(spread) - F.lag(spread).over(w), "_held": lambda w: F.lag("position", lag).over(w), "_prev": lambda w: F.coalesce(F.lag("position").over(w), F.lit(0.0))}, max(lag, 1), partition_cols)
     moved = F.col("position") - F.col("_prev")
     d = d.withColumn("pnl", F.coalesce(F.coalesce("_held", F.lit(0.0)) * F.col("_ds"), F.lit(0.0)) - cost_per_unit * F.abs(moved))
@@ -117,10 +117,10 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     logs = log_prices(prices.select(order_col, y_col, x_col), order_col=order_col)
     train = logs.filter(F.col(order_col) < at)
     hedge = estimate_hedge_ratio(train, y_col, x_col)
-    spread = compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha)
+    spread = staged(with_index(compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha), order_col))
     ou = fit_ou(compute_spread(train, y_col, x_col, hedge.beta, hedge.alpha), order_col=order_col)
-    z = zscore(with_index(spread, order_col), z_window, order_col=order_col)
-    signals = generate_signals(z, entry, exit, stop, order_col=order_col).drop(INDEX)
+    z = zscore(spread, z_window, order_col=order_col)
+    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col).drop(INDEX))
     part = lambda cond: backtest_spread(signals.filter(cond), cost_per_unit=cost_per_unit, order_col=order_col)
     return {"hedge": hedge, "ou": ou, "train": part(F.col(order_col) < at), "test": part(F.col(order_col) >= at), "spread": spread.select(order_col, "spread"), "zscore": z.select(order_col, "z")}
 

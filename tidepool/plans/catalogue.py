@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordered import INDEX
+from ..functions.ordered import INDEX, staged
 from ..operators import backtest as bt
 from ..operators import clean, continuous
 from ..operators.hedge import estimate_hedge_ratio, hedge_table, rolling_hedge_ratio
@@ -37,6 +37,15 @@ def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def rounded_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """To 4 digits. Means of a few prices in cents often end in an exact 5 there, so all are moved off such ties first."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-6, 4) for c in cols})
+
+
+def mean_sql(column: str) -> str:
+    return f"round({column} + CAST(1e-6 AS DOUBLE), 4)"
+
+
 def one_row(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], list(values))
 
@@ -90,16 +99,16 @@ SELECT round(coalesce(sum(pnl), 0), 6) AS total_pnl, round(CASE WHEN stddev_samp
 # ---- panels and cleaning
 
 
-@query(f"WITH {RAW} SELECT ts, round(a, 4) AS A, round(r, 4) AS R FROM raw".replace(" AS A,", ' AS "A",').replace(" AS R ", ' AS "R" '))
+@query(f'WITH {RAW} SELECT ts, {mean_sql("a")} AS "A", {mean_sql("r")} AS "R" FROM raw')
 def panel_pivot(spark, sf):
     bars = panel.long_bars(spark, sf)
     wide = pivot_panel(bars, {"A": "A", "R": "R"}, time="ts")
-    return rounded(wide.withColumn("ts", F.col("ts").cast("date")), ["A", "R"], 4)
+    return rounded_means(wide.withColumn("ts", F.col("ts").cast("date")), ["A", "R"])
 
 
-@query(f"WITH {RAW} SELECT CAST(ts AS DATE) AS ts, round(a, 4) AS left_leg, CAST(NULL AS DOUBLE) AS nothing, round(r, 4) AS right_leg FROM raw")
+@query(f"WITH {RAW} SELECT CAST(ts AS DATE) AS ts, {mean_sql('a')} AS left_leg, CAST(NULL AS DOUBLE) AS nothing, {mean_sql('r')} AS right_leg FROM raw")
 def project_missing(spark, sf):
-    return rounded(normalise_panel(panel.raw_panel(spark, sf), {"left_leg": "a", "nothing": "absent", "right_leg": "r"}), ["left_leg", "right_leg"], 4)
+    return rounded_means(normalise_panel(panel.raw_panel(spark, sf), {"left_leg": "a", "nothing": "absent", "right_leg": "r"}), ["left_leg", "right_leg"])
 
 
 TICKS = "t AS (SELECT CAST(l_shipdate AS DATE) AS ts, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice AS price, l_quantity AS qty FROM lineitem)"
@@ -274,12 +283,12 @@ def _signals(spark, sf):
     return generate_signals(zscore(_spread(spark, sf), 60)).select("ts", "spread", "position")
 
 
-@query(f"{BASE}, {backtest_sql('pos', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, round(pnl, 6) AS pnl, round(equity, 6) AS equity, is_trade FROM b2")
+@query(f"{BASE}, {backtest_sql('pos', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity, is_trade FROM b2")
 def backtest_pnl(spark, sf):
     return rounded(bt.backtest_spread(_signals(spark, sf), cost_per_unit=0.001).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
 
 
-@query(f"{BASE}, {backtest_sql('pos', lag=0)} SELECT ts, CAST(position AS DOUBLE) AS position, round(pnl, 6) AS pnl, round(equity, 6) AS equity, is_trade FROM b2")
+@query(f"{BASE}, {backtest_sql('pos', lag=0)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity, is_trade FROM b2")
 def backtest_lag0(spark, sf):
     return rounded(bt.backtest_spread(_signals(spark, sf), lag=0).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
 
@@ -295,8 +304,8 @@ def _with_trades(table: DataFrame) -> DataFrame:
     return rounded(out, ["total_pnl", "sharpe", "max_drawdown", "hit_rate"])
 
 
-@query(f"""WITH {RAW}, n AS (SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS k FROM raw), d AS (SELECT ts AS at FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM raw), n WHERE i = k)
-SELECT CASE WHEN ts < at THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last FROM raw, d GROUP BY 1""")
+@query(f"""WITH {RAW}, n AS (SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS k FROM raw), d AS (SELECT ts AS start FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM raw), n WHERE i = k)
+SELECT CASE WHEN ts < start THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last FROM raw, d GROUP BY 1""")
 def split_fraction(spark, sf):
     return _parts(*bt.train_test_split_by_date(panel.raw_panel(spark, sf), 0.7))
 
@@ -314,7 +323,7 @@ def _parts(train: DataFrame, test: DataFrame) -> DataFrame:
 TEST = "tst AS (SELECT pos.* FROM pos, cut WHERE i >= k)"
 
 
-@query(f"{BASE}, {TEST}, {backtest_sql('tst', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, round(pnl, 6) AS pnl, round(equity, 6) AS equity FROM b2")
+@query(f"{BASE}, {TEST}, {backtest_sql('tst', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity FROM b2")
 def walk_forward_test(spark, sf):
     r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ"), cost_per_unit=0.001)
     return rounded(r["test"].table.select("ts", "position", "pnl", "equity"), ["pnl", "equity"])
@@ -368,18 +377,18 @@ def eg_auto(spark, sf):
 
 
 def _describe_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
-  round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS max FROM raw"""
+    kinds = {"mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "p25": f"quantile_cont({c}, 0.25)", "p50": f"quantile_cont({c}, 0.5)", "p75": f"quantile_cont({c}, 0.75)", "max": f"max({c})"}
+    return f"SELECT '{c}' AS \"column\", count({c}) AS count, " + ", ".join(f"{mean_sql(v)} AS {k}" for k, v in kinds.items()) + " FROM raw"
 
 
 @query(f"WITH {RAW} {_describe_sql('a')} UNION ALL {_describe_sql('r')}")
 def describe(spark, sf):
-    return rounded(bt.describe(panel.raw_panel(spark, sf), ["a", "r"]), ["mean", "std", "min", "p25", "p50", "p75", "max"], 4)
+    return rounded_means(bt.describe(panel.raw_panel(spark, sf), ["a", "r"]), ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
-@query(f"WITH {RAW} SELECT ts, round(a, 4) AS a, round(r, 4) AS r FROM raw ORDER BY ts DESC LIMIT 5")
+@query(f"WITH {RAW} SELECT ts, {mean_sql('a')} AS a, {mean_sql('r')} AS r FROM raw ORDER BY ts DESC LIMIT 5")
 def tail(spark, sf):
-    return rounded(bt.tail(panel.raw_panel(spark, sf)), ["a", "r"], 4)
+    return rounded_means(bt.tail(panel.raw_panel(spark, sf)), ["a", "r"])
 
 
 # ---- bars and rolls (extensions)
@@ -426,8 +435,8 @@ ro AS (SELECT c.session_date AS roll_session_date, prev AS from_contract, c.cont
 
 
 def _rolls(spark, sf, rule="v"):
-    s = panel.contract_sessions(spark, sf)
-    active = continuous.active_contracts(s, panel.contract_list(spark, sf), rule)
+    s = staged(panel.contract_sessions(spark, sf))
+    active = staged(continuous.active_contracts(s, panel.contract_list(spark, sf), rule))
     return s, active, continuous.roll_calendar(active, s)
 
 
@@ -448,11 +457,11 @@ def joint_rolls(spark, sf):
 
 def _adjusted_sql(kind: str) -> str:
     step, tail_ = ("panama_offset", "f.close + coalesce((SELECT sum(panama_offset) FROM ro WHERE roll_session_date > f.session_date), 0)") if kind == "panama" else ("ratio_factor", "f.close * exp(coalesce((SELECT sum(ln(ratio_factor)) FROM ro WHERE roll_session_date > f.session_date), 0))")
-    return f"WITH {SESS}, {RANKS}, {ROLLS}, f AS (SELECT a.session_date, a.contract, s.close FROM af a JOIN se s USING (session_date, contract)) SELECT session_date, contract, round(close, 4) AS close, round({tail_}, 4) AS adjusted FROM f"
+    return f"WITH {SESS}, {RANKS}, {ROLLS}, f AS (SELECT a.session_date, a.contract, s.close FROM af a JOIN se s USING (session_date, contract)) SELECT session_date, contract, {mean_sql('close')} AS close, {mean_sql(tail_)} AS adjusted FROM f"
 
 
 def _adjusted(spark, sf, kind):
-    return rounded(continuous.continuous(*_rolls(spark, sf), kind).drop("product"), ["close", "adjusted"], 4)
+    return rounded_means(continuous.continuous(*_rolls(spark, sf), kind).drop("product"), ["close", "adjusted"])
 
 
 @query(_adjusted_sql("panama"))
@@ -465,19 +474,19 @@ def ratio(spark, sf):
     return _adjusted(spark, sf, "ratio")
 
 
-@query(f"WITH {SESS}, {RANKS} SELECT session_date, contract, round(s.close, 4) AS close, round(s.close, 4) AS adjusted FROM af a JOIN se s USING (session_date, contract)")
+@query(f"WITH {SESS}, {RANKS} SELECT session_date, contract, {mean_sql('s.close')} AS close, {mean_sql('s.close')} AS adjusted FROM af a JOIN se s USING (session_date, contract)")
 def unadjusted(spark, sf):
     return _adjusted(spark, sf, "none")
 
 
 @query(f"""WITH {SESS}, {RANKS}, own AS (SELECT contract, session_date, close, lag(close) OVER (PARTITION BY contract ORDER BY session_date) AS before FROM se),
 hd AS (SELECT a.session_date, a.contract, close, before, lag(a.contract) OVER (ORDER BY a.session_date) AS old FROM af a JOIN own USING (session_date, contract))
-SELECT session_date, contract, round(CASE WHEN old IS NULL THEN 0 ELSE coalesce((close - before), 0) * 50 END - CASE WHEN old <> contract THEN CAST(2.5 AS DOUBLE) ELSE 0 END, 4) AS pnl FROM hd""")
+SELECT session_date, contract, {mean_sql("CASE WHEN old IS NULL THEN 0 ELSE coalesce((close - before), 0) * 50 END - CASE WHEN old <> contract THEN CAST(2.5 AS DOUBLE) ELSE 0 END")} AS pnl FROM hd""")
 def contract_pnl(spark, sf):
     s, active, _ = _rolls(spark, sf)
     contracts = panel.contract_list(spark, sf).withColumn("multiplier_usd", F.lit(50.0))
     held = active.select("product", "session_date", "contract", F.lit(1.0).alias("position"))
-    return rounded(continuous.contract_pnl(held, s, contracts, 2.5).select("session_date", "contract", "pnl"), ["pnl"], 4)
+    return rounded_means(continuous.contract_pnl(held, s, contracts, 2.5).select("session_date", "contract", "pnl"), ["pnl"])
 
 
 @query(f"""WITH {SESS}, {RANKS}, q AS (SELECT session_date, avg(close) AS y FROM se GROUP BY 1), j AS (SELECT a.contract, q.y, s.close AS x FROM af a JOIN se s USING (session_date, contract) JOIN q USING (session_date))
