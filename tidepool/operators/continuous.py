@@ -124,15 +124,15 @@ def continuous(sessions: DataFrame, active: DataFrame, rolls: DataFrame, adjust:
     """
     if adjust not in ("none", "panama", "ratio"):
         raise ValueError(f"unknown adjustment {adjust!r}")
-    front = active.join(sessions.select("product", "session_date", "contract", "close"), ["product", "session_date", "contract"])
     if asof is not None:
-        rolls, front = rolls.filter(F.col("roll_session_date") <= asof), front.filter(F.col("session_date") <= asof)
+        rolls, active = rolls.filter(F.col("roll_session_date") <= asof), active.filter(F.col("session_date") <= asof)
     step = {"none": F.lit(0.0), "panama": F.col("panama_offset"), "ratio": F.log("ratio_factor")}[adjust]
     changes = rolls.select("product", F.col("roll_session_date").alias("session_date"), step.alias("step"))
-    d = with_index(front.join(changes, ["product", "session_date"], "left"), "session_date", ["product"])
+    # over all sessions: the front contract may have no bar in the session of a roll
+    d = with_index(active.join(changes, ["product", "session_date"], "left"), "session_date", ["product"])
     d = cumulative(d, {"passed": (F.coalesce("step", F.lit(0.0)), "sum")}, ["product"])
     total = changes.groupBy("product").agg(F.sum("step").alias("total"))
-    d = d.join(total, "product", "left")
+    d = d.join(sessions.select("product", "session_date", "contract", "close"), ["product", "session_date", "contract"]).join(total, "product", "left")
     shift = -F.col("passed") if forward else F.coalesce("total", F.lit(0.0)) - F.col("passed")
     adjusted = F.col("close") * F.exp(shift) if adjust == "ratio" else F.col("close") + shift
     return d.select("product", "session_date", "contract", "close", adjusted.alias("adjusted"))
