@@ -186,6 +186,19 @@ def test_token_rows(spark, library):
     assert token_output.packed_rows(docs_frame(spark, [])).count() == 0
 
 
+def test_token_output_query_returns_the_ids(spark, sf_dir, library):
+    want = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = defaultdict(dict)
+    for r in token_output.op7_token_output(spark, sf_dir).collect():
+        assert len(r.ids) == len(r.positions) == 4 * 1024
+        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+        for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            found[d][s] = ids[a:b].tolist()
+            assert positions[a:b].tolist() == list(range(b - a))
+        assert (r.ids_sha256, r.positions_sha256) == (hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.positions).hexdigest())
+    assert {d: sum((p[s] for s in sorted(p)), []) for d, p in found.items()} == want
+
+
 def test_best_fit_decreasing_is_best_fit():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 100, 400).tolist()

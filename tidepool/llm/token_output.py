@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import few_rows, table
 from .packing import WINDOW
@@ -129,4 +130,6 @@ def packed_rows(docs: DataFrame, path: str | None = None, window: int = WINDOW,
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_rows(table(spark, sf_dir, "documents"), digest=True)
+    """The packed rows whole, and the SHA-256 of ids and positions."""
+    rows = packed_rows(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"ids_sha256": F.sha2("ids", 256), "positions_sha256": F.sha2("positions", 256)})
