@@ -7,6 +7,7 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepool.llm import packing, simhash, suffix_dedup, toxicity
 from tidepool.llm.common import settle, table
@@ -33,8 +34,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts in windows of token ids (a digest of each piece's ids in place of the ids)."""
-    return packing.pack_documents(docs, digest=True)
+    """All texts in windows of token ids: each piece's ids, and their CRC-32."""
+    return packing.pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("toxicity", toxic_documents), ("simhash", near_duplicates), ("suffix", repeated_passages), ("packing", packed_windows)]
