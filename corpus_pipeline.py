@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import packing, simhash, suffix_dedup, toxicity
+from tidepool.llm import packing, similar_texts, suffix_dedup, toxicity
 from tidepool.llm.common import settle, table
 
 
@@ -19,13 +19,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays; of rows that repeat a doc_id, one.
+    """Of the rows that links of five-word Jaccard similarity 0.8 or more connect, the one with the smallest doc_id stays.
 
-    Rows without doc_id can't be told apart and all stay."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    Rows are told apart by doc_id and text: of rows that repeat a doc_id or have none, only near copies go."""
+    return similar_texts.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
