@@ -104,10 +104,46 @@ def test_loser_tree():
     rng = np.random.default_rng(2)
     runs = []
     for n in (40, 1, 25, 60, 33):
-        s = rng.integers(97, 99, (n, suffix_dedup.PREFIX), dtype=np.uint8)
-        runs.append(suffix_dedup.decoded(suffix_dedup.front_coded(suffix_dedup.sorted_run(s, np.arange(n, dtype=np.uint64)), 0, len(suffix_dedup.sorted_run(s, np.arange(n, dtype=np.uint64))[0])))[:2])
-    order = [runs[r][0][at] for r, at, _ in suffix_dedup.merge(runs)]
-    assert order == sorted(s for r in runs for s in r[0])
+        run = suffix_dedup.sorted_run(rng.integers(97, 99, (n, suffix_dedup.PREFIX), dtype=np.uint8))
+        runs.append(list(suffix_dedup.decoded(suffix_dedup.front_coded(run, 0, len(run[0])))))
+    given = list(suffix_dedup.merge(runs))
+    assert [s for s, *_ in given] == sorted(s for r in runs for s, *_ in r)
+    for (a, *_), (b, shared, _) in zip(given, given[1:]):
+        assert a[:shared] == b[:shared] and (shared == suffix_dedup.PREFIX or a[shared] != b[shared])
+
+
+def thue_morse(x, y):
+    return "".join(y if i.bit_count() % 2 == 0 else x for i in range(128))
+
+
+def test_texts_with_equal_hashes_stay(spark):
+    """Polynomial hashes modulo 2**64 can't tell these strings apart; no 200-byte string of them comes twice."""
+    middle = "dfxZyWtoX2edPuJj1B3XRoVdJz9m6fMJ"
+    texts = [thue_morse("c", "u") + middle + thue_morse("q", "a"), thue_morse("u", "c") + middle + thue_morse("a", "q")]
+    assert [w[1] for w in repeated_bytes(texts)] == [0, 0]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removal_digests(docs_frame(spark, texts)).collect()}
+    assert got == {1: 0, 2: 0}
+
+
+def test_windows_of_colliding_prefixes_are_compared_by_bytes(spark):
+    """As if all anchors had one hash: unique windows are those of brute force."""
+    rng = np.random.default_rng(6)
+    base = bytes(rng.integers(97, 123, 600).tolist())
+    runs = [base[:300], base[60:400], b"x" + base[250:520], bytes(rng.integers(97, 123, 260).tolist()), base[:230] + b"?" * 40]
+    rows = [(7, 1 + (i == 3), i, 1000 * i, len(t) - 200, t) for i, t in enumerate(runs)]
+    seen = Counter(t[p : p + 200] for t in runs for p in range(len(t) - 199))
+    want = {(i, 1000 * i + p) for i, t in enumerate(runs) if i != 3 for p in range(len(t) - 199) if seen[t[p : p + 200]] == 1}
+    classes = spark.createDataFrame(rows, "kh long, m long, row long, lo long, n long, t binary")
+    for f in (suffix_dedup.unique_windows, suffix_dedup.unique_windows_spread):
+        assert {(r.row, r.lo + p) for r in f(classes).collect() for p in range(r.n + 1)} == want
+
+
+def test_columns_with_names_used_inside(spark):
+    passage = "".join(chr(97 + i * i % 23) for i in range(250))
+    rows = [(i, "start of number %d " % i + passage, "r", "z", "doc", "sp", "sz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, z string, doc string, spans string, size string")
+    kept = sorted(suffix_dedup.remove_repeats(docs).collect())
+    assert [tuple(r) for r in kept] == [(i, t.replace(" " + passage, ""), *rest) for i, t, *rest in rows]
 
 
 def test_bpe_is_what_the_library_does(spark, library):

@@ -14,36 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and
+    Spark runs in this one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table is deleted when the application ends.
+    The table is deleted when the application ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def few_rows(texts: DataFrame, most: int = 1000) -> DataFrame:
-    """texts as it is, once the session hands at most ``most`` rows to Python at once.
-
-    The usual 10,000 rows of long texts would take up hundreds of MB outside of an executor's heap.
-    """
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", texts.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= most:
-        conf.set(name, str(most))
-    return texts
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    place, files = _hadoop(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that settle() wrote; only for those that no result still reads."""
+    for t in tables:
+        place, files = _hadoop(t.sparkSession, t.settled_at)
+        files.delete(place, True)
 
 
 def join_side(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, few_rows, join_side, settle
+from .common import components, join_side, settle
 from .vectors import groups, parts
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no key at odds of (1 - 0.8^4)^24, about 3 in a million
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, words: int, rows: int = 256) -> DataFrame:
                 bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), same, pa.array(fp), bands], [*KEY, "same", "fp", "bands"])
 
-    return few_rows(keyed(docs)).select(*KEY, "text").mapInArrow(run, "doc_id long, text_hash long, same binary, fp long, bands array<long>")
+    return keyed(docs).select(*KEY, "text").mapInArrow(run, "doc_id long, text_hash long, same binary, fp long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

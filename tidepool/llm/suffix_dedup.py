@@ -2,43 +2,47 @@
 
 A window is a string of LENGTH bytes. Its anchor is the suffix that starts at the smallest hash of all strings of PREFIX
 bytes inside it, so equal windows have their anchor at the same place, wherever they stand. Consecutive windows of one
-document that share an anchor are a run of windows; about one position in 85 is an anchor.
+document that share an anchor are a run of windows; about one position in 85 is an anchor. Hashes choose anchors and
+deal rows out; whether strings are equal is decided by their bytes alone.
 
-1. Each task sorts its anchors' suffixes, front-codes the sorted run (what a string shares with the one before is sent
-   as a number) and cuts it at splitters taken from a bounded sample.
+1. Each task finds its anchors, sorts their suffixes, front-codes the sorted run (what a string shares with the one
+   before is sent as a number) and cuts it at splitters taken from a bounded sample.
 2. Each range merges its runs by a loser tree that knows every string's common prefix with the last winner, and compares
-   bytes only beyond that. Suffixes that share PREFIX bytes with a neighbour from elsewhere are candidates; one entry of
-   a run stands for all equal strings of its task, so a frequent string costs a task one entry.
-3. Candidates whose whole run of windows (its text, and where the anchor is in it) has an equal are repeated entirely.
-4. Where the runs differ (at the edges of a repeated passage), runs that share an anchor's prefix are compared byte by
-   byte to both sides of it, which gives exactly the windows they have in common.
-
-The bytes covered by repeated windows are removed.
+   bytes only beyond that. Prefixes that come twice or more make their anchors candidates; one entry of a run stands for
+   all equal strings of its task, so a frequent string costs a task one entry. All other windows occur once.
+3. The texts of candidates' runs of windows are grouped by their bytes (equal ones meet inside each task first). A run
+   with an equal is repeated entirely.
+4. Runs without an equal are compared with all others of their prefix, window by window, by their bytes: what is found
+   nowhere else is unique.
+
+The bytes covered by windows of candidates that aren't unique are removed. A document only ever gets its own candidates
+and its own unique windows, so no frequent string gathers rows in one place.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, join_side, settle, table
+from .common import discard, join_side, settle, table
 from .vectors import groups, parts
 
 LENGTH, PREFIX = 200, 32
 PIECE = 1 << 19  # bytes that are hashed at once
 RUN = 150_000  # anchors that are sorted at once
-ROWS = 64  # texts that are taken out of an Arrow batch at once
+RANGE = 500_000  # anchors of a range, about
+BLOCK = 4096  # bytes of a text that a sample takes at once
+PLACE = np.uint64(21)  # bits of a place in a buffer, which holds less than two pieces
 U = np.uint64
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any strings of a buffer, from its prefix sums."""
+    """Polynomial hashes modulo 2**64 of all strings of one length in a buffer."""
 
     def __init__(self, base: int, seed: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -52,12 +56,11 @@ class Rolling:
             self.powers = np.cumprod(np.concatenate([one, np.full(n, self.base, U)]), dtype=U)
             self.inverses = np.cumprod(np.concatenate([one, np.full(n, self.inverse, U)]), dtype=U)
 
-    def sums(self, buf: np.ndarray) -> np.ndarray:
+    def of_all(self, buf: np.ndarray, length: int) -> np.ndarray:
         self._grow(len(buf) + 1)
-        return np.concatenate([np.zeros(1, U), np.cumsum(self.value[buf] * self.powers[: len(buf)], dtype=U)])
-
-    def of(self, sums: np.ndarray, start, stop) -> np.ndarray:
-        return mix((sums[stop] - sums[start]) * self.inverses[start])
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(self.value[buf] * self.powers[: len(buf)], dtype=U)])
+        n = len(buf) - length + 1
+        return mix((sums[length:] - sums[:n]) * self.inverses[:n])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,25 +69,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@lru_cache(maxsize=1)
-def hashes() -> tuple[Rolling, Rolling]:
-    return Rolling(0x9E3779B97F4A7C15, 1), Rolling(0xC2B2AE3D27D4EB4F, 2)
+HASH = Rolling(0x9E3779B97F4A7C15, 1)
 
 
 def anchors(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray):
     """For each run of windows in the documents buf[starts:stops]: document, anchor, first and last window, hash of the
-    anchor's PREFIX bytes, hash of the run (its text and the anchor's place)."""
-    first, second = hashes()
+    anchor's PREFIX bytes."""
     n, width = len(buf), LENGTH - PREFIX + 1
     long = stops - starts >= LENGTH
     if not long.any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.view(U), none.view(U)
-    sums = first.sums(buf)
-    at = np.arange(n - PREFIX + 1)
-    h = first.of(sums, at, at + PREFIX)
-    bits = U(max(1, int(n).bit_length()))
-    key = (h >> bits << bits) | at.astype(U)  # the leftmost of equal ones is the smallest
+        return none, none, none, none, none.view(U)
+    h = HASH.of_all(buf, PREFIX)
+    key = (h >> PLACE << PLACE) | np.arange(len(h)).astype(U)  # the leftmost of equal ones is the smallest
     padded = np.full(-(-len(key) // width) * width, ~U(0), U)
     padded[: len(key)] = key
     blocks = padded.reshape(-1, width)
@@ -95,87 +92,111 @@ def anchors(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray):
     np.add.at(edge, starts[long], 1)
     np.add.at(edge, stops[long] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(edge)[: n - LENGTH + 1])
-    anchor = (least[windows] & ((U(1) << bits) - U(1))).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    anchor = (least[windows] & ((U(1) << PLACE) - U(1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     a, lo, hi = anchor[new], windows[new], windows[np.append(new[1:], len(windows)) - 1]
-    doc = np.searchsorted(starts, lo, side="right") - 1
-    run = second.of(second.sums(buf), lo, hi + LENGTH)
-    return doc, a, lo, hi, h[a], mix(run ^ ((a - lo).astype(U) << U(32)) ^ (hi - lo).astype(U))
+    return np.searchsorted(starts, lo, side="right") - 1, a, lo, hi, h[a]
 
 
-def pieces(batches, column: int = 0):
-    """Texts of Arrow batches (null: empty) in buffers of about PIECE bytes: (buffer, starts, stops, row numbers in the
-    batch, offsets in the texts, batch). Longer texts come in chunks that overlap so that no window is lost."""
-    for batch in batches:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
+# ---- texts
+
+
+def squeezed(docs: DataFrame, *columns: str) -> DataFrame:
+    """row (a number for each row of docs), size, z: the texts' bytes (null: none) compressed, and other columns.
+
+    Only a written table keeps its row numbers."""
+    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
+    names = ["row", "size", "z", *columns]
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            size, z = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                raw = text.as_buffer()
+                size.append(raw.size if raw else 0)
+                z.append(codec.compress(raw, asbytes=True) if raw else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(z, pa.binary()), *batch.columns[2:]], names)
+
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    schema = ", ".join(["row long", "size long", "z binary", *(f"{c} {k}" for c, k in zip(columns, kinds))])
+    return docs.select(row, "text", *columns).mapInArrow(run, schema)
+
+
+def plain(z, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(z, size, asbytes=True) if size else b""
 
-        def close():
-            ends = np.cumsum([0, *(len(x) for *_, x in held)])
-            return np.frombuffer(b"".join(x for *_, x in held), np.uint8), ends[:-1], ends[1:], np.array([r for r, *_ in held]), np.array([o for _, o, _ in held]), batch
-
-        for first in range(0, batch.num_rows, ROWS):
-            for row, text in enumerate(batch.column(column).slice(first, ROWS).cast(pa.binary()).to_pylist(), first):
-                text = text or b""
-                for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-                    held.append((row, at, text[at : at + PIECE + LENGTH - 1]))
-                    size += len(held[-1][2])
-                    if size >= PIECE:
-                        yield close()
-                        held, size = [], 0
-        if held:
-            yield close()
+
+def pieces(batches):
+    """Texts of Arrow batches of (row, size, z) in buffers of about PIECE bytes: (buffer, starts, stops, rows, offsets
+    in the texts). Longer texts come in chunks that overlap so that no window is lost."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def close():
+        ends = np.cumsum([0, *(len(x) for *_, x in held)])
+        return np.frombuffer(b"".join(x for *_, x in held), np.uint8), ends[:-1], ends[1:], np.array([r for r, *_ in held], np.int64), np.array([o for _, o, _ in held], np.int64)
+
+    for batch in batches:
+        for row, n, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            text = plain(z.as_buffer(), n)
+            for at in range(0, max(1, n - LENGTH + 1), PIECE):
+                held.append((row, at, text[at : at + PIECE + LENGTH - 1]))
+                size += len(held[-1][2])
+                if size >= PIECE:
+                    yield close()
+                    held, size = [], 0
+    if held:
+        yield close()
 
 
 # ---- sorted runs
 
 
-def sorted_run(strings: np.ndarray, runs: np.ndarray):
-    """Different strings in order, with: common prefix with the one before, how many were equal, smallest and largest run hash."""
+def sorted_run(strings: np.ndarray):
+    """Different strings in order, with: common prefix with the one before, and whether there were several equal ones."""
     words = strings.view(">u8").astype(U)
     order = np.lexsort(words.T[::-1])
-    strings, runs = strings[order], runs[order]
+    strings = strings[order]
     differ = strings[1:] != strings[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), PREFIX)
     new = np.flatnonzero(np.concatenate([[True], lcp < PREFIX]))
     count = np.diff(np.append(new, len(strings)))
-    lcp = np.concatenate([[0], lcp])[new]
-    return strings[new], lcp, count, np.minimum.reduceat(runs, new), np.maximum.reduceat(runs, new)
+    return strings[new], np.concatenate([[0], lcp])[new], count > 1
 
 
 def front_coded(run, low: int, high: int) -> list:
     """Entries low to high of a sorted run as binary cells."""
-    strings, lcp, count, least, most = (x[low:high] for x in run)
+    strings, lcp, several = (x[low:high] for x in run)
     lcp = lcp.astype(np.uint8)
     lcp[0] = 0
     tails = strings[np.arange(PREFIX)[None, :] >= lcp[:, None]]
-    several = least != most
-    return [x.tobytes() for x in (lcp, tails, count.astype("<u4"), least.astype("<u8"), np.packbits(several), most[several].astype("<u8"))]
+    return [x.tobytes() for x in (lcp, tails, np.packbits(several))]
 
 
 def decoded(cells):
-    """Strings, common prefixes, counts, smallest and largest run hashes of a front-coded run, as lists."""
-    lcp, tails = np.frombuffer(cells[0], np.uint8).tolist(), cells[1]
-    strings, at, last = [], 0, b""
-    for n in lcp:
+    """(string, common prefix, several) of a front-coded run, one after the other."""
+    lcp, tails = cells[0], cells[1]
+    several = np.unpackbits(np.frombuffer(cells[2], np.uint8), count=len(lcp)).tolist()
+    at, last = 0, b""
+    for i, n in enumerate(lcp):
         last = last[:n] + tails[at : at + PREFIX - n]
         at += PREFIX - n
-        strings.append(last)
-    least = np.frombuffer(cells[3], "<u8")
-    most = least.copy()
-    most[np.unpackbits(np.frombuffer(cells[4], np.uint8), count=len(lcp)).astype(bool)] = np.frombuffer(cells[5], "<u8")
-    return strings, lcp, np.frombuffer(cells[2], "<u4").tolist(), least.tolist(), most.tolist()
+        yield last, n, several[i]
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]):
-    """Loser tree over sorted runs of (strings, common prefixes): (run, place, common prefix with the string given before).
+def merge(runs: list):
+    """Loser tree over iterators of sorted (string, common prefix with the one before, several): all of them in order,
+    each as (string, common prefix with the string given before, several).
 
     ``h`` is a contender's common prefix with the last winner. The one with more in common is smaller; only of equally
     close ones are bytes compared, from there on. A run that has ended has h = -1 and loses.
     """
     size = 1 << max(1, (len(runs) - 1).bit_length())
-    place, string = [0] * size, [r[0][0] if r[0] else b"" for r in runs] + [b""] * (size - len(runs))
-    h = [0 if i < len(runs) and runs[i][0] else -1 for i in range(size)]
+    runs = [iter(r) for r in runs] + [iter(()) for _ in range(size - len(runs))]
+    now = [next(r, None) for r in runs]
+    string = [x[0] if x else b"" for x in now]
+    h = [0 if x else -1 for x in now]
 
     def play(i: int, j: int) -> tuple[int, int]:
         """Winner and loser; the loser's h becomes what it shares with the winner."""
@@ -198,12 +219,10 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
         winners[node], tree[node] = play(winners[2 * node], winners[2 * node + 1])
     w = winners[1]
     while h[w] >= 0:
-        at = place[w]
-        yield w, at, h[w]
-        place[w] = at = at + 1
-        strings, lcp = runs[w]
-        if at < len(strings):
-            string[w], h[w] = strings[at], lcp[at]
+        yield string[w], h[w], now[w][2]
+        now[w] = x = next(runs[w], None)
+        if x:
+            string[w], h[w] = x[0], x[1]
         else:
             h[w] = -1
         node = (w + size) >> 1
@@ -212,248 +231,211 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
             node >>= 1
 
 
-CELLS = ["lcp", "tails", "count", "least", "several", "most"]
+CELLS = ["lcp", "tails", "several"]
+RUNS = ["row", "kh", "lo", "off", "n"]
 
 
-def range_runs(docs: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Front-coded parts of sorted runs, one row for each run and range."""
+def pick_splitters(texts: DataFrame, ranges: int) -> list[bytes]:
+    """Strings that cut the anchors' suffixes into about equal ranges. They come from blocks of BLOCK bytes, eight blocks
+    for each range, chosen by hash from all texts, and only balance the work."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    long = texts.filter(F.col("size") >= LENGTH)
+    total = long.agg(F.sum(blocks)).first()[0] or 0
+    if ranges < 2 or not total:
+        return []
+    share = int(min(1.0, 8 * ranges / total) * (1 << 30)) + 1
+    some = long.withColumn("blocks", F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.pmod(F.xxhash64("row", b), F.lit(1 << 30)) < share))
 
     def run(batches):
-        strings, hashed, size = [], [], 0
+        for batch in batches:
+            for n, z, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                text = plain(z.as_buffer(), n)
+                for b in at:
+                    buf = np.frombuffer(text[b * BLOCK : (b + 1) * BLOCK + LENGTH - 1], np.uint8)
+                    _, a, *_ = anchors(buf, np.array([0]), np.array([len(buf)]))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array([buf[i : i + PREFIX].tobytes() for i in a[:: max(1, len(a) // 8)].tolist()], pa.binary())], ["s"])
+
+    found = some.filter(F.size("blocks") > 0).select("size", "z", "blocks").mapInArrow(run, "s binary").collect()
+    found = sorted({bytes(r.s) for r in found})
+    ranges = min(ranges, len(found))
+    return [found[len(found) * i // ranges] for i in range(1, ranges)]
+
+
+def anchored(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
+    """Two kinds of rows from one pass over texts: every run of windows (row, hash of its anchor's prefix, first window,
+    the anchor's place in it, windows less one), and front-coded parts of sorted runs of the anchors' prefixes by range."""
+    longs, binaries = [*RUNS], [*CELLS]
+    schema = pa.schema([*((c, pa.int64()) for c in longs), ("range", pa.int32()), *((c, pa.binary()) for c in binaries)])
+
+    def run(batches):
+        strings: list[np.ndarray] = []
+        size = 0
 
         def close():
-            done = sorted_run(np.concatenate(strings), np.concatenate(hashed))
+            done = sorted_run(np.concatenate(strings))
             cut = [0, *(bisect.bisect_left(range(len(done[0])), s, key=lambda i: done[0][i].tobytes()) for s in splitters), len(done[0])]
             rows = [(r, *front_coded(done, a, b)) for r, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 6])], ["range", *CELLS])
+            nothing = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([*[nothing] * len(longs), *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * len(binaries)]))], schema=schema)
 
-        for buf, starts, stops, *_ in pieces(batches):
-            _, a, _, _, _, run_hash = anchors(buf, starts, stops)
+        for buf, starts, stops, rows, offsets in pieces(batches):
+            doc, a, lo, hi, kh = anchors(buf, starts, stops)
             if len(a):
+                cells = [rows[doc], kh.view(np.int64), lo - starts[doc] + offsets[doc], a - lo, hi - lo]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cells), pa.nulls(len(a), pa.int32()), *[pa.nulls(len(a), pa.binary())] * len(binaries)], schema=schema)
                 strings.append(np.lib.stride_tricks.sliding_window_view(buf, PREFIX)[a])
-                hashed.append(run_hash)
                 size += len(a)
                 if size >= RUN:
                     yield close()
-                    strings, hashed, size = [], [], 0
+                    strings, size = [], 0
         if size:
             yield close()
 
-    return docs.select("text").mapInArrow(run, "range int, " + ", ".join(f"{c} binary" for c in CELLS))
-
-
-def pick_splitters(docs: DataFrame, ranges: int, most_docs: int = 4000) -> list[bytes]:
-    """Strings that cut the anchors' suffixes into about equal ranges, from a sample of at most about ``most_docs`` texts
-    (and of each at most 32 anchors). They only balance the work."""
-    share = min(1.0, most_docs / max(1, docs.count()))
-
-    def run(batches):
-        for buf, starts, stops, *_ in pieces(batches):
-            doc, a, *_ = anchors(buf, starts, stops)
-            if len(a):
-                nth = np.arange(len(a)) - np.searchsorted(doc, doc)
-                a = a[nth < 32]
-                yield pa.RecordBatch.from_arrays([pa.array([buf[i : i + PREFIX].tobytes() for i in a.tolist()], pa.binary())], ["s"])
-
-    some = docs.select("text").sample(share, 5).mapInArrow(run, "s binary").collect()
-    some = sorted({bytes(r.s) for r in some})
-    return [some[len(some) * i // ranges] for i in range(1, ranges)] if len(some) >= ranges else []
+    kinds = ", ".join([*(f"{c} long" for c in longs), "range int", *(f"{c} binary" for c in binaries)])
+    return texts.select("row", "size", "z").mapInArrow(run, kinds)
 
 
-def repeated_prefixes(docs: DataFrame) -> DataFrame:
-    """(kh, several): hash of each PREFIX-byte string that is an anchor twice or more, and whether its runs of windows differ."""
-    ranges = parts(docs)
-    runs = range_runs(docs, pick_splitters(docs, ranges)).repartitionById(ranges, "range")
+def repeated_prefixes(runs: DataFrame, ranges: int) -> DataFrame:
+    """(kh): hash of each PREFIX-byte string that is an anchor twice or more, from front-coded runs."""
 
     def merged(batches):
-        rows = [tuple(c.as_py() for c in row) for batch in batches for row in zip(*(batch.column(i) for i in range(1, 7)))]
-        if not rows:
-            return
-        got = [decoded(r) for r in rows]
-        found, flags = [], []
-        now, n, least, most = b"", 0, 0, 0
-        for r, at, shared in merge([g[:2] for g in got]):
-            strings, _, count, low, high = got[r]
-            if shared == PREFIX:
-                n, least, most = n + count[at], min(least, low[at]), max(most, high[at])
-            else:
-                if n > 1:
-                    found.append(now)
-                    flags.append(least != most)
-                now, n, least, most = strings[at], count[at], low[at], high[at]
-        if n > 1:
-            found.append(now)
-            flags.append(least != most)
+        cells = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(1, 4)))]
+        found: list[bytes] = []
+
+        def close():
+            kh = HASH.of_all(np.frombuffer(b"".join(found), np.uint8), PREFIX)[::PREFIX]
+            return pa.RecordBatch.from_arrays([pa.array(kh.view(np.int64))], ["kh"])
+
+        last_found = False
+        for s, shared, several in merge([decoded(c) for c in cells]) if cells else ():
+            again = shared == PREFIX
+            if several and not again or again and not last_found:
+                found.append(s)
+            last_found = bool(several) or again
+            if len(found) >= 1 << 14:
+                yield close()
+                found = []
         if found:
-            first = hashes()[0]
-            first._grow(PREFIX)
-            b = np.frombuffer(b"".join(found), np.uint8).reshape(-1, PREFIX)
-            kh = mix((first.value[b] * first.powers[:PREFIX]).sum(axis=1, dtype=U))
-            yield pa.RecordBatch.from_arrays([pa.array(kh.view(np.int64)), pa.array(flags, pa.bool_())], ["kh", "several"])
+            yield close()
 
-    return runs.mapInArrow(merged, "kh long, several boolean")
+    return runs.select("range", *CELLS).repartitionById(ranges, "range").mapInArrow(merged, "kh long")
 
 
 # ---- candidates and what is repeated of them
 
-KEY = ["id", "dk"]  # names a document: its doc_id (null: 0) and a hash of its text; rows equal in both have equal results
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "dk": F.xxhash64(F.coalesce("text", F.lit("")))})
-
-
-def all_anchors(docs: DataFrame) -> DataFrame:
-    """(id, dk, kh, th, lo, off, n): every run of windows: its first window, the anchor's place in it, windows less one."""
-
-    def run(batches):
-        for buf, starts, stops, rows, offsets, batch in pieces(batches, 2):
-            doc, a, lo, hi, kh, th = anchors(buf, starts, stops)
-            if len(a):
-                names = [batch.column(i).to_numpy()[rows][doc] for i in (0, 1)]
-                cells = [*names, kh.view(np.int64), th.view(np.int64), lo - starts[doc] + offsets[doc], a - lo, hi - lo]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cells], ["id", "dk", "kh", "th", "lo", "off", "n"])
-
-    return with_key(docs).select("id", "dk", "text").mapInArrow(run, "id long, dk long, kh long, th long, lo long, off long, n long")
-
-
-def squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id, id, dk, size, z: the texts' bytes compressed, for joins that move them."""
-
-    def run(batches):
-        codec = pa.Codec("zstd", compression_level=1)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            texts = [x or b"" for x in batch.column(3).cast(pa.binary()).to_pylist()]
-            z = pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) for x in texts], pa.int64()), z], ["doc_id", "id", "dk", "size", "z"])
-
-    return with_key(docs).select(F.col("doc_id").cast("long"), "id", "dk", "text").mapInArrow(run, "doc_id long, id long, dk long, size long, z binary")
-
 
-def run_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(id, dk, kh, th, m, lo, off, n, size) with the text t of each run of windows."""
-    lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("kh", "th", "m", "lo", "off", "n", "size")).alias("runs"))
-    names = ["kh", "th", "m", "lo", "off", "n", "size"]
+def run_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(row, kh, lo, off, n) with the text t of each run of windows."""
+    names = ["kh", "lo", "off", "n"]
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("runs"))  # of one document
 
     def run(batches):
-        codec = pa.Codec("zstd")
         def made(rows):
-            types = [*[pa.int64()] * 9, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*KEY, *names, "t"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.binary()])], ["row", *names, "t"])
 
-        rows = []
+        rows: list[tuple] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = codec.decompress(batch.column(3)[i].as_py(), batch.column(2)[i].as_py(), asbytes=True)
-                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                rows += [(*key, *(r[c] for c in names), text[r["lo"] : r["lo"] + r["n"] + LENGTH]) for r in batch.column(4)[i].as_py()]
-                if len(rows) >= 1000:
-                    yield made(rows)
-                    rows = []
+            for row, size, z, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                text = plain(z.as_buffer(), size)
+                for r in runs.as_py():
+                    rows.append((row, *(r[c] for c in names), text[r["lo"] : r["lo"] + r["n"] + LENGTH]))
+                    if len(rows) >= 4096:
+                        yield made(rows)
+                        rows = []
         if rows:
             yield made(rows)
 
-    joined = squeezed(docs).join(lists, KEY).select(*KEY, "size", "z", "runs")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in [*KEY, *names]) + ", t binary")
+    joined = texts.select("row", "size", "z").join(lists, "row").select("row", "size", "z", "runs")
+    return joined.mapInArrow(run, "row long, kh long, lo long, off long, n long, t binary")
 
 
-def windows_of(texts: list[bytes], counts: np.ndarray, most: int = 1000):
-    """For all windows of these runs: number of the run, place in it, two hashes."""
-    if len(texts) > most:
-        done = [windows_of(texts[i : i + most], counts[i : i + most]) for i in range(0, len(texts), most)]
-        return np.concatenate([x[0] + i * most for i, x in enumerate(done)]), *(np.concatenate(x) for x in list(zip(*done))[1:])
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum([0, *map(len, texts)])[:-1]
-    total = int(counts.sum())
-    owner = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[owner] + place
-    return owner, place, *(r.of(r.sums(buf), at, at + LENGTH) for r in hashes())
+def unique_windows(classes: DataFrame) -> DataFrame:
+    """(row, lo, n) of the windows that no other of classes(kh, m, row, lo, n, t) with the same kh has, of those with m = 1.
 
-
-def common_windows(runs: DataFrame, most_rows: int = 4000) -> DataFrame:
-    """(id, dk, lo, n) of the windows that runs with m = 1 share with another run; runs of one kh are in one task.
-
-    Equal windows have equal anchors, so all runs that could share one are here. Runs are told apart by th, so that a
-    run that came twice (for two equal rows) counts once.
-    """
-    dealt = runs.repartition(parts(runs), "kh").sortWithinPartitions("kh", "th")
-
-    def shared(held):
-        kh, th, m, id_, dk, lo, n, texts = (np.concatenate(x) for x in zip(*held))
-        one = np.concatenate([[True], (kh[1:] != kh[:-1]) | (th[1:] != th[:-1])])
-        m, id_, dk, lo, n, texts = m[one], id_[one], dk[one], lo[one], n[one], texts[one].tolist()
-        owner, place, w1, w2 = windows_of(texts, n + 1)
-        order = np.lexsort((w2, w1))
-        same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-        twin = np.zeros(len(order), bool)
-        twin[order[1:][same]] = twin[order[:-1][same]] = True
-        twin &= m[owner] == 1
-        owner, place = owner[twin], place[twin]
-        if len(owner):
-            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]))
-            size = np.diff(np.append(new, len(owner))) - 1
-            at = owner[new]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id_[at], dk[at], lo[at] + place[new], size)], [*KEY, "lo", "n"])
+    Equal windows have equal anchors, so all runs that could share one are in one task."""
+    dealt = classes.repartition(parts(classes), "kh").sortWithinPartitions("kh")
 
     def run(batches):
-        held, rows = [], 0
-        for (kh,), th, m, id_, dk, lo, n, t in groups(batches, ["kh"], ["th", "m", "id", "dk", "lo", "n", "t"]):
-            if rows > most_rows:
-                yield from shared(held)
-                held, rows = [], 0
-            held.append([np.full(len(th), kh), th, m, id_, dk, lo, n, t])
-            rows += len(th)
-        if held:
-            yield from shared(held)
-
-    return dealt.select("kh", "th", "m", *KEY, "lo", "n", "t").mapInArrow(run, "id long, dk long, lo long, n long")
-
-
-def common_windows_spread(runs: DataFrame) -> DataFrame:
-    """As common_windows, for prefixes with very many different runs: every window is a row, dealt by its hashes."""
+        for _, m, row, lo, n, texts in groups(batches, ["kh"], ["m", "row", "lo", "n", "t"]):
+            owner: dict[bytes, int] = {}
+            for i, (t, last) in enumerate(zip(texts, n.tolist())):
+                for p in range(last + 1):
+                    w = t[p : p + LENGTH]
+                    owner[w] = -1 if w in owner else i
+            out = []
+            for i in np.flatnonzero(m == 1).tolist():
+                t, alone = texts[i], np.zeros(n[i] + 3, np.int8)
+                alone[1:-1] = [owner[t[p : p + LENGTH]] == i for p in range(n[i] + 1)]
+                edges = np.diff(alone)
+                for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+                    out.append((row[i], lo[i] + s, e - s - 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["row", "lo", "n"])
+
+    return dealt.select("kh", "m", "row", "lo", "n", "t").mapInArrow(run, "row long, lo long, n long")
+
+
+def unique_windows_spread(classes: DataFrame) -> DataFrame:
+    """As unique_windows, for prefixes with very many different runs: every window is a row, grouped by its bytes."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                th, m, id_, dk, lo, n = (part.column(i).to_numpy() for i in range(6))
-                owner, place, w1, w2 = windows_of(part.column(6).to_pylist(), n + 1)
-                cells = [th[owner], m[owner], id_[owner], dk[owner], lo[owner] + place, w1.view(np.int64), w2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["th", "m", *KEY, "lo", "w1", "w2"])
-
-    rows = settle(runs.select("th", "m", *KEY, "lo", "n", "t").mapInArrow(run, "th long, m long, id long, dk long, lo long, w1 long, w2 long"))
-    twice = rows.groupBy("w1", "w2").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a != b").select("w1", "w2")
-    return rows.filter("m = 1").join(join_side(twice), ["w1", "w2"]).select(*KEY, "lo", F.lit(0).cast("long").alias("n"))
-
-
-def repeated_windows(docs: DataFrame, hot: int = 8192) -> DataFrame:
-    """(id, dk, spans): for each document with repeated windows, an array of (first window, windows less one), unordered."""
-    docs = few_rows(docs)
-    found = settle(all_anchors(docs).join(repeated_prefixes(docs), "kh"))
-    mixed = found.filter("several")
-    classes = settle(mixed.groupBy("kh", "th").agg(F.count("*").alias("m"), F.min(F.struct(*KEY, "lo", "off", "n")).alias("r")).select("kh", "th", "m", "r.*"))
-    equal = mixed.join(join_side(classes.filter("m > 1").select("kh", "th")), ["kh", "th"])
+            m, row, lo, n = (batch.column(i).to_numpy() for i in range(4))
+            for i, t in enumerate(batch.column(4).to_pylist()):
+                count = int(n[i]) + 1
+                cells = [np.full(count, m[i]), np.full(count, row[i]), lo[i] + np.arange(count)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells), pa.array([t[p : p + LENGTH] for p in range(count)], pa.binary())], ["m", "row", "lo", "w"])
+
+    windows = classes.select("m", "row", "lo", "n", "t").mapInArrow(run, "m long, row long, lo long, w binary")
+    once = windows.groupBy("w").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.min("row").alias("row"), F.min("lo").alias("lo")).filter("c = 1 and m = 1")
+    return once.select("row", "lo", F.lit(0).cast("long").alias("n"))
+
+
+def repeated_windows(texts: DataFrame, hot: int = 2048) -> DataFrame:
+    """(row, spans): for each row of texts (written by squeezed) with candidates, an array of (first window, windows less
+    one, unique or not), unordered. Repeated are the windows of those that aren't unique less the unique ones."""
+    size = texts.agg(F.sum(F.when(F.col("size") >= LENGTH, F.col("size")))).first()[0] or 0
+    splitters = pick_splitters(texts, max(parts(texts), size // 85 // RANGE))
+    both = settle(anchored(texts, splitters), "zstd")
+    repeated = repeated_prefixes(both.filter("range is not null"), len(splitters) + 1)
+    found = settle(both.filter("row is not null").select(*RUNS).join(repeated, "kh"))
+    discard(both)
+    least = [F.min(c).alias(c) for c in ("kh", "row", "lo", "n")]  # of one row where m = 1; kh and n follow from off and t
+    classes = settle(run_texts(texts, found).groupBy("off", "t").agg(F.count("*").alias("m"), *least), "zstd")
     sizes = classes.groupBy("kh").agg(F.count("*").alias("size"), F.min("m").alias("fewest")).filter("fewest = 1").select("kh", "size")
-    texts = settle(run_texts(docs, classes.join(join_side(sizes), "kh")))
-    span = lambda df: df.select(*KEY, F.struct("lo", "n").alias("s"))
-    spans = span(found.filter("not several")).unionByName(span(equal)).unionByName(span(common_windows(texts.filter(F.col("size") <= hot))))
-    if not texts.filter(F.col("size") > hot).isEmpty():
-        spans = spans.unionByName(span(common_windows_spread(texts.filter(F.col("size") > hot))))
-    return spans.groupBy(*KEY).agg(F.collect_set("s").alias("spans"))
+    mixed = settle(classes.join(join_side(sizes), "kh"), "zstd")
+    discard(classes)
+    span = lambda df, unique: df.select("row", F.struct("lo", "n", F.lit(unique).alias("unique")).alias("s"))
+    spans = span(found, False).unionByName(span(unique_windows(mixed.filter(F.col("size") <= hot)), True))
+    if not mixed.filter(F.col("size") > hot).isEmpty():
+        spans = spans.unionByName(span(unique_windows_spread(mixed.filter(F.col("size") > hot)), True))
+    return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))  # of one document
 
 
 # ---- results
 
 
 def byte_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal covered stretches of bytes."""
+    """Maximal stretches of bytes covered by repeated windows."""
+    runs = sorted((s["lo"], s["lo"] + s["n"] + 1) for s in spans or [] if not s["unique"])
+    holes = sorted((s["lo"], s["lo"] + s["n"] + 1) for s in spans or [] if s["unique"])
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["lo"] + s["n"] + LENGTH) for s in spans or []):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
+
+    def cover(first: int, stop: int) -> None:
+        if first < stop:
+            lo, hi = first, stop - 1 + LENGTH
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], hi))
+            else:
+                out.append((lo, hi))
+
+    at = 0
+    for first, stop in runs:
+        while at < len(holes) and holes[at][0] < stop:
+            cover(first, holes[at][0])
+            first, at = holes[at][1], at + 1
+        cover(first, stop)
     return out
 
 
@@ -465,39 +447,43 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def removal_digests(docs: DataFrame, hot: int = 8192) -> DataFrame:
+def removal_digests(docs: DataFrame, hot: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (start, end in bytes), kept_sha256 for each row of docs(doc_id, text).
 
     Each byte is removed that a LENGTH-byte string covers which also starts anywhere else, in the same document or
     another; overlapping ones count. Documents don't run into each other. Null texts are empty; texts of any length are
     read whole (in overlapping chunks); a repeated row is another document, so both are removed from; null doc_ids stay;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result. Prefixes with more than ``hot`` different runs are
+    compared over many tasks.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
 
     def run(batches):
-        codec = pa.Codec("zstd")
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in batches:
             got = []
             for size, z, spans in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 at = byte_spans(spans.as_py())
-                kept = without(codec.decompress(z.as_py(), size, asbytes=True) if size else b"", at)
+                kept = without(plain(z.as_buffer(), size), at)
                 got.append((size, size - len(kept), len(at), [{"start": s, "end": e} for s, e in at], hashlib.sha256(kept).hexdigest()))
             if got:
                 types = [pa.int64(), pa.int64(), pa.int64(), kind, pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), types))], names)
 
-    joined = squeezed(docs).join(repeated_windows(docs, hot), KEY, "left").select("doc_id", "size", "z", "spans")
+    texts = settle(squeezed(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"))
+    joined = texts.join(repeated_windows(texts, hot), "row", "left").select("doc_id", "size", "z", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, hot: int = 8192) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 2048) -> DataFrame:
     """The rows of docs with repeated strings cut from ``text`` (and ``n_chars``, if there, counted anew).
 
-    As removal_digests, but a character of which a part would stay stays whole.
+    As removal_digests, but a character of which a part would stay stays whole. All columns stay, whatever their names.
     """
     columns = docs.columns
-    at = columns.index("text")
+    at, extra = columns.index("text"), "spans"
+    while extra in columns:
+        extra += "_"
 
     def cut(text: str | None, spans) -> str | None:
         if not spans or text is None:
@@ -512,7 +498,7 @@ def remove_repeats(docs: DataFrame, hot: int = 8192) -> DataFrame:
         return without(raw, whole).decode()
 
     def run(batches):
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in batches:
             texts = [cut(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(len(columns)))]
             cells = list(batch.columns[: len(columns)])
             cells[at] = pa.array(texts, pa.string())
@@ -521,9 +507,10 @@ def remove_repeats(docs: DataFrame, hot: int = 8192) -> DataFrame:
                 cells[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cells[i].type)
             yield pa.RecordBatch.from_arrays(cells, columns)
 
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__dk": F.xxhash64(F.coalesce("text", F.lit("")))})
-    spans = repeated_windows(docs, hot).select(F.col("id").alias("__id"), F.col("dk").alias("__dk"), F.col("spans").alias("__spans"))
-    return keyed.join(spans, ["__id", "__dk"], "left").select(*columns, "__spans").mapInArrow(run, docs.schema)
+    rows = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
+    texts = settle(squeezed(rows.select("row", "doc.text")))
+    spans = repeated_windows(texts, hot).withColumnRenamed("spans", extra)
+    return rows.join(spans, "row", "left").select("doc.*", extra).mapInArrow(run, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
