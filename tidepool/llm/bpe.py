@@ -6,9 +6,12 @@ an arc uv is added that leads to where v leads. A sequence of tokens is a path o
 it is what the merges make of its bytes, so every string of bytes is spelled by exactly one path.
 
 All arcs of one label lead to one state, and the arcs of a copy are those of its origin at the time of the copy less
-what it lost later. So states are kept as (origin, time of copy, arcs lost and when), and rows of the transition table
-are filled in when a word first needs them. Encoding a word walks its bytes once: each prefix has one path, so there is
-one state for each position.
+what it lost later. So states are kept as (origin, time of copy, arcs lost and when).
+
+Encoding is driven by two tables of whole numbers: one goes from (node, byte) to the next node of the labels' byte trie,
+the other from (state, label) to the state behind the arc, or to nothing; its cells are filled in when a word first needs
+them. Each prefix of a word has at most one path, so there is one state for each position, from which the trie is walked
+as far as the word follows it.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ class Automaton:
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = ids
         self.label = {i: b for b, i in ids.items()}
-        self.longest = max(map(len, ids))
         self.origin, self.since, self.lost = [-1], [0], [{}]  # state 0: the start
         self.behind = {ids[bytes([b])]: 0 for b in range(256)}  # state that a label's arcs lead to
         self.made: dict[int, tuple[int, int]] = {}  # merged label: its left part, its time
@@ -60,7 +62,16 @@ class Automaton:
             self.made[uv] = (u, k)
             self.behind[uv] = target
             users[target] += 1
-        self.table: dict[int, dict[int, bool]] = {}
+        self.step: dict[int, int] = {}  # node << 8 | byte: next node of the trie
+        self.ends = [-1]  # the label that ends at a node
+        for label, token in ids.items():
+            node = 0
+            for byte in label:
+                node = self.step.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = token
+        self.arcs: dict[int, int] = {}  # state << 32 | label: state behind the arc, -1: no arc
 
     def _has(self, state: int, token: int, time: int) -> bool:
         """Whether a state has an arc at a time: it was there when it was made, and wasn't lost since."""
@@ -78,67 +89,74 @@ class Automaton:
             token, time = self.made[token]
             time += 1  # what the same merge took away is gone already
 
+    def _arc(self, state: int, token: int) -> int:
+        cell = state << 32 | token
+        to = self.arcs[cell] = self.behind[token] if self._has(state, token, NEVER) else -1
+        return to
+
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path that spells the word."""
-        ids, n = self.ids, len(word)
-        if (whole := ids.get(word)) is not None and self.can(0, whole):
+        step, ends, arcs, n = self.step, self.ends, self.arcs, len(word)
+        if (whole := self.ids.get(word)) is not None and self._arc(0, whole) >= 0:
             return [whole]
-        came: list[int | None] = [None] * (n + 1)  # token by which a position is reached
+        state = [-1] * (n + 1)  # of the path to each position, -1: none
+        came: list[int] = [-1] * (n + 1)  # label by which the path gets there
+        state[0] = 0
         for i in range(n):
-            state = 0
-            if i:
-                if came[i] is None:
-                    continue
-                state = self.behind[came[i]]
-            row = self.table.get(state)
-            if row is None:
-                row = self.table[state] = {}
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if came[j] is None and (token := ids.get(word[i:j])) is not None:
-                    ok = row.get(token)
-                    if ok is None:
-                        ok = row[token] = self._has(state, token, NEVER)
-                    if ok:
-                        came[j] = token
+            if (here := state[i]) < 0:
+                continue
+            node, base = 0, here << 32
+            for j in range(i, n):
+                node = step.get(node << 8 | word[j])
+                if node is None:
+                    break
+                token = ends[node]
+                if token >= 0 and came[j + 1] < 0:
+                    to = arcs.get(base | token)
+                    if to is None:
+                        to = self._arc(here, token)
+                    if to >= 0:
+                        came[j + 1], state[j + 1] = token, to
         out, at = [], n
         while at:
             out.append(came[at])
             at -= len(self.label[came[at]])
         return out[::-1]
 
-    def can(self, state: int, token: int) -> bool:
-        row = self.table.setdefault(state, {})
-        if token not in row:
-            row[token] = self._has(state, token, NEVER)
-        return row[token]
+
+class Words(dict):
+    """Ids (as bytes) by word, made when first asked for. ``most`` bounds the bytes held; long words aren't kept."""
+
+    def __init__(self, automaton: Automaton, most: int = 1 << 25):
+        self.automaton, self.most, self.held = automaton, most, 0
+
+    def __missing__(self, word: str) -> bytes:
+        made = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
+        size = 150 + len(word) + len(made)
+        if size < 1024:
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = made
+            self.held += size
+        return made
 
 
 class Codec:
-    """Encoder and decoder of whole texts; ``most_words`` bounds the memory for words seen before."""
+    """Encoder and decoder of whole texts."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str):
         ids, merges, self.added = vocabulary(path)
-        self.automaton = Automaton(ids, merges)
-        self.words: dict[str, bytes] = {}
-        self.most_words = most_words
+        automaton = Automaton(ids, merges)
+        self.words = Words(automaton)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.label = self.automaton.label | {i: s.encode() for s, i in self.added.items()}
+        self.label = automaton.label | {i: s.encode() for s, i in self.added.items()}
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        out = []
+        out: list[bytes] = []
         for part, special in split_added(text or "", self.added):
-            words = self.find(part)
-            try:
-                out += list(map(self.words.__getitem__, words))
-            except KeyError:
-                known = self.words
-                for w in words:
-                    if w not in known:
-                        if len(known) >= self.most_words:
-                            known.clear()
-                        known[w] = np.array(self.automaton.encode(w.encode()), "<u4").tobytes()
-                    out.append(known[w])
+            out += map(self.words.__getitem__, self.find(part))
             if special is not None:
                 out.append(np.array([special], "<u4").tobytes())
         return b"".join(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -36,29 +37,41 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return ids, [(raw(a), raw(b)) for a, b in merges], added
 
 
+@lru_cache(maxsize=2)
+def id_type(path: str) -> str:
+    """Of the smallest little-endian unsigned integers that hold every id: 16 or 32 bits."""
+    ids, _, added = vocabulary(path)
+    return "<u2" if max([*ids.values(), *added.values()]) < 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
 
     ids, _, added = vocabulary(path)
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={}), added
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={}), added, id_type(path)
 
 
 def encode(text: str | None, path: str) -> np.ndarray:
     """Ids of a text (null: none) as uint16 or uint32; strings of added tokens become those tokens."""
-    encoding, added = _encoding(path)
+    encoding, added, kind = _encoding(path)
     out: list[int] = []
     for part, special in split_added(text or "", added):
         out += encoding.encode_ordinary(part)
         if special is not None:
             out.append(special)
-    return np.array(out, "<u2" if encoding.n_vocab + len(added) <= 1 << 16 else "<u4")
+    return np.array(out, kind)
+
+
+@lru_cache(maxsize=8)
+def _any_of(strings: tuple[str, ...]):
+    return re.compile("|".join(map(re.escape, sorted(strings, key=len, reverse=True))))  # of those at one place, the longest
 
 
 def split_added(text: str, added: dict[str, int]):
     """The text's parts between added tokens, each with the added token that follows it (the last: None)."""
-    while hits := [(at, -len(s), s) for s in added if (at := text.find(s)) >= 0]:
-        at, _, s = min(hits)
-        yield text[:at], added[s]
-        text = text[at + len(s) :]
-    yield text, None
+    at = 0
+    for hit in _any_of(tuple(added)).finditer(text) if added else ():
+        yield text[at : hit.start()], added[hit.group()]
+        at = hit.end()
+    yield text[at:], None
