@@ -48,61 +48,85 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int])
 
 @dataclass(frozen=True)
 class Level:
-    bits: bytes  # one byte for each bit, so that a lookup is a substring of fixed cost
+    bits: bytes  # seven bits a byte, so that a byte is an ASCII character, whose code a built-in function gives
+    size: int
     hashes: int
 
     def has(self, key: Column, level: int) -> Column:
-        return _all(F.substring(F.lit(self.bits), p + 1, F.lit(1)) == F.lit(b"\x01") for p in _positions(key, level, len(self.bits), self.hashes))
+        out = F.lit(True)
+        for p in _positions(key, level, self.size, self.hashes):
+            byte = F.ascii(F.substring(F.lit(self.bits), (F.floor(p / 7) + 1).cast("int"), F.lit(1)).cast("string"))
+            out = out & (F.getbit(byte, F.pmod(p, F.lit(7)).cast("int")) == 1)
+        return out
 
 
-def _all(tests) -> Column:
-    out = F.lit(True)
-    for t in tests:
-        out = out & t
-    return out
+def _positions(key: Column, level: int, size, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), size if isinstance(size, Column) else F.lit(size)) for i in range(hashes)]
 
 
-def _positions(key: Column, level: int, size: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(size)).cast("int") for i in range(hashes)]
+def _levels(keys: DataFrame, counts: dict[int, int], level: int, rate: float) -> dict[int, Level]:
+    """A Bloom filter for each shard of keys(key, shard); to the driver comes one row for each byte that holds a bit."""
+    hashes = max(1, round(-math.log2(rate)))
+    sizes = {shard: max(70, math.ceil(n * hashes / math.log(2))) for shard, n in counts.items()}
+    size = F.lit(0)
+    for shard, n in sizes.items():
+        size = F.when(F.col("shard") == shard, F.lit(n)).otherwise(size)
+    at = keys.select("shard", F.explode(F.array(*_positions(F.col("key"), level, size, hashes))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(7)).cast("int"))
+    cells = at.groupBy("shard", F.floor(F.col("p") / 7).alias("byte")).agg(F.bit_or(bit).alias("bits"))
+    bits = {shard: bytearray(-(-n // 7)) for shard, n in sizes.items()}
+    for shard, byte, value in cells.toLocalIterator():
+        bits[shard][byte] = value
+    return {shard: Level(bytes(bits[shard]), n, hashes) for shard, n in sizes.items()}
 
 
 @dataclass(frozen=True)
 class Cascade:
-    levels: tuple[Level, ...]
+    """Levels by shard of the key space; with one shard, every key is in it."""
+
+    shards: tuple[tuple[Level, ...], ...]
 
     def has(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)  # let through by all: in what the last level holds
-        for n in reversed(range(len(self.levels))):
-            out = F.when(self.levels[n].has(key, n), out).otherwise(n % 2 == 1)
+        out = None
+        for n, levels in enumerate(self.shards):
+            one = F.lit(len(levels) % 2 == 1)  # let through by all: in what the last level holds
+            for at in reversed(range(len(levels))):
+                one = F.when(levels[at].has(key, at), one).otherwise(at % 2 == 1)
+            out = one if out is None else F.when(_shard(key, len(self.shards)) == n, one).otherwise(out)
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, most_bits: int = 1 << 24, most_levels: int = 40) -> Cascade:
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = 1 << 20, most_levels: int = 40) -> Cascade:
     """A cascade for ``listed(key)`` that is exact on every key of ``universe(key)`` and of ``listed``.
 
-    Only bit positions come to the driver, at most ``most_bits`` of them a level (a level that would need more raises
-    an error). Null keys are left out; repeated keys count once; an empty list gives a cascade that lists nothing.
+    The key space is cut by hash into shards of about ``shard_keys`` listed keys, each with levels of its own, so a level
+    holds a few MB at most, however many keys are listed; only these levels' bytes come to the driver. Null keys are left
+    out; repeated keys count once; an empty list gives a cascade that lists nothing.
     """
     keys = universe.select("key", F.lit(0).alias("listed")).unionByName(listed.select("key", F.lit(1).alias("listed")))
     keys = settle(keys.filter("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
-    inside, outside = keys.filter("listed = 1").select("key"), keys.filter("listed = 0").select("key")
-    n_out, levels = outside.count(), []
-    while n := inside.count():
-        if len(levels) == most_levels:
-            raise RuntimeError(f"the cascade needs more than {most_levels} levels")
-        rate = 0.5 if levels else min(0.5, max(n * math.sqrt(0.5) / max(n_out, 1), 1e-9))
-        hashes = max(1, round(-math.log2(rate)))
-        size = max(64, math.ceil(n * hashes / math.log(2)))
-        if size > most_bits:
-            raise ValueError(f"level {len(levels)} needs {size} bits; most_bits is {most_bits}")
-        at = inside.select(F.explode(F.array(*_positions(F.col("key"), len(levels), size, hashes))).alias("p")).distinct()
-        bits = bytearray(size)
-        for (p,) in at.toLocalIterator():
-            bits[p] = 1
-        levels.append(Level(bytes(bits), hashes))
-        through = outside.filter(levels[-1].has(F.col("key"), len(levels) - 1))
-        inside, outside = through, inside
-    return Cascade(tuple(levels))
+    total, rest = keys.agg(F.coalesce(F.sum("listed"), F.lit(0)), F.count("*") - F.coalesce(F.sum("listed"), F.lit(0))).first()
+    shards = max(1, -(-total // shard_keys))
+    keys = keys.select("key", "listed", (_shard(F.col("key"), shards) if shards > 1 else F.lit(0)).alias("shard"))
+    inside, outside = (keys.filter(F.col("listed") == i).select("key", "shard") for i in (1, 0))
+    made: list[list[Level]] = [[] for _ in range(shards)]
+    for level in range(most_levels + 1):
+        counts = {r.shard: r.n for r in inside.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+        if not counts:
+            return Cascade(tuple(map(tuple, made)))
+        n = sum(counts.values())
+        rate = 0.5 if level else min(0.5, max(n * math.sqrt(0.5) / max(rest, 1), 1e-9))
+        passes = F.lit(False)
+        for shard, one in _levels(inside, counts, level, rate).items():
+            made[shard].append(one)
+            passes = F.when(F.col("shard") == shard, one.has(F.col("key"), level)).otherwise(passes)
+        through = outside.filter(passes)
+        inside, outside = settle(through) if total + rest > 100_000 else through, inside
+    raise RuntimeError(f"the cascade needs more than {most_levels} levels")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
