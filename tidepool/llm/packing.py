@@ -1,10 +1,12 @@
 """Operator 3: packing by lexical retrieval.
 
 Documents are tokenized once into a table in the shared folder. Document frequencies of all token ids are counted over
-the whole corpus (a vector of the vocabulary's size, whatever the corpus). Each task then reads its part of the table in
-shards of bounded size and builds for each a BM25 inverted index over token ids. A seed document is laid into windows;
-when it ends inside one, the index returns its best unused neighbours, which fill the window greedily. The last of them
-is cut at the window's end and goes on as the next seed. So only a shard's last window is padded.
+the whole corpus (a vector of the vocabulary's size, whatever the corpus). Documents are then dealt out in the order of a
+lexical key, min-hashes of their rarest shared ids, so that neighbours come together wherever they stood; a frequent key
+spreads over tasks like any other. Each task reads its part in shards of bounded size and builds for each a BM25 inverted
+index over token ids. A seed document is laid into windows; when it ends inside one, the index returns its best unused
+neighbours, which fill the window greedily. The last of them is cut at the window's end and goes on as the next seed. So
+only a shard's last window is padded.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
-from .tokens import encode, vocabulary, vocabulary_path
+from .tokens import encode, id_type, vocabulary_path
+from .vectors import parts
 
 WINDOW = 1024
 K1, B = 1.2, 0.75
@@ -40,11 +43,6 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = 0, rows: int = 64)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_type(path: str) -> str:
-    ids, _, added = vocabulary(path)
-    return "<u2" if len(ids) + len(added) <= 1 << 16 else "<u4"
-
-
 def document_frequencies(tokens: DataFrame, kind: str) -> DataFrame:
     """(token, df) over all documents: each task sends one row a token at most."""
 
@@ -62,6 +60,32 @@ def document_frequencies(tokens: DataFrame, kind: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
+def lexical_keys(ids: np.ndarray, df: np.ndarray, terms: int) -> tuple[int, int]:
+    """The two smallest hashes of a document's ``terms`` rarest ids that another document has, too."""
+    own = np.unique(ids)
+    seen = df[own]
+    own, seen = own[seen > 1], seen[seen > 1]
+    if len(own) > terms:
+        own = own[np.argpartition(seen, terms)[:terms]]
+    h = np.sort((own.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24))
+    return tuple([*h[:2].tolist(), -1, -1][:2])
+
+
+def dealt(tokens: DataFrame, frequencies: np.ndarray, kind: str, total: int, terms: int = 16, least: int = 200_000) -> DataFrame:
+    """tokens in the order of their lexical keys; tasks get at least about ``least`` ids, so that few windows are padded."""
+    shared = tokens.sparkSession.sparkContext.broadcast(frequencies)
+    names = ["doc_id", "n_tokens", "ids", "k1", "k2"]
+
+    def run(batches):
+        for batch in batches:
+            keys = [lexical_keys(np.frombuffer(x.as_buffer(), kind), shared.value, terms) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names)
+
+    keyed = tokens.select(*names[:3]).mapInArrow(run, "doc_id long, n_tokens long, ids binary, k1 long, k2 long")
+    order = ["k1", "k2", F.xxhash64("doc_id", "n_tokens")]
+    return keyed.repartitionByRange(max(1, min(parts(tokens), total // least)), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+
+
 class Shard:
     """BM25 inverted index over one shard's documents, and which of them are unused."""
 
@@ -129,16 +153,16 @@ def lay_out(lengths: list[int], shard: Shard, window: int, k: int):
 def pack(tokens: DataFrame, frequencies: DataFrame, kind: str, window: int = WINDOW, shard_docs: int = 2048, shard_tokens: int = 1 << 22, k: int = 8, terms: int = 24, digest: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` ids, from tokenize() and document_frequencies().
 
-    A shard holds at most ``shard_docs`` documents and closes once it has ``shard_tokens`` ids (one document more at
+    The table is dealt out by dealt(). A shard holds at most ``shard_docs`` documents and closes once it has ``shard_tokens`` ids (one document more at
     most), so memory doesn't grow with the corpus. ``terms`` is the number of a seed's highest weighted ids that form its
     query, ``k`` the number of neighbours fetched at a time; whoever isn't fetched stays unused and is packed later, so
     neither loses documents. Sequence ids hold the partition's number above bit 33, and are gapless within it.
     """
-    n = tokens.agg(F.count("*"), F.coalesce(F.avg("n_tokens"), F.lit(1.0))).first()
+    n = tokens.agg(F.count("*"), F.coalesce(F.avg("n_tokens"), F.lit(1.0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     counts = frequencies.collect()  # one row a token id: bounded by the vocabulary
-    idf = np.zeros(max([c.token for c in counts], default=0) + 1)
-    for c in counts:
-        idf[c.token] = np.log(1 + (n[0] - c.df + 0.5) / (c.df + 0.5))
+    df = np.zeros(max([c.token for c in counts], default=0) + 1, np.int64)
+    df[[c.token for c in counts]] = [c.df for c in counts]
+    idf = np.where(df > 0, np.log(1 + (n[0] - df + 0.5) / (df + 0.5)), 0.0)
     shared = tokens.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
     mean = float(n[1])
 
@@ -173,7 +197,7 @@ def pack(tokens: DataFrame, frequencies: DataFrame, kind: str, window: int = WIN
         if docs:
             yield from close(names, docs)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES)
+    return dealt(tokens, df, kind, n[2]).mapInArrow(run, PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, digest: bool = False, **how) -> DataFrame:
