@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +131,59 @@ def packed_rows(docs: DataFrame, path: str | None = None, window: int = WINDOW,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def write_matrices(rows: DataFrame, path: str) -> DataFrame:
+    """Write packed rows as raw matrices below ``path`` (any folder that all executors reach, also as a URI): an index
+    (path, rows, segments) that is kept there, too, as Parquet.
+
+    Each task writes three files: ``<path>.ids`` and ``<path>.positions`` are matrices of little-endian unsigned 32-bit
+    integers, ``<path>.lengths`` holds each row's number of cumulative lengths and then these, as 32-bit integers. Names
+    are new for each attempt and only what the index lists counts, so a task that is run again leaves nothing double.
+    """
+    suffixes = ("ids", "positions", "lengths")
+
+    def run(batches):
+        files = name = None
+        n = segments = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if files is None:
+                system, folder = pa.fs.FileSystem.from_uri(path)
+                system.create_dir(folder, recursive=True)
+                name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+                files = [system.open_output_stream(f"{name}.{s}") for s in suffixes]
+            ids, positions, lengths = (batch.column(i) for i in range(3))
+            for x, y, c in zip(ids, positions, lengths):
+                ends = np.array(c.as_py(), "<i4")
+                for f, data in zip(files, (x.as_buffer(), y.as_buffer(), np.array([len(ends)], "<i4").tobytes() + ends.tobytes())):
+                    f.write(data)
+                segments += len(ends) - 1
+            n += batch.num_rows
+        if files:
+            for f in files:
+                f.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([segments], pa.int64())], ["path", "rows", "segments"])
+
+    index = f"{path}/index"
+    rows.select("ids", "positions", "cu_seqlens").mapInArrow(run, "path string, rows long, segments long").write.mode("overwrite").parquet(index)
+    return rows.sparkSession.read.parquet(index)
+
+
+def read_matrices(path: str, rows: int, system=None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, positions and cumulative lengths of one file of the index."""
+    system = system or pa.fs.LocalFileSystem()
+
+    def whole(suffix: str) -> np.ndarray:
+        with system.open_input_file(f"{path}.{suffix}") as f:
+            return np.frombuffer(f.readall(), "<i4" if suffix == "lengths" else "<u4")
+
+    flat, lengths, at = whole("lengths"), [], 0
+    for _ in range(rows):
+        lengths.append(flat[at + 1 : at + 1 + flat[at]])
+        at += 1 + int(flat[at])
+    return whole("ids").reshape(rows, -1), whole("positions").reshape(rows, -1), lengths
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed rows whole, and the SHA-256 of ids and positions."""
     rows = packed_rows(table(spark, sf_dir, "documents"))
