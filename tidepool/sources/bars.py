@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,27 +14,48 @@ PARTITIONS = ("source", "product", "contract", "date")
 
 
 def write_bars(bars: DataFrame, path: str, partitions=PARTITIONS) -> None:
-    """One folder for each source, product, contract and date, rows in order of time within their files."""
+    """One folder for each source, product, contract and date, rows in order of time within their files.
+
+    Folders that these bars belong to are replaced, all others stay. Spark cuts a folder's rows into several files where
+    they are many.
+    """
     named = bars.withColumn("date", F.to_date("ts_event")) if "date" in partitions and "date" not in bars.columns else bars
-    named.repartition(*partitions).sortWithinPartitions(*partitions, "ts_event").write.partitionBy(*partitions).option("compression", "zstd").mode("overwrite").parquet(path)
+    dealt = named.hint("rebalance", *[F.col(c) for c in partitions]).sortWithinPartitions(*partitions, "ts_event")
+    dealt.write.partitionBy(*partitions).options(compression="zstd", partitionOverwriteMode="dynamic").mode("overwrite").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of all Parquet files below a folder, computed where Spark reads them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(path, size, sha256) of the files of paths(path), each read in blocks by the task that has its row."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                system, at = pa.fs.FileSystem.from_uri(path)
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(at) as f:
+                    while block := f.read(1 << 20):
+                        digest.update(block)
+                        size += len(block)
+                out.append((path, size, digest.hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["path", "size", "sha256"])
+
+    return paths.select("path").mapInArrow(run, "path string, size long, sha256 string")
 
 
 def manifest(spark: SparkSession, path: str, **facts) -> str:
-    """JSON with the given facts, each file's rows and digest, and the row count; dataset_id follows from the facts."""
+    """JSON with the given facts, each file's rows and digest, and the row count; dataset_id follows from the facts.
+
+    One entry a file comes to the driver, as the manifest is one text.
+    """
     rows = spark.read.parquet(path).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("rows"))
-    key = F.regexp_replace("path", "^file:/+", "/")
-    digests = file_digests(spark, path).select(key.alias("k"), "sha256")
-    files = rows.select(F.url_decode(key).alias("k"), "rows").join(digests.withColumn("k", F.url_decode("k")), "k").orderBy("k").collect()  # one row a file
+    rows = rows.withColumn("path", F.url_decode("path"))
+    files = rows.join(file_digests(spark, rows), "path").orderBy("path").collect()
     name = hashlib.sha256(json.dumps(facts, sort_keys=True, default=str).encode()).hexdigest()[:12]
-    listed = [{"path": r.k, "rows": r.rows, "sha256": r.sha256} for r in files]
+    listed = [{"path": r.path, "rows": r.rows, "sha256": r.sha256} for r in files]
     return json.dumps({"dataset_id": facts.get("dataset_id", f"bars-{name}"), **facts, "files": listed, "row_count": sum(r.rows for r in files)}, indent=1, default=str)
