@@ -172,6 +172,69 @@ def test_unit_root_regression(spark):
     assert lags == 2 and stat == pytest.approx(b[1] / se, rel=1e-8)
 
 
+def plain_dickey_fuller(v, lags, constant, most):
+    """t-ratio of the level and AIC of a regression with ``lags`` lagged differences, over the rows that ``most`` leave."""
+    dy = np.diff(v)
+    n = len(dy) - most
+    cols = [v[most : most + n], *(dy[most - i : most - i + n] for i in range(1, lags + 1))]
+    x = np.column_stack([*([np.ones(n)] if constant else []), *cols])
+    y = dy[most:]
+    b, *_ = np.linalg.lstsq(x, y, rcond=None)
+    ssr = ((y - x @ b) ** 2).sum()
+    at = int(constant)
+    se = math.sqrt(ssr / (n - x.shape[1]) * np.linalg.inv(x.T @ x)[at, at])
+    return b[at] / se, n * (math.log(2 * math.pi) + math.log(ssr / n) + 1) + 2 * x.shape[1]
+
+
+def plain_auto(v, constant):
+    """The lag order with the least AIC, all compared over the same rows, then fitted over all rows it leaves."""
+    n = len(v)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - int(constant) - 1)
+    best = min(range(most + 1), key=lambda p: plain_dickey_fuller(v, p, constant, most)[1])
+    return plain_dickey_fuller(v, best, constant, best)[0], best
+
+
+@pytest.mark.parametrize("kind", ["walk", "ar1", "ar3"])
+def test_adf_chooses_its_lags_as_a_plain_search(spark, kind):
+    from tidepool.functions.unitroot import p_value
+    from tidepool.operators.unitroot import dickey_fuller
+
+    rng = np.random.default_rng(8)
+    e = rng.normal(size=300)
+    v = e.cumsum() if kind == "walk" else np.zeros(300)
+    for t in range(3, 300):
+        if kind != "walk":
+            v[t] = 0.8 * v[t - 1] + e[t] if kind == "ar1" else 0.5 * v[t - 1] + 0.2 * v[t - 2] - 0.4 * v[t - 3] + e[t]
+    want, lags = plain_auto(v, True)
+    got = tp.adf_test(series(spark, v), value="value", order_col="idx")
+    assert got["statistic"] == pytest.approx(want, rel=1e-7) and got["pvalue"] == pytest.approx(p_value(want, 1, "c"))
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v - v.mean())], f"{ordered.INDEX} long, v double")
+    assert dickey_fuller(d, 300, True)[1] == lags
+    assert (got["pvalue"] < 0.05) == got["is_stationary"] and (got["is_stationary"] or kind == "walk")
+
+
+@pytest.mark.parametrize("trend", ["n", "c", "ct"])
+def test_engle_granger_is_a_plain_one(spark, trend):
+    rng = np.random.default_rng(9)
+    x = 5 + rng.normal(size=250).cumsum()
+    y = 1.5 * x + 2 + rng.normal(size=250)
+    cols = {"n": [x], "c": [x, np.ones(250)], "ct": [x, np.ones(250), np.arange(1, 251)]}[trend]
+    b, *_ = np.linalg.lstsq(np.column_stack(cols), y, rcond=None)
+    want, _ = plain_auto(y - np.column_stack(cols) @ b, False)
+    got = tp.engle_granger(spark.createDataFrame([(i, float(a), float(c)) for i, (a, c) in enumerate(zip(y, x))], "idx long, y double, x double"), trend=trend, order_col="idx")
+    assert got.statistic == pytest.approx(want, rel=1e-6) and got.is_cointegrated == (got.pvalue < 0.05)
+    assert got.is_cointegrated or trend == "n"  # without a constant, the level of x stays in the residuals
+
+
+def test_p_values_at_published_quantiles():
+    """The critical values of long samples have about their own p-values."""
+    from tidepool.functions.unitroot import critical_values, p_value
+
+    for key in ((1, "c"), (2, "c"), (2, "ct")):
+        for level, value in critical_values(*key, 10**9).items():
+            assert p_value(value, *key) == pytest.approx(float(level.rstrip("%")) / 100, rel=0.12)
+
+
 def test_rolling_hedge(spark):
     d = tp.log_prices(tp.generate_synthetic_pair(spark, 1000, seed=0, sigma_spread=0.05), cols=["ES", "NQ"])
     rows = tp.rolling_hedge_ratio(d, 250, y="ES", x="NQ").orderBy("ts").collect()

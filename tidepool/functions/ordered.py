@@ -29,6 +29,8 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/stage-{uuid.uuid4().hex}"
@@ -50,15 +52,20 @@ def _stretch(df: DataFrame, order_col: str) -> Column:
 
 
 def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
-    """df with its 0-based place in each series as column ``_i``; a frame that has it already stays as it is."""
+    """df with its 0-based place in each series as column ``_i``; a frame that has it already stays as it is.
+
+    Rows of one time are told apart by ``tiebreak`` and then by a hash of all columns, so that numbering the same rows
+    again gives the same numbers.
+    """
     if INDEX in df.columns:
         return df
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
     keys = [*partition_cols, "_k"]
     d = df.withColumn("_k", _stretch(df, order_col))
     counts = d.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*partition_cols).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col, *tiebreak))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col, *tiebreak, whole))
     d = d.withColumn("_r", place).join(first, keys)
     return d.withColumn(INDEX, F.col("_first") + F.col("_r") - 1).drop("_k", "_r", "_first")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from .spread import compute_spread, zscore
 
 @dataclass
 class BacktestResult:
-    """``table`` has position, pnl and equity for each row; metrics and trades are computed from it when asked for."""
+    """``table`` has position, pnl and equity for each row; metrics and trades are computed from it, once, when asked for."""
 
     table: DataFrame
     order_col: str = "ts"
@@ -37,43 +38,55 @@ class BacktestResult:
     def equity(self) -> DataFrame:
         return self.table.select(self.order_col, "equity")
 
+    @cached_property
+    def _summary(self) -> dict:
+        return performance_metrics(self.table, order_col=self.order_col, equity="equity", trades="is_trade").first().asDict()
+
     @property
     def trades(self) -> int:
-        return int(self.table.agg(F.coalesce(F.sum("is_trade"), F.lit(0))).first()[0])
+        return self._summary["trades"]
 
     @property
     def metrics(self) -> dict:
-        return performance_metrics(self.table, order_col=self.order_col).first().asDict()
+        return {k: v for k, v in self._summary.items() if k != "trades"}
 
 
-def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str = "pnl", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
-    """total_pnl, sharpe, max_drawdown, hit_rate, n_periods of each series.
+def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str = "pnl", order_col: str = "ts", partition_cols: Sequence[str] = (), equity: str | None = None, trades: str | None = None) -> DataFrame:
+    """total_pnl, sharpe, max_drawdown, hit_rate, n_periods of each series; with ``trades``, the sum of that column, too.
 
     Missing pnl is dropped. The drawdown's first peak is the first equity, not 0; a pnl without spread has sharpe 0; the
-    hit rate is over non-zero pnl. An empty single series gives zeros.
+    hit rate is over non-zero pnl. An empty single series gives zeros. ``equity`` names the running sum of a pnl without
+    missing values in an indexed frame, as backtest_table() makes them; otherwise it is computed.
     """
     v = F.col(pnl).cast("double")
-    d = df.select(*partition_cols, order_col, F.when(~F.isnan(v), v).alias("_pnl")).filter("_pnl is not null")
-    d = cumulative(staged(with_index(d, order_col, partition_cols)), {"_equity": (F.col("_pnl"), "sum")}, partition_cols)
+    counted = [F.col(trades).alias("_trades")] if trades else []
+    if equity:
+        d = df.select(*partition_cols, INDEX, v.alias("_pnl"), F.col(equity).alias("_equity"), *counted)
+    else:
+        d = df.select(*partition_cols, order_col, F.when(~F.isnan(v), v).alias("_pnl"), *counted).filter("_pnl is not null")
+        d = cumulative(staged(with_index(d, order_col, partition_cols)), {"_equity": (F.col("_pnl"), "sum")}, partition_cols)
     d = cumulative(d, {"_peak": (F.col("_equity"), "max")}, partition_cols)
     s = d.groupBy(*partition_cols).agg(
         F.coalesce(F.sum("_pnl"), F.lit(0.0)).alias("total_pnl"), F.avg("_pnl").alias("m"), F.stddev_samp("_pnl").alias("s"),
         F.coalesce(F.max(F.col("_peak") - F.col("_equity")), F.lit(0.0)).alias("max_drawdown"),
         F.coalesce(F.avg(F.when(F.col("_pnl") != 0, (F.col("_pnl") > 0).cast("double"))), F.lit(0.0)).alias("hit_rate"), F.count("*").alias("n_periods"),
+        *([F.coalesce(F.sum("_trades"), F.lit(0)).alias("trades")] if trades else []),
     )
     sharpe = F.when(F.col("s") > 0, F.col("m") / F.col("s") * math.sqrt(periods_per_year)).otherwise(0.0)
-    return s.select(*partition_cols, "total_pnl", sharpe.alias("sharpe"), "max_drawdown", "hit_rate", "n_periods")
+    return s.select(*partition_cols, "total_pnl", sharpe.alias("sharpe"), "max_drawdown", "hit_rate", "n_periods", *(["trades"] if trades else []))
 
 
 def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, spread: str = "spread", position: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
     """df with position (missing: 0), pnl, equity and is_trade.
 
     pnl is the position ``lag`` rows ago times the spread's change, less cost times the change of position (charged at
-    once; the first row from 0). A trade is a change to a position other than 0.
+    once; the first row from 0). A trade is a change to a position other than 0. A frame that is indexed already isn't
+    written anew.
     """
     if lag < 0:
         raise ValueError("lag must not be negative: it would look ahead")
-    d = staged(with_index(df, order_col, partition_cols).withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0))))
+    d = df if INDEX in df.columns else staged(with_index(df, order_col, partition_cols))
+    d = d.withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0)))
     d = windowed(d, {"_ds": lambda w: F.col(spread) - F.lag(spread).over(w), "_held": lambda w: F.lag("position", lag).over(w), "_prev": lambda w: F.coalesce(F.lag("position").over(w), F.lit(0.0))}, max(lag, 1), partition_cols)
     moved = F.col("position") - F.col("_prev")
     d = d.withColumn("pnl", F.coalesce(F.coalesce("_held", F.lit(0.0)) * F.col("_ds"), F.lit(0.0)) - cost_per_unit * F.abs(moved))
@@ -93,11 +106,11 @@ def split_point(df: DataFrame, split: str | float, order_col: str = "ts"):
     if isinstance(split, str):
         return F.lit(split).cast(df.schema[order_col].dataType)
     if not isinstance(split, float):
-        raise TypeError("split must be a date string or a float fraction")
+        raise TypeError(f"split is a {type(split).__name__}; a date as text or a fraction as float is needed")
     if not 0.0 < split < 1.0:
-        raise ValueError("Fractional split must be in (0, 1)")
+        raise ValueError(f"a fraction between 0 and 1 splits the rows, not {split}")
     at = int(df.count() * split)
-    row = with_index(df.select(order_col), order_col).filter(F.col(INDEX) == at).first()
+    row = with_index(df.select(order_col, *([INDEX] if INDEX in df.columns else [])), order_col).filter(F.col(INDEX) == at).first()
     return F.lit(row[0] if row else None).cast(df.schema[order_col].dataType)
 
 
@@ -113,24 +126,44 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     Signals run across the split, so a position can be carried into the test part; its first row then pays the entry cost
     and counts as a trade, and earns nothing on that bar, as each part's lags start anew. z_window=None looks ahead.
     """
-    at = split_point(prices, split, order_col)
-    logs = log_prices(prices.select(order_col, y_col, x_col), order_col=order_col)
-    train = logs.filter(F.col(order_col) < at)
+    base = prices if INDEX in prices.columns else staged(with_index(prices.select(order_col, y_col, x_col), order_col))
+    at = split_point(base, split, order_col)
+    before = F.col(order_col) < at
+    logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col)
+    train = logs.filter(before)
     hedge = estimate_hedge_ratio(train, y_col, x_col)
-    spread = staged(with_index(compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha), order_col))
-    ou = fit_ou(compute_spread(train, y_col, x_col, hedge.beta, hedge.alpha), order_col=order_col)
+    spread = compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha)
+    ou = fit_ou(spread.filter(before).drop(INDEX), order_col=order_col)
     z = zscore(spread, z_window, order_col=order_col)
-    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col).drop(INDEX))
+    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col))
     part = lambda cond: backtest_spread(signals.filter(cond), cost_per_unit=cost_per_unit, order_col=order_col)
-    return {"hedge": hedge, "ou": ou, "train": part(F.col(order_col) < at), "test": part(F.col(order_col) >= at), "spread": spread.select(order_col, "spread"), "zscore": z.select(order_col, "z")}
+    return {"hedge": hedge, "ou": ou, "train": part(before), "test": part(~before), "spread": signals.select(order_col, "spread"), "zscore": signals.select(order_col, "z")}
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles (exact, interpolated) and max: one row for each column."""
-    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": lambda c: F.percentile(c, F.lit(0.25)), "p50": lambda c: F.percentile(c, F.lit(0.5)), "p75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
-    one = df.agg(*[f(c).alias(f"{c}|{k}") for c in cols for k, f in kinds.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{k}`").alias(k) for k in kinds]) for c in cols])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """count, mean, std, min, quartiles (exact, interpolated) and max: one row for each column.
+
+    Quartiles come from counts of different values: approximate cuts part these into ranges, ranges are ranked by their
+    sizes (about a hundred a column), values within their range.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
+    cuts = F.percentile_approx("v", [i / 64 for i in range(1, 64)], 10_000)
+    stats = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), cuts.alias("cuts"))
+    counts = long.filter("v is not null").groupBy("column", "v").agg(F.count("*").alias("n")).join(F.broadcast(stats), "column")  # one row a column
+    counts = counts.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select("column", "v", "n", "range", "count")
+    sizes = counts.groupBy("column", "range").agg(F.sum("n").alias("size"))
+    first = sizes.select("column", "range", F.coalesce(F.sum("size").over(Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    place = F.sum("n").over(Window.partitionBy("column", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = counts.join(first, ["column", "range"]).withColumn("at", F.col("first") + F.coalesce(place, F.lit(0)))
+
+    def quartile(share: float):
+        want = (F.col("count") - 1) * share
+        of = lambda rank: F.max(F.when((F.col("at") <= rank) & (rank < F.col("at") + F.col("n")), F.col("v")))
+        low, high = of(F.floor(want)), of(F.ceil(want))
+        return low + (high - low) * F.max(want - F.floor(want))
+
+    quartiles = ranked.groupBy("column").agg(quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75"))
+    return stats.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def tail(df: DataFrame, n: int = 5, order_col: str = "ts") -> DataFrame:

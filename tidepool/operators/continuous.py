@@ -67,6 +67,15 @@ def daily(bars: DataFrame) -> DataFrame:
     return bars.groupBy("product", "session_date", "contract").agg(F.max_by("close", "ts_event").alias("close"), F.sum("volume").alias("volume"))
 
 
+def business_days_before(n: int, column: str = "last_trade_date") -> Column:
+    """The date ``n`` business days before a date."""
+    return F.expr(f"date_sub({column}, {n} + 2 * cast(({n} + 4 - least(weekday({column}), 4)) div 5 as int))")
+
+
+def monday_of(column: str = "last_trade_date") -> Column:
+    return F.date_sub(column, F.weekday(column))
+
+
 def active_contracts(sessions: DataFrame, contracts: DataFrame, rule: str = "v", *, first_roll_days: int = 10, k: int = 5) -> DataFrame:
     """(product, session_date, rank): the front contract's rank in order of expiry, for each session.
 
@@ -80,9 +89,7 @@ def active_contracts(sessions: DataFrame, contracts: DataFrame, rule: str = "v",
         raise ValueError(f"unknown roll rule {rule!r}")
     order = Window.partitionBy("product").orderBy("last_trade_date", "contract")  # one row a contract
     ranked = contracts.select("product", "contract", "last_trade_date", F.row_number().over(order).alias("rank"))
-    expiry = F.col("last_trade_date")
-    monday = F.date_sub(expiry, F.weekday(expiry))
-    back = lambda n: F.expr(f"date_sub(last_trade_date, {n} + 2 * cast(({n} + 4 - least(weekday(last_trade_date), 4)) div 5 as int))")  # noqa: E731  business days
+    monday, back = monday_of(), business_days_before
     at = {"c": monday, "fixed_k": F.least(back(k), monday)}.get(rule)
     days = sessions.select("product", "session_date").distinct()
     bounds = ranked.select("product", F.col("rank").alias("r"), back(first_roll_days).alias("opens"), monday.alias("closes"), *([at.alias("at")] if at is not None else []))
@@ -110,10 +117,18 @@ def roll_calendar(active: DataFrame, sessions: DataFrame) -> DataFrame:
     return rolls.select("product", "roll_session_date", "from_contract", "to_contract", (F.col("to_close") - F.col("from_close")).alias("panama_offset"), F.try_divide("to_close", "from_close").alias("ratio_factor"))
 
 
-def joint_rolls(rolls: DataFrame, quarter: Column | None = None) -> DataFrame:
-    """For each quarter the later of the products' roll sessions."""
+def joint_rolls(rolls: DataFrame, quarter: Column | None = None, *, contracts: DataFrame | None = None, first_roll_days: int = 10) -> DataFrame:
+    """For each quarter the later of the products' roll sessions.
+
+    With contracts(product, contract, last_trade_date), the date is clipped by the guards of all contracts that are left:
+    not before the last first day on which one may be rolled, and not after the first Monday of an expiry week.
+    """
     q = quarter if quarter is not None else F.concat(F.year("roll_session_date"), F.lit("Q"), F.quarter("roll_session_date"))
-    return rolls.groupBy(q.alias("quarter")).agg(F.max("roll_session_date").alias("joint_roll_session_date"), F.count("*").alias("n"))
+    joint = F.max("roll_session_date")
+    if contracts is not None:
+        rolls = rolls.join(contracts.select("product", F.col("contract").alias("from_contract"), "last_trade_date"), ["product", "from_contract"], "left")
+        joint = F.least(F.greatest(joint, F.max(business_days_before(first_roll_days))), F.min(monday_of()))  # nulls are skipped
+    return rolls.groupBy(q.alias("quarter")).agg(joint.alias("joint_roll_session_date"), F.count("*").alias("n"))
 
 
 def continuous(sessions: DataFrame, active: DataFrame, rolls: DataFrame, adjust: str = "none", *, asof: str | None = None, forward: bool = False) -> DataFrame:
@@ -170,6 +185,14 @@ def half_spread(quotes: DataFrame, keys: Sequence[str] = ("product",)) -> DataFr
 def check_rolls(rolls: DataFrame, contracts: DataFrame, first_roll_days: int = 10) -> DataFrame:
     """Rolls outside of the guard (too early, or after the Monday of the expiry week), or without prices on both sides."""
     d = rolls.join(contracts.select("product", F.col("contract").alias("from_contract"), "last_trade_date"), ["product", "from_contract"])
-    early = F.expr(f"date_sub(last_trade_date, {first_roll_days} + 2 * cast(({first_roll_days} + 4 - least(weekday(last_trade_date), 4)) div 5 as int))")
-    monday = F.date_sub("last_trade_date", F.weekday("last_trade_date"))
-    return d.filter((F.col("roll_session_date") < early) | (F.col("roll_session_date") > monday) | F.col("panama_offset").isNull())
+    early, late = F.col("roll_session_date") < business_days_before(first_roll_days), F.col("roll_session_date") > monday_of()
+    return d.filter(early | late | F.col("panama_offset").isNull())
+
+
+def broken_steps(series: DataFrame, adjust: str = "panama", tolerance: float = 1e-6) -> DataFrame:
+    """Sessions of continuous() on which the adjusted price moves otherwise than the contract's own, although the contract
+    is the one of the session before: differences for ``panama``, differences of logarithms for ``ratio``."""
+    of = (lambda c: F.log(c)) if adjust == "ratio" else (lambda c: F.col(c))
+    step = lambda c: lambda w: of(c) - F.lag(of(c)).over(w)
+    d = windowed(with_index(series, "session_date", ["product"]), {"own": step("close"), "moved": step("adjusted"), "was": lambda w: F.lag("contract").over(w)}, 1, ["product"])
+    return d.filter((F.col("was") == F.col("contract")) & (F.abs(F.col("own") - F.col("moved")) > tolerance)).drop(INDEX, "was")

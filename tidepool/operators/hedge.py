@@ -26,7 +26,7 @@ class HedgeRatio:
 def hedge_table(df: DataFrame, y: str = "y", x: str = "x", method: str = "ols", partition_cols: Sequence[str] = ()) -> DataFrame:
     """alpha, beta and r_squared of each series in one aggregate."""
     if method not in METHODS:
-        raise ValueError(f"Unknown hedge-ratio method: {method!r}")
+        raise ValueError(f"method {method!r} is none of {sorted(METHODS)}")
     return df.groupBy(*partition_cols).agg(*[c.alias(n) for n, c in METHODS[method](y, x).items()])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -67,7 +68,7 @@ def fit_ou(df: DataFrame, dt: float = 1.0, **how) -> OUParams:
     """Parameters of one series; raises with fewer than ten values."""
     r = ou_table(df, dt, **how).first()
     if r is None or r.n_obs < LEAST:
-        raise ValueError("Need at least 10 observations to fit OU parameters")
+        raise ValueError(f"a fit needs {LEAST} values or more, there are {0 if r is None else r.n_obs}")
     value = lambda v: math.nan if v is None else v
     return OUParams(value(r.theta), value(r.mu), value(r.sigma), dt)
 
@@ -85,10 +86,7 @@ def simulate_ou(spark: SparkSession, params: OUParams, n: int, x0: float | None
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         path = int(pdf["path"].iloc[0])
         eps = np.random.default_rng(seed if path == 0 or seed is None else [seed, path]).normal(0.0, vol, n)
-        x = np.empty(n)
-        now = x[0] = start
-        for t in range(1, n):
-            x[t] = now = params.mu + (now - params.mu) * decay + eps[t]
+        x = np.fromiter(itertools.accumulate(eps[1:], lambda now, e: params.mu + (now - params.mu) * decay + e, initial=start), float, n)
         return pd.DataFrame({"path": path, "idx": np.arange(n), "x": x})
 
     return spark.range(paths).withColumnRenamed("id", "path").groupBy("path").applyInPandas(one, "path long, idx long, x double")

@@ -280,7 +280,7 @@ BASE = f"WITH {WALK}, {ZROLL}, {positions_sql('z')}"
 
 
 def _signals(spark, sf):
-    return generate_signals(zscore(_spread(spark, sf), 60)).select("ts", "spread", "position")
+    return staged(generate_signals(zscore(_spread(spark, sf), 60)).select("ts", "spread", "position", INDEX))
 
 
 @query(f"{BASE}, {backtest_sql('pos', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity, is_trade FROM b2")
@@ -299,8 +299,7 @@ def metrics(spark, sf):
 
 
 def _with_trades(table: DataFrame) -> DataFrame:
-    trades = table.agg(F.coalesce(F.sum("is_trade"), F.lit(0)).alias("trades"))
-    out = bt.performance_metrics(table).crossJoin(F.broadcast(trades))  # one row each
+    out = bt.performance_metrics(table, equity="equity", trades="is_trade")
     return rounded(out, ["total_pnl", "sharpe", "max_drawdown", "hit_rate"])
 
 
@@ -325,19 +324,19 @@ TEST = "tst AS (SELECT pos.* FROM pos, cut WHERE i >= k)"
 
 @query(f"{BASE}, {TEST}, {backtest_sql('tst', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity FROM b2")
 def walk_forward_test(spark, sf):
-    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ"), cost_per_unit=0.001)
+    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ", INDEX), cost_per_unit=0.001)
     return rounded(r["test"].table.select("ts", "position", "pnl", "equity"), ["pnl", "equity"])
 
 
 @query(f"{BASE}, {TEST}, {backtest_sql('tst')}, {METRICS}")
 def walk_forward_metrics(spark, sf):
-    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ"))
+    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ", INDEX))
     return _with_trades(r["test"].table)
 
 
 @query(f"{BASE}, trn AS (SELECT pos.* FROM pos, cut WHERE i < k), {backtest_sql('trn')}, {METRICS}")
 def walk_forward_train_metrics(spark, sf):
-    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ"))
+    r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ", INDEX))
     return _with_trades(r["train"].table)
 
 
@@ -419,7 +418,7 @@ def leg_join(spark, sf):
     return continuous.legs(continuous.resample(panel.events(spark, sf), "1 hour"), "click", "view")
 
 
-SESS = "se AS (SELECT CAST(l_shipdate AS DATE) AS session_date, 'C' || l_linenumber AS contract, l_linenumber AS rank, avg(l_extendedprice) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2, 3)"
+SESS = "se AS (SELECT CAST(l_shipdate AS DATE) AS session_date, 'C' || l_linenumber AS contract, l_linenumber AS rank, avg(l_extendedprice) AS close, sum(l_quantity) AS volume, count(*) AS open_interest FROM lineitem GROUP BY 1, 2, 3)"
 RANKS = """ct AS (SELECT contract, row_number() OVER (ORDER BY contract) AS r, CAST(DATE '1992-06-19' + INTERVAL 1 YEAR * row_number() OVER (ORDER BY contract) AS DATE) AS last FROM (SELECT DISTINCT contract FROM se)),
 gd AS (SELECT contract, r, CAST(last - CAST(isodow(last) - 1 AS INTEGER) AS DATE) AS closes,
   CAST(last - CAST(10 + 2 * ((10 + 4 - least(isodow(last) - 1, 4)) // 5) AS INTEGER) AS DATE) AS opens FROM ct),
@@ -445,6 +444,35 @@ def front_contracts(spark, sf):
     return _rolls(spark, sf)[1].select("session_date", "contract", F.col("rank").cast("int").alias("rank"))
 
 
+FRONT = "SELECT session_date, contract, CAST(r AS INTEGER) AS rank FROM af"
+BY_INTEREST = RANKS.replace("ORDER BY volume DESC", "ORDER BY open_interest DESC")
+
+
+def _dated_ranks(day: str) -> str:
+    """As RANKS, by a rule that knows the day of each roll."""
+    return RANKS[: RANKS.index("dy AS (")] + f"""af AS (SELECT session_date, r, contract FROM
+  (SELECT session_date, least(coalesce(max(CASE WHEN session_date >= {day} THEN r + 1 END), 1), max(r)) AS r FROM (SELECT DISTINCT session_date FROM se), gd JOIN ct USING (contract, r) GROUP BY 1) JOIN ct USING (r))"""
+
+
+def _front(spark, sf, rule):
+    return _rolls(spark, sf, rule)[1].select("session_date", "contract", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {SESS}, {BY_INTEREST} {FRONT}")
+def front_by_interest(spark, sf):
+    return _front(spark, sf, "n")
+
+
+@query(f"WITH {SESS}, {_dated_ranks('closes')} {FRONT}")
+def front_by_calendar(spark, sf):
+    return _front(spark, sf, "c")
+
+
+@query(f"WITH {SESS}, {_dated_ranks('least(closes, CAST(last - CAST(5 + 2 * ((5 + 4 - least(isodow(last) - 1, 4)) // 5) AS INTEGER) AS DATE))')} {FRONT}")
+def front_by_fixed_k(spark, sf):
+    return _front(spark, sf, "fixed_k")
+
+
 @query(f"WITH {SESS}, {RANKS}, {ROLLS} SELECT roll_session_date, from_contract, to_contract, round(panama_offset, 6) AS panama_offset, round(ratio_factor, 6) AS ratio_factor FROM ro")
 def roll_calendar(spark, sf):
     return rounded(_rolls(spark, sf)[2].drop("product"), ["panama_offset", "ratio_factor"])
@@ -455,6 +483,12 @@ def joint_rolls(spark, sf):
     return continuous.joint_rolls(_rolls(spark, sf)[2])
 
 
+@query(f"""WITH {SESS}, {RANKS}, {ROLLS} SELECT year(roll_session_date) || 'Q' || quarter(roll_session_date) AS quarter,
+  least(greatest(max(roll_session_date), max(opens)), min(closes)) AS joint_roll_session_date, count(*) AS n FROM ro JOIN gd ON from_contract = contract GROUP BY 1""")
+def joint_rolls_clipped(spark, sf):
+    return continuous.joint_rolls(_rolls(spark, sf)[2], contracts=panel.contract_list(spark, sf))
+
+
 def _adjusted_sql(kind: str) -> str:
     step, tail_ = ("panama_offset", "f.close + coalesce((SELECT sum(panama_offset) FROM ro WHERE roll_session_date > f.session_date), 0)") if kind == "panama" else ("ratio_factor", "f.close * exp(coalesce((SELECT sum(ln(ratio_factor)) FROM ro WHERE roll_session_date > f.session_date), 0))")
     return f"WITH {SESS}, {RANKS}, {ROLLS}, f AS (SELECT a.session_date, a.contract, s.close FROM af a JOIN se s USING (session_date, contract)) SELECT session_date, contract, {mean_sql('close')} AS close, {mean_sql(tail_)} AS adjusted FROM f"
@@ -479,6 +513,50 @@ def unadjusted(spark, sf):
     return _adjusted(spark, sf, "none")
 
 
+ASOF = "1995-03-31"
+FRONT_CLOSE = "f AS (SELECT a.session_date, a.contract, s.close FROM af a JOIN se s USING (session_date, contract))"
+
+
+@query(f"""WITH {SESS}, {RANKS}, {ROLLS}, {FRONT_CLOSE} SELECT session_date, contract, {mean_sql('close')} AS close,
+  {mean_sql(f"f.close + coalesce((SELECT sum(panama_offset) FROM ro WHERE roll_session_date > f.session_date AND roll_session_date <= DATE '{ASOF}'), 0)")} AS adjusted
+  FROM f WHERE session_date <= DATE '{ASOF}'""")
+def panama_asof(spark, sf):
+    return rounded_means(continuous.continuous(*_rolls(spark, sf), "panama", asof=ASOF).drop("product"), ["close", "adjusted"])
+
+
+@query(f"""WITH {SESS}, {RANKS}, {ROLLS}, {FRONT_CLOSE} SELECT session_date, contract, {mean_sql('close')} AS close,
+  {mean_sql('f.close - coalesce((SELECT sum(panama_offset) FROM ro WHERE roll_session_date <= f.session_date), 0)')} AS adjusted FROM f""")
+def panama_forward(spark, sf):
+    return rounded_means(continuous.continuous(*_rolls(spark, sf), "panama", forward=True).drop("product"), ["close", "adjusted"])
+
+
+@query(f"""WITH {SESS}, {RANKS}, {ROLLS}, {FRONT_CLOSE} SELECT session_date,
+  CASE WHEN session_date NOT IN (SELECT roll_session_date FROM ro) THEN {mean_sql('close')} END AS z FROM f""")
+def roll_mask(spark, sf):
+    s, active, rolls = _rolls(spark, sf)
+    z = continuous.continuous(s, active, rolls).select("session_date", F.col("close").alias("z"))
+    return rounded_means(continuous.mask_roll_days(z, rolls), ["z"])
+
+
+@query("""SELECT l_returnflag AS product, round(avg(CASE WHEN l_tax > l_discount THEN l_extendedprice * (l_tax - l_discount) / 2 END), 4) AS half_spread, count(*) AS n FROM lineitem GROUP BY 1""")
+def half_spread(spark, sf):
+    t = panel.read(spark, sf, "lineitem")
+    quotes = t.select(F.col("l_returnflag").alias("product"), (F.col("l_extendedprice") * F.col("l_discount")).alias("bid"), (F.col("l_extendedprice") * F.col("l_tax")).alias("ask"))
+    return rounded(continuous.half_spread(quotes), ["half_spread"], 4)
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, round(CAST(CAST(l_extendedprice * 1000000000 AS BIGINT) AS DOUBLE) * 1e-9, 4) AS price FROM lineitem")
+def fixed_point(spark, sf):
+    t = panel.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round(F.col("l_extendedprice") * 1e9).cast("long").alias("price"))
+    return rounded(t.withColumn("price", continuous.fixed_point("price")), ["price"], 4)
+
+
+@query("""SELECT l_returnflag AS product, 'C' || l_linenumber AS contract, CAST(l_shipdate AS DATE) AS ts_event, count(*) AS n FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+def duplicate_bars(spark, sf):
+    t = panel.read(spark, sf, "lineitem")
+    return continuous.duplicate_bars(t.select(F.col("l_returnflag").alias("product"), panel.contract_name().alias("contract"), F.col("l_shipdate").cast("date").alias("ts_event")))
+
+
 @query(f"""WITH {SESS}, {RANKS}, own AS (SELECT contract, session_date, close, lag(close) OVER (PARTITION BY contract ORDER BY session_date) AS before FROM se),
 hd AS (SELECT a.session_date, a.contract, close, before, lag(a.contract) OVER (ORDER BY a.session_date) AS old FROM af a JOIN own USING (session_date, contract))
 SELECT session_date, contract, {mean_sql("CASE WHEN old IS NULL THEN 0 ELSE coalesce((close - before), 0) * 50 END - CASE WHEN old <> contract THEN CAST(2.5 AS DOUBLE) ELSE 0 END")} AS pnl FROM hd""")

@@ -49,7 +49,7 @@ def contract_name():
 def contract_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily closes and volumes of seven 'contracts' of one product: the line numbers."""
     t = read(spark, sf_dir, "lineitem")
-    return t.groupBy(F.lit("P").alias("product"), F.col("l_shipdate").cast("date").alias("session_date"), contract_name().alias("contract")).agg(F.avg("l_extendedprice").alias("close"), F.sum("l_quantity").cast("double").alias("volume"))
+    return t.groupBy(F.lit("P").alias("product"), F.col("l_shipdate").cast("date").alias("session_date"), contract_name().alias("contract")).agg(F.avg("l_extendedprice").alias("close"), F.sum("l_quantity").cast("double").alias("volume"), F.count("*").alias("open_interest"))
 
 
 def contract_list(spark: SparkSession, sf_dir: str) -> DataFrame:
