@@ -2,8 +2,9 @@
 
 On a bounded sample, a graph of nearest neighbours is cut into parts of equal size by recursive bisection (the second
 eigenvector, then swaps that lower the cut). A small classifier learns from a vector the parts of its neighbours. All
-vectors are indexed in the classifier's most probable part; a query goes to its several most probable parts, where all
-members are ranked by the exact inner product. How many parts is set on the sample, by the recall measured there.
+vectors are indexed in the classifier's most probable part; a query goes to its most probable parts until these hold a
+share of probability that gave the wanted recall on the sample, so that clear queries visit few parts and doubtful ones
+more. There, all members are ranked by the exact inner product. The number of parts grows with the table.
 """
 
 from __future__ import annotations
@@ -67,75 +68,98 @@ def balanced_partition(lists: np.ndarray, depth: int, seed: int = 1, rounds: int
 
 @dataclass
 class Router:
-    """A perceptron with one hidden layer that gives a vector's parts by falling probability."""
+    """A linear classifier with a small hidden layer beside it that gives a vector's parts by falling probability."""
 
+    w0: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
+    mass: float = 1.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return x @ self.w0 + np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def part(self, x: np.ndarray) -> np.ndarray:
         return self.scores(x).argmax(axis=1)
 
-    def route(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, : self.probes]
+    def mass_before(self, x: np.ndarray) -> np.ndarray:
+        """For each part, the probability of all parts that are more probable."""
+        p = np.exp(self.scores(x) - self.scores(x).max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        order = np.argsort(-p, axis=1, kind="stable")
+        ranked = np.take_along_axis(p, order, axis=1)
+        out = np.empty_like(p)
+        np.put_along_axis(out, order, np.cumsum(ranked, axis=1) - ranked, axis=1)
+        return out
 
+    def wanted(self, x: np.ndarray) -> np.ndarray:
+        """Whether a query visits a part; the most probable one always."""
+        return self.mass_before(x) <= self.mass
 
-def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 64, epochs: int = 8, seed: int = 1) -> Router:
-    """Softmax regression through one hidden layer on target distributions, by Adam."""
+
+def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 16, epochs: int = 12, rate: float = 0.001, seed: int = 1) -> Router:
+    """Softmax regression on target distributions by Adam; the linear part starts at the parts' mean directions."""
     rng = np.random.default_rng(seed)
     scale = 1 / max(float(np.sqrt((x**2).mean())), 1e-300)
-    p = [rng.standard_normal((x.shape[1], hidden)) * np.sqrt(2 / x.shape[1]), np.zeros(hidden), rng.standard_normal((hidden, target.shape[1])) * np.sqrt(1 / hidden), np.zeros(target.shape[1])]
+    z, (d, k) = x * scale, (x.shape[1], target.shape[1])
+    mean = target.T @ z
+    mean /= np.maximum(np.linalg.norm(mean, axis=1)[:, None], 1e-12)
+    p = [2 * mean.T, rng.standard_normal((d, hidden)) * np.sqrt(2 / d), np.zeros(hidden), rng.standard_normal((hidden, k)) * 0.1 * np.sqrt(1 / hidden), np.zeros(k)]
     m, s, t = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p], 0
-    z = x * scale
+    steps = epochs * -(-len(z) // 256)
     for _ in range(epochs):
         order = rng.permutation(len(z))
         for at in range(0, len(z), 256):
             i = order[at : at + 256]
-            h = np.maximum(z[i] @ p[0] + p[1], 0)
-            o = h @ p[2] + p[3]
+            h = np.maximum(z[i] @ p[1] + p[2], 0)
+            o = z[i] @ p[0] + h @ p[3] + p[4]
             o = np.exp(o - o.max(axis=1, keepdims=True))
-            d = (o / o.sum(axis=1, keepdims=True) - target[i]) / len(i)
-            dh = (d @ p[2].T) * (h > 0)
-            grads, t = [z[i].T @ dh, dh.sum(0), h.T @ d, d.sum(0)], t + 1
-            for j, g in enumerate(grads):
-                m[j] = 0.9 * m[j] + 0.1 * g
-                s[j] = 0.999 * s[j] + 0.001 * g * g
-                p[j] = p[j] - 0.003 * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
-    return Router(p[0] * scale, p[1], p[2], p[3])
+            g = (o / o.sum(axis=1, keepdims=True) - target[i]) / len(i)
+            gh = (g @ p[3].T) * (h > 0)
+            grads, t = [z[i].T @ g, z[i].T @ gh, gh.sum(0), h.T @ g, g.sum(0)], t + 1
+            for j, y in enumerate(grads):
+                m[j] = 0.9 * m[j] + 0.1 * y
+                s[j] = 0.999 * s[j] + 0.001 * y * y
+                p[j] = p[j] - rate * (1 - t / (steps + 1)) * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
+    return Router(p[0] * scale, p[1] * scale, *p[2:])
 
 
 def fit_router(sample: np.ndarray, depth: int, k: int, recall: float, seed: int = 1) -> Router:
-    """Cut the sample's graph, train on four fifths of it, and set the number of probes by the recall for the other fifth."""
-    held = np.arange(len(sample)) % 5 == 4
+    """Cut the sample's graph, train on nine tenths of it, and set the mass to visit by the recall for the last tenth."""
+    held = np.arange(len(sample)) % 10 == 9
     base, queries = sample[~held], sample[held]
     lists = neighbour_lists(base, base, min(20, len(base) - 1), same=True)
     part = balanced_partition(lists, depth, seed)
     target = np.zeros((len(base), 1 << depth))
-    np.add.at(target, (np.arange(len(base)), part), 1.0)
+    np.add.at(target, (np.arange(len(base)), part), 2.0)
     for column in lists.T:
         np.add.at(target, (np.arange(len(base)), part[column]), 1.0)
     router = train_router(base, target / target.sum(axis=1, keepdims=True), seed=seed)
-    if len(queries):
+    if depth and len(queries):
         true, own = neighbour_lists(queries, base, min(k, len(base))), router.part(base)
-        place = np.argsort(np.argsort(-router.scores(queries), axis=1, kind="stable"), axis=1)
-        needed = np.take_along_axis(place, own[true], axis=1).ravel() + 1
-        router.probes = int(np.ceil(np.quantile(needed, recall, method="higher")))
+        needed = np.take_along_axis(router.mass_before(queries), own[true], axis=1).ravel()
+        router.mass = float(np.quantile(needed, recall, method="higher"))
     return router
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 8000, depth: int = 5, recall: float = 0.94, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
+def depth_for(rows: int, sample: int, member: int = 64, fitted: int = 32) -> int:
+    """So many bisections that a part has ``member`` rows or more, and ``fitted`` or more of the sample's."""
+    return max(0, min(int(np.log2(max(rows / member, 1))), int(np.log2(max(sample / fitted, 1)))))
+
+
+TOGETHER = 16  # parts that lie together in one group of rows
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_480, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products (double precision) for each row of vectors(vec_id, embedding) with ``is_query``.
 
-    The router is fitted on at most ``sample`` different vectors (those with the smallest hashes), in 2**depth parts;
-    all vectors are indexed and all members of the probed parts ranked. Parts of more than ``cell`` members, and their
-    queries by more than ``slice_``, are handled in blocks. Equal vectors are searched, and ranked, as one: of each
-    class, the k + 1 smallest vec_ids can appear in a result. Ties go to the smaller vec_id; a query's own vec_id isn't
-    returned. With few vectors (no more than 4 k a part) there are fewer parts, down to one, which is exact.
+    The router is fitted on at most ``sample`` different vectors (those with the smallest hashes), in 2**depth parts (if
+    not given: by depth_for(), from one part for less than 128 vectors to 512 with this sample); all vectors are indexed
+    and all members of the visited parts ranked. Neighbouring parts are kept in groups, so that a query travels once for
+    each group. Groups of more than ``cell`` members, and their queries by more than ``slice_``, are handled in blocks.
+    Equal vectors are searched, and ranked, as one: of each class, the k + 1 smallest vec_ids can appear in a result. Ties
+    go to the smaller vec_id; a query's own vec_id isn't returned.
 
     Vectors null, empty, zero or with null or non-finite components take no part, nor do those of another length than
     most, nor rows with null vec_id; repeated rows count once; other columns are ignored; an empty table gives an empty
@@ -155,49 +179,58 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 8000, depth:
 
     some = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
     x = np.array([r.vector for r in some], np.float64)
-    while depth and len(x) < 4 * k << depth:
-        depth -= 1
+    depth = depth_for(classes.count(), len(x)) if depth is None else depth
     router = spark.sparkContext.broadcast(fit_router(x, depth, k, recall))  # size fixed by dimension, hidden units and parts
 
-    def to_cells(batches):
+    def to_groups(batches):
         for batch in batches:
             v = matrix(batch.column(0))
             if len(v):
-                yield pa.RecordBatch.from_arrays([pa.array(router.value.part(v), pa.int32()), packed(v), batch.column(1)], ["part", "x", "ids"])
+                part = router.value.part(v)
+                yield pa.RecordBatch.from_arrays([pa.array(part // TOGETHER, pa.int32()), pa.array(part % TOGETHER, pa.int32()), packed(v), batch.column(1)], ["group", "part", "x", "ids"])
 
     def to_probes(batches):
         for batch in batches:
             v = matrix(batch.column(0))
             if len(v):
-                at = router.value.route(v)
-                again = pa.array(np.repeat(np.arange(len(v)), at.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), packed(v).take(again), batch.column(1).take(again)], ["part", "x", "query_id"])
-
-    members = settle(classes.select("vector", "ids").mapInArrow(to_cells, "part int, x binary, ids array<long>"))
-    probes = settle(queries.select("vector", "query_id").mapInArrow(to_probes, "part int, x binary, query_id long"))
-    sizes = {r.part: r.n for r in members.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most 2**depth rows
-    asks = {r.part: r.n for r in probes.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    number = lambda counts, most: F.element_at(F.create_map(*[F.lit(y) for p in range(1 << depth) for y in (p, max(1, -(-counts.get(p, 0) // most)))]), F.col("part"))
+                wanted = router.value.wanted(v)
+                wanted = np.pad(wanted, ((0, 0), (0, -wanted.shape[1] % TOGETHER))).reshape(len(v), -1, TOGETHER)
+                bits = wanted @ (1 << np.arange(TOGETHER))
+                row, group = np.nonzero(bits)
+                again = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(bits[row, group], pa.int32()), packed(v).take(again), batch.column(1).take(again)], ["group", "part", "x", "query_id"])
+
+    members = settle(classes.select("vector", "ids").mapInArrow(to_groups, "group int, part int, x binary, ids array<long>"))
+    probes = settle(queries.select("vector", "query_id").mapInArrow(to_probes, "group int, part int, x binary, query_id long"))
+    sizes = {r.group: r.n for r in members.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group of parts
+    asks = {r.group: r.n for r in probes.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    number = lambda counts, most: F.element_at(F.create_map(*[F.lit(y) for p in range(-(-(1 << depth) // TOGETHER)) for y in (p, max(1, -(-counts.get(p, 0) // most)))]), F.col("group"))
     cells, slices = number(sizes, cell), number(asks, slice_)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
-    left = members.select("part", own(cells, "ids").alias("cell"), all_of(slices).alias("slice"), F.lit(0).alias("kind"), "x", "ids", F.lit(0).cast("long").alias("query_id"))
-    right = probes.select("part", all_of(cells).alias("cell"), own(slices, "query_id").alias("slice"), F.lit(1).alias("kind"), "x", F.array().cast("array<long>").alias("ids"), "query_id")
-    block = ["part", "cell", "slice"]
-    dealt = left.unionByName(right).repartition(parts(rows), *block).sortWithinPartitions(*block, "kind")
+    left = members.select("group", own(cells, "ids").alias("cell"), all_of(slices).alias("slice"), F.lit(0).alias("kind"), "part", "x", "ids", F.lit(0).cast("long").alias("query_id"))
+    right = probes.select("group", all_of(cells).alias("cell"), own(slices, "query_id").alias("slice"), F.lit(1).alias("kind"), "part", "x", F.array().cast("array<long>").alias("ids"), "query_id")
+    block = ["group", "cell", "slice"]
+    dealt = left.unionByName(right).repartition(parts(rows), *block).sortWithinPartitions(*block, "kind", F.when(F.col("kind") == 0, F.col("part")))
 
     def rank(batches):
-        for _, kind, v, ids, query in groups(batches, block, ["kind", "x", "ids", "query_id"]):
+        for _, kind, part, v, ids, query in groups(batches, block, ["kind", "part", "x", "ids", "query_id"]):
             cut = int((kind == 0).sum())
             if not 0 < cut < len(kind):
                 continue
             base, smallest, members_ = unpacked(v[:cut]), np.array([i[0] for i in ids[:cut]]), ids[:cut]
+            ends = np.searchsorted(part[:cut], np.arange(TOGETHER + 1))
             for at in range(cut, len(kind), 256):
-                scores = unpacked(v[at : at + 256]) @ base.T
+                x, bits = unpacked(v[at : at + 256]), part[at : at + 256]
+                scores = np.full((len(x), cut), -np.inf)
+                for p in range(TOGETHER):
+                    asks_it = np.flatnonzero(bits >> p & 1)
+                    if len(asks_it) and ends[p] < ends[p + 1]:
+                        scores[asks_it, ends[p] : ends[p + 1]] = x[asks_it] @ base[ends[p] : ends[p + 1]].T
                 out: list = [[], [], []]
                 for q, s in zip(query[at : at + 256].tolist(), scores):
                     least = np.partition(s, -(k + 1))[-(k + 1)] if cut > k + 1 else -np.inf
-                    near = np.flatnonzero(s >= least)
+                    near = np.flatnonzero((s >= least) & (s > -np.inf))
                     near = near[np.lexsort((smallest[near], -s[near]))][: k + 1]
                     out[0] += [q] * len(near)
                     out[1] += s[near].tolist()
