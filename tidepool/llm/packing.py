@@ -71,8 +71,9 @@ def lexical_keys(ids: np.ndarray, df: np.ndarray, terms: int) -> tuple[int, int]
     return tuple([*h[:2].tolist(), -1, -1][:2])
 
 
-def dealt(tokens: DataFrame, frequencies: np.ndarray, kind: str, total: int, terms: int = 16, least: int = 200_000) -> DataFrame:
-    """tokens in the order of their lexical keys; tasks get at least about ``least`` ids, so that few windows are padded."""
+def dealt(tokens: DataFrame, frequencies: np.ndarray, kind: str, total: int, terms: int = 16, least: int = 200_000, most: int = 1 << 24) -> DataFrame:
+    """tokens in the order of their lexical keys; tasks get at least about ``least`` ids, so that few windows are padded,
+    and, however large the table, about ``most`` of them (where the session asks for too few partitions)."""
     shared = tokens.sparkSession.sparkContext.broadcast(frequencies)
     names = ["doc_id", "n_tokens", "ids", "k1", "k2"]
 
@@ -83,7 +84,7 @@ def dealt(tokens: DataFrame, frequencies: np.ndarray, kind: str, total: int, ter
 
     keyed = tokens.select(*names[:3]).mapInArrow(run, "doc_id long, n_tokens long, ids binary, k1 long, k2 long")
     order = ["k1", "k2", F.xxhash64("doc_id", "n_tokens")]
-    return keyed.repartitionByRange(max(1, min(parts(tokens), total // least)), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return keyed.repartitionByRange(max(1, min(max(parts(tokens), total // most), total // least)), *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
 
 class Shard:
