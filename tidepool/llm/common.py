@@ -81,7 +81,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = settle(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(join_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(pair(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        last, now = now, settle(pair(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        discard(last, large)
         after = mark(now)
         if after == before:
             break

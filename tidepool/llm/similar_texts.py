@@ -7,6 +7,8 @@ compared by its whole sets of shingles; what shares a key and isn't yet joined a
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, join_side, settle
+from .common import components, discard, join_side, settle
 from .vectors import groups, parts
 
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no key at odds of (1 - 0.8^4)^24, about 3 in a million
-KEY = ["doc_id", "text_hash"]
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -52,38 +53,32 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both / max(1, len(a) + len(b) - both) >= least
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
-def signatures(docs: DataFrame, words: int, rows: int = 256) -> DataFrame:
-    """doc_id, text_hash, same (128-bit hash of the set of shingles), fp (SimHash) and bands of each row."""
+def signatures(rows: DataFrame, words: int, size: int = 256) -> DataFrame:
+    """row, same (128-bit digest of the set of shingles), fp (SimHash) and bands of each of rows(row, text)."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                texts = part.column(2).to_pylist()
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                texts = part.column(1).to_pylist()
                 sets = [shingle_set(t, words) for t in texts]
                 fp = simhash.fingerprint(texts, words).view(np.int64)
-                same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), same, pa.array(fp), bands], [*KEY, "same", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), same, pa.array(fp), bands], ["row", "same", "fp", "bands"])
 
-    return keyed(docs).select(*KEY, "text").mapInArrow(run, "doc_id long, text_hash long, same binary, fp long, bands array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, same binary, fp long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) for wanted(node, best): the set of the row that ``best`` names."""
+def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) for wanted(node, row)."""
 
     def run(batches):
         for batch in batches:
             sets = pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
 
-    named = wanted.select("node", F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
-    rows = keyed(docs).select(*KEY, "text").join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    return rows.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles binary")
+    return rows.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def true_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -137,13 +132,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, hot: i
 
     Rows link if the Jaccard similarity of their sets of ``words``-word shingles is at least ``least``; texts without
     words are alike. Each row is a node of its own, whether its doc_id is null or repeated: of a component the row with
-    the smallest doc_id stays (null last; of equal ones that with the smallest hash of its text). Texts of any length are
+    the smallest doc_id stays (null last; of equal ones that with the smallest hash of its text). All columns stay. Texts of any length are
     read whole; an empty table gives an empty result.
     """
-    found = settle(signatures(docs, words))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *KEY)).alias("best")
-    one = found.groupBy("same").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = settle(docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
+    rows = numbered.select("row", "doc.text")
+    named = numbered.select("row", F.struct(F.col("doc.doc_id").isNull().alias("nameless"), "doc.doc_id", F.xxhash64("doc.text").alias("hash"), "row").alias("name"))
+    found = settle(signatures(rows, words))
+    one = found.join(named, "row").groupBy("same").agg(F.min("name").alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = settle(one.drop("same").withColumn("node", F.monotonically_increasing_id()))
+    discard(found)
     keys = classes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     buckets = settle(keys.join(join_side(sizes), ["band", "key"]))
@@ -151,14 +150,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, hot: i
     stars = buckets.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     pairs = settle(stars.unionByName(bits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
     ends = buckets.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = settle(sets_of(docs, classes.join(ends, "node").select("node", "best"), words))
+    sets = settle(sets_of(rows, classes.join(ends, "node").select("node", "best.row"), words))
     links = settle(true_links(pairs, sets, least))
     known = components(links)
     placed = settle(buckets.drop("first").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     split = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "key")
     open_ = placed.join(join_side(split), ["band", "key"]).join(sets, "node")
     links = links.unionByName(settle(rest_links(open_, least, hot)))
-    rows = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = rows.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
-    left = keyed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    return left.dropDuplicates(KEY).select(*docs.columns)
+    joined = components(links)
+    discard(buckets, pairs, sets, placed)
+    grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = grouped.groupBy("component").agg(F.min("best").alias("best")).select("best.row")
+    return numbered.join(kept, "row").select("doc.*")
