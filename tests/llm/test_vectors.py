@@ -77,6 +77,40 @@ def test_blocks_of_a_part_agree(spark, cell, slice_):
     assert sum(len({i for i, _ in w} & found[q]) for q, w in want.items()) >= 0.97 * 5 * len(want)
 
 
+def share_and_recall(x, k=20):
+    """Of all vectors the share that a query ranks, and how many of its true neighbours are among them."""
+    some = x[np.random.default_rng(1).permutation(len(x))[:20_480]]
+    router = learned_ann.fit_router(some, learned_ann.depth_for(len(x), len(some)), k, 0.93)
+    own = np.concatenate([router.part(x[i : i + 4096]) for i in range(0, len(x), 4096)])
+    sizes = np.bincount(own, minlength=router.w0.shape[1])
+    queries = np.arange(0, len(x), 20)
+    wanted = router.wanted(x[queries])
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    true = np.argpartition(-s, k, axis=1)[:, :k]
+    return float((wanted @ sizes).mean() / len(x)), float(np.take_along_axis(wanted, own[true], axis=1).mean())
+
+
+def test_routing_saves_more_as_tables_grow():
+    """On vectors without structure, which are the hardest; at ten thousand, and on a clustered table."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    even = unit(rng.standard_normal((12_000, 64)))
+    small, large = share_and_recall(even[:1500]), share_and_recall(even)
+    assert small[1] >= 0.9 and large[1] >= 0.9
+    assert large[0] < small[0] - 0.05 and large[0] < 0.7
+    centres = unit(rng.standard_normal((80, 64)))
+    share, recall = share_and_recall(unit(centres[rng.integers(0, 80, 12_000)] + 0.08 * rng.standard_normal((12_000, 64))))
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_search_with_null_ids_and_repeated_rows(spark):
+    rows = [(i, np.eye(4)[i % 4] + 0.01 * i) for i in range(12)]
+    df = frame(spark, [*rows, *rows[:3], (None, [1.0, 0, 0, 0])])
+    got = learned_ann.search(df, F.coalesce(F.col("vec_id") % 3 == 0, F.lit(True)), k=3).collect()
+    assert {r.query_id for r in got} == {0, 3, 6, 9} and len(got) == 12 and all(r.vec_id is not None for r in got)
+
+
 def plain_links(rows):
     unit = np.array([v / np.linalg.norm(v) for _, v in rows])
     return unit @ unit.T >= 0.9
@@ -106,3 +140,44 @@ def test_near_vectors_blocks_and_edges(spark):
         assert [got[i].n_links for i, _ in rows] == (near.sum(axis=1) - 1).tolist()
         assert all(got[i].n_links == 0 and got[i].kept for i, _ in bad)
     assert projection_dedup.near_vectors(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("rows", [2000, 10_000, 40_000])
+def test_lone_pairs_are_found_at_every_size(spark, rows):
+    """Pairs of cosine 0.90 to 0.92 among vectors without structure, and the same in a cone of mutual cosine 0.5."""
+    rng = np.random.default_rng(rows)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for cone in (0.0, 0.5) if rows < 40_000 else (0.0,):
+        axis = unit(rng.standard_normal(64))
+        inside = lambda n: unit(np.sqrt(cone) * axis + np.sqrt(1 - cone) * unit(rng.standard_normal((n, 64))))
+        x, pairs = inside(rows), 100
+        way = inside(pairs)
+        way = unit(way - (way * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+        c = rng.uniform(0.9001, 0.92, pairs)[:, None]
+        x[pairs : 2 * pairs] = c * x[:pairs] + np.sqrt(1 - c * c) * way
+        got = {r.vec_id: r for r in projection_dedup.near_vectors(frame(spark, list(enumerate(x)))).filter("n_links > 0").collect()}
+        found = sum(i in got and got[i + pairs].component_id == got[i].component_id for i in range(pairs) if i + pairs in got)
+        assert found >= 96, (rows, cone, found)
+
+
+def test_doubtful_pairs_and_borders(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(32)
+    x = projection_dedup.unit_rows(base + 0.26 * rng.standard_normal((400, 32)))
+    half = x.astype(np.float16).astype(np.float32)
+    exact = x @ x.T
+    links = list(projection_dedup.links_in(np.arange(400), half, 0, 0.9, 400))
+    sure = {(a, b) for kind, i, j in links if kind == 0 for a, b in zip(i.tolist(), j.tolist())}
+    doubt = [(a, b) for kind, i, j in links if kind == 1 for a, b in zip(i.tolist(), j.tolist())]
+    root = groups_of(400, lambda i, j: (i, j) in sure or (j, i) in sure)
+    for i, j in zip(*np.nonzero(np.triu(exact >= 0.9, 1))):
+        assert root[i] == root[j] or any({a, b} == {i, j} for a, b in doubt)
+    assert all(abs(exact[a, b] - 0.9) < 0.0025 for a, b in doubt)
+
+
+def test_vectors_with_null_shared_or_repeated_ids(spark):
+    v, w = np.array([1.0, 2, 3]), np.array([-3.0, 1, 1])
+    got = projection_dedup.near_vectors(frame(spark, [(1, v), (1, v), (2, v), (3, w), (3, 2 * v), (None, v), (None, w)])).collect()
+    assert len(got) == 7
+    assert sorted(r.n_links for r in got if r.vec_id in (1, 2)) == [4, 4, 4]
+    assert all(r.component_id is not None or r.vec_id is None for r in got)
