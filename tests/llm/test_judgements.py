@@ -13,7 +13,7 @@ from tidepool.llm import common, preference, toxicity, url_filter
 from tidepool.llm.entry import op2_toxicity
 
 from .helpers import awkward_texts, docs_frame, groups_of, repeated_bytes
-from .test_texts import plain_fingerprint
+from .test_pipeline_stages import alike, shingles
 
 SF = "/root/testdata/sf0.1"
 
@@ -167,8 +167,8 @@ def test_pipeline(spark, sf_dir):
     assert calm.columns == docs.columns
     left = sorted(i for i in before if i not in toxic)
     assert {r.doc_id for r in calm.collect()} == set(left)
-    fps = [plain_fingerprint(before[i]) for i in left]
-    root = groups_of(len(left), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    sets = [shingles(before[i]) for i in left]
+    root = groups_of(len(left), lambda i, j: alike(sets[i], sets[j]))
     one = [i for n, i in enumerate(left) if root[n] == n]
     kept = repeated_bytes([before[i] for i in one])
     sizes = {i: len(k) for i, (k, *_) in zip(one, kept)}
@@ -182,3 +182,21 @@ def test_pipeline(spark, sf_dir):
     cut = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs.filter(F.col("doc_id").isin(one)), sf_dir).collect()}
     for i, (raw, removed, _) in zip(one, kept):
         assert 0 <= len((cut[i] or "").encode()) - len(raw) <= 6 * (removed > 0) * (1 + removed // 200)
+
+
+def test_pipeline_on_an_empty_table_and_odd_ids(spark, tmp_path, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    some = docs.orderBy("doc_id").limit(12)
+    odd = some.unionByName(some.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.concat(F.lit("quite another text, number "), "doc_id", F.lit(" of its kind"))})).unionByName(some.limit(2).withColumn("text", F.concat(F.lit("an own text under a known id "), "source", "doc_id")))
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    pieces = pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sum(p.doc_id is None and p.start == 0 for p in pieces) == 3
+    before = [r.doc_id for r in odd.collect()]
+    assert {p.doc_id for p in pieces} <= set(before)
+    assert all(before.count(d) >= sum(p.doc_id == d and p.start == 0 for p in pieces) >= 1 for d in {r.doc_id for r in odd.filter("text like 'an own text%'").collect()})
