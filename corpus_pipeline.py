@@ -21,7 +21,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that links of five-word Jaccard similarity 0.8 or more connect, the one with the smallest doc_id stays.
 
-    Rows are told apart by doc_id and text: of rows that repeat a doc_id or have none, only near copies go."""
+    Each row is a document of its own: of rows that repeat a doc_id or have none, only near copies go."""
     return similar_texts.drop_near_copies(docs)
 
 
