@@ -136,6 +136,10 @@ def test_windows_of_colliding_prefixes_are_compared_by_bytes(spark):
     classes = spark.createDataFrame(rows, "kh long, m long, row long, lo long, n long, t binary")
     for f in (suffix_dedup.unique_windows, suffix_dedup.unique_windows_spread):
         assert {(r.row, r.lo + p) for r in f(classes).collect() for p in range(r.n + 1)} == want
+    assert {(r.row, r.lo + p) for r in suffix_dedup.unique_windows(classes, few=0).collect() for p in range(r.n + 1)} == want
+    few = suffix_dedup.alone_few(runs)
+    for hashes in (None, lambda buf, n: np.zeros(len(buf) - n + 1, np.uint64), lambda buf, n: (buf[: len(buf) - n + 1] % 3).astype(np.uint64)):
+        assert [x.tolist() for x in suffix_dedup.alone_many(runs, hashes)] == [x.tolist() for x in few]
 
 
 def test_columns_with_names_used_inside(spark):

@@ -350,30 +350,62 @@ def run_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "row long, kh long, lo long, off long, n long, t binary")
 
 
-def unique_windows(classes: DataFrame) -> DataFrame:
+def alone_few(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text of a few, whether each of its windows is found nowhere else in them."""
+    owner: dict[bytes, int] = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - LENGTH + 1):
+            w = t[p : p + LENGTH]
+            owner[w] = -1 if w in owner else i
+    return [np.array([owner[t[p : p + LENGTH]] == i for p in range(len(t) - LENGTH + 1)], bool) for i, t in enumerate(texts)]
+
+
+def alone_many(texts: list[bytes], hashes=None) -> list[np.ndarray]:
+    """As alone_few, with a few numbers a window in memory. A window with a hash of its own is alone; those with equal
+    hashes are compared by their bytes."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    counts = sizes - LENGTH + 1
+    at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    h = (hashes or HASH.of_all)(buf, LENGTH)[at]
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    windows = np.lib.stride_tricks.sliding_window_view(buf, LENGTH)
+    twin, mixed = np.zeros(len(at), bool), set()
+    for first in range(0, len(same), 8192):
+        a, b = order[same[first : first + 8192]], order[same[first : first + 8192] + 1]
+        equal = (windows[at[a]] == windows[at[b]]).all(axis=1)
+        twin[a[equal]] = twin[b[equal]] = True
+        mixed.update(h[a[~equal]].tolist())
+    for value in mixed:  # different windows with one hash
+        members = np.flatnonzero(h == U(value))
+        seen: dict[bytes, int] = {}
+        for m in members.tolist():
+            w = windows[at[m]].tobytes()
+            seen[w] = seen.get(w, 0) + 1
+        twin[members] = [seen[windows[at[m]].tobytes()] > 1 for m in members.tolist()]
+    return np.split(~twin, np.cumsum(counts)[:-1])
+
+
+def unique_windows(classes: DataFrame, few: int = 64) -> DataFrame:
     """(row, lo, n) of the windows that no other of classes(kh, m, row, lo, n, t) with the same kh has, of those with m = 1.
 
     Equal windows have equal anchors, so all runs that could share one are in one task."""
     dealt = classes.repartition(parts(classes), "kh").sortWithinPartitions("kh")
 
     def run(batches):
-        for _, m, row, lo, n, texts in groups(batches, ["kh"], ["m", "row", "lo", "n", "t"]):
-            owner: dict[bytes, int] = {}
-            for i, (t, last) in enumerate(zip(texts, n.tolist())):
-                for p in range(last + 1):
-                    w = t[p : p + LENGTH]
-                    owner[w] = -1 if w in owner else i
+        for _, m, row, lo, texts in groups(batches, ["kh"], ["m", "row", "lo", "t"]):
+            texts = texts.tolist()
+            found = (alone_few if len(texts) <= few else alone_many)(texts)
             out = []
             for i in np.flatnonzero(m == 1).tolist():
-                t, alone = texts[i], np.zeros(n[i] + 3, np.int8)
-                alone[1:-1] = [owner[t[p : p + LENGTH]] == i for p in range(n[i] + 1)]
-                edges = np.diff(alone)
+                edges = np.diff(found[i].astype(np.int8), prepend=0, append=0)
                 for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
                     out.append((row[i], lo[i] + s, e - s - 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["row", "lo", "n"])
 
-    return dealt.select("kh", "m", "row", "lo", "n", "t").mapInArrow(run, "row long, lo long, n long")
+    return dealt.select("kh", "m", "row", "lo", "t").mapInArrow(run, "row long, lo long, n long")
 
 
 def unique_windows_spread(classes: DataFrame) -> DataFrame:
@@ -392,7 +424,7 @@ def unique_windows_spread(classes: DataFrame) -> DataFrame:
     return once.select("row", "lo", F.lit(0).cast("long").alias("n"))
 
 
-def repeated_windows(texts: DataFrame, hot: int = 2048) -> DataFrame:
+def repeated_windows(texts: DataFrame, hot: int = 16_384) -> DataFrame:
     """(row, spans): for each row of texts (written by squeezed) with candidates, an array of (first window, windows less
     one, unique or not), unordered. Repeated are the windows of those that aren't unique less the unique ones."""
     size = texts.agg(F.sum(F.when(F.col("size") >= LENGTH, F.col("size")))).first()[0] or 0
@@ -447,7 +479,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def removal_digests(docs: DataFrame, hot: int = 2048) -> DataFrame:
+def removal_digests(docs: DataFrame, hot: int = 16_384) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (start, end in bytes), kept_sha256 for each row of docs(doc_id, text).
 
     Each byte is removed that a LENGTH-byte string covers which also starts anywhere else, in the same document or
@@ -475,7 +507,7 @@ def removal_digests(docs: DataFrame, hot: int = 2048) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, hot: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 16_384) -> DataFrame:
     """The rows of docs with repeated strings cut from ``text`` (and ``n_chars``, if there, counted anew).
 
     As removal_digests, but a character of which a part would stay stays whole. All columns stay, whatever their names.
