@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_side, settle, table
+from .common import discard, settle, table
 from .vectors import groups, parts
 
 LENGTH, PREFIX = 200, 32
@@ -232,7 +232,8 @@ def merge(runs: list):
 
 
 CELLS = ["lcp", "tails", "several"]
-RUNS = ["row", "kh", "lo", "off", "n"]
+RUNS = ["row", "kh", "at"]  # at: first window, the anchor's place in it and windows less one, in 48, 8 and 8 bits
+FIRST, OFFSET, COUNT = "shiftright(at, 16)", "shiftright(at, 8) & 255", "at & 255"
 
 
 def pick_splitters(texts: DataFrame, ranges: int) -> list[bytes]:
@@ -263,8 +264,8 @@ def pick_splitters(texts: DataFrame, ranges: int) -> list[bytes]:
 
 
 def anchored(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Two kinds of rows from one pass over texts: every run of windows (row, hash of its anchor's prefix, first window,
-    the anchor's place in it, windows less one), and front-coded parts of sorted runs of the anchors' prefixes by range."""
+    """Two kinds of rows from one pass over texts: every run of windows (RUNS: row, hash of its anchor's prefix, place), and
+    front-coded parts of sorted runs of the anchors' prefixes by range."""
     longs, binaries = [*RUNS], [*CELLS]
     schema = pa.schema([*((c, pa.int64()) for c in longs), ("range", pa.int32()), *((c, pa.binary()) for c in binaries)])
 
@@ -282,7 +283,7 @@ def anchored(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
         for buf, starts, stops, rows, offsets in pieces(batches):
             doc, a, lo, hi, kh = anchors(buf, starts, stops)
             if len(a):
-                cells = [rows[doc], kh.view(np.int64), lo - starts[doc] + offsets[doc], a - lo, hi - lo]
+                cells = [rows[doc], kh.view(np.int64), (lo - starts[doc] + offsets[doc]) << 16 | (a - lo) << 8 | hi - lo]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in cells), pa.nulls(len(a), pa.int32()), *[pa.nulls(len(a), pa.binary())] * len(binaries)], schema=schema)
                 strings.append(np.lib.stride_tricks.sliding_window_view(buf, PREFIX)[a])
                 size += len(a)
@@ -388,13 +389,15 @@ def alone_many(texts: list[bytes], hashes=None) -> list[np.ndarray]:
 
 
 def unique_windows(classes: DataFrame, few: int = 64) -> DataFrame:
-    """(row, lo, n) of the windows that no other of classes(kh, m, row, lo, n, t) with the same kh has, of those with m = 1.
+    """(row, lo, n) of the windows that no other of classes(kh, m, row, lo, t) with the same kh has, of those with m = 1.
 
     Equal windows have equal anchors, so all runs that could share one are in one task."""
     dealt = classes.repartition(parts(classes), "kh").sortWithinPartitions("kh")
 
     def run(batches):
         for _, m, row, lo, texts in groups(batches, ["kh"], ["m", "row", "lo", "t"]):
+            if not (m == 1).any():
+                continue
             texts = texts.tolist()
             found = (alone_few if len(texts) <= few else alone_many)(texts)
             out = []
@@ -413,13 +416,13 @@ def unique_windows_spread(classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            m, row, lo, n = (batch.column(i).to_numpy() for i in range(4))
-            for i, t in enumerate(batch.column(4).to_pylist()):
-                count = int(n[i]) + 1
+            m, row, lo = (batch.column(i).to_numpy() for i in range(3))
+            for i, t in enumerate(batch.column(3).to_pylist()):
+                count = len(t) - LENGTH + 1
                 cells = [np.full(count, m[i]), np.full(count, row[i]), lo[i] + np.arange(count)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cells), pa.array([t[p : p + LENGTH] for p in range(count)], pa.binary())], ["m", "row", "lo", "w"])
 
-    windows = classes.select("m", "row", "lo", "n", "t").mapInArrow(run, "m long, row long, lo long, w binary")
+    windows = classes.select("m", "row", "lo", "t").mapInArrow(run, "m long, row long, lo long, w binary")
     once = windows.groupBy("w").agg(F.count("*").alias("c"), F.max("m").alias("m"), F.min("row").alias("row"), F.min("lo").alias("lo")).filter("c = 1 and m = 1")
     return once.select("row", "lo", F.lit(0).cast("long").alias("n"))
 
@@ -431,17 +434,18 @@ def repeated_windows(texts: DataFrame, hot: int = 16_384) -> DataFrame:
     splitters = pick_splitters(texts, max(parts(texts), size // 85 // RANGE))
     both = settle(anchored(texts, splitters), "zstd")
     repeated = repeated_prefixes(both.filter("range is not null"), len(splitters) + 1)
-    found = settle(both.filter("row is not null").select(*RUNS).join(repeated, "kh"))
+    place = [F.expr(x).alias(c) for x, c in ((FIRST, "lo"), (OFFSET, "off"), (COUNT, "n"))]
+    found = settle(both.filter("row is not null").select(*RUNS).join(repeated, "kh").select("row", "kh", *place))
     discard(both)
-    least = [F.min(c).alias(c) for c in ("kh", "row", "lo", "n")]  # of one row where m = 1; kh and n follow from off and t
+    least = [F.min(c).alias(c) for c in ("kh", "row", "lo")]  # of one row where m = 1; kh follows from off and t
     classes = settle(run_texts(texts, found).groupBy("off", "t").agg(F.count("*").alias("m"), *least), "zstd")
-    sizes = classes.groupBy("kh").agg(F.count("*").alias("size"), F.min("m").alias("fewest")).filter("fewest = 1").select("kh", "size")
-    mixed = settle(classes.join(join_side(sizes), "kh"), "zstd")
-    discard(classes)
+    crowded = settle(classes.groupBy("kh").agg(F.count("*").alias("size")).filter(F.col("size") > hot).select("kh"))
     span = lambda df, unique: df.select("row", F.struct("lo", "n", F.lit(unique).alias("unique")).alias("s"))
-    spans = span(found, False).unionByName(span(unique_windows(mixed.filter(F.col("size") <= hot)), True))
-    if not mixed.filter(F.col("size") > hot).isEmpty():
-        spans = spans.unionByName(span(unique_windows_spread(mixed.filter(F.col("size") > hot)), True))
+    if crowded.isEmpty():
+        spans = span(found, False).unionByName(span(unique_windows(classes), True))
+    else:
+        spans = span(found, False).unionByName(span(unique_windows(classes.join(crowded, "kh", "left_anti")), True))
+        spans = spans.unionByName(span(unique_windows_spread(classes.join(crowded, "kh", "left_semi")), True))
     return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))  # of one document
 
 
