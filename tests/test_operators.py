@@ -130,6 +130,24 @@ def test_ordered_blocks_are_exact(spark, monkeypatch):
             assert (x.s, x.top) == ((pytest.approx(sum(upto)), max(upto)) if upto else (None, None))
 
 
+def test_counted_frames_give_the_same(spark):
+    r = random.Random(3)
+    rows = [(k, i, None if r.random() < 0.1 else r.gauss(0, 2.5), r.gauss(0, 1)) for k in range(3) for i in range(80)]
+    d = spark.createDataFrame(rows, "k long, idx long, z double, spread double")
+    how = dict(order_col="idx", partition_cols=["k"])
+
+    def made(n, exit, stop):
+        s = tp.generate_signals(d, 2.0, exit, stop, rows=n, **how)
+        t = tp.backtest_table(tp.zscore(s, 7, name="zz", rows=n, **how), 0.1, 2, rows=n, **how)
+        m = tp.performance_metrics(t, equity="equity", trades="is_trade", rows=n, **how)
+        o = tp.ou_table(d, rows=n, **how)
+        rounded = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect()), key=str)
+        return rounded(t.select("k", "idx", "zz", "position", "pnl", "equity", "is_trade")), rounded(m), rounded(o)
+
+    for exit, stop in ((0.5, 4.0), (1.0, None), (2.5, 3.0)):
+        assert made(None, exit, stop) == made(240, exit, stop)
+
+
 def test_ou(spark):
     p = tp.OUParams(0.2, 0.0, 1.0, 1.0)
     assert p.half_life == pytest.approx(math.log(2) / 0.2)

@@ -4,6 +4,8 @@
 among themselves. ``windowed`` evaluates frames that reach back a bounded number of rows in blocks of rows, each block
 with a copy of the rows just before it. ``cumulative`` sums within blocks and adds the totals of earlier blocks (one row
 each). These are lazy and exact; no window ranges over more than a block of rows, or over one row a block.
+
+Who has counted a frame can say so (``rows``): one of at most ROWS rows is a single block, and plain windows do.
 """
 
 from __future__ import annotations
@@ -51,7 +53,11 @@ def _stretch(df: DataFrame, order_col: str) -> Column:
     return F.coalesce(key.cast("long"), F.lit(-(1 << 62)))
 
 
-def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
+def one_block(rows: int | None) -> bool:
+    return rows is not None and rows <= ROWS
+
+
+def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[str] = (), tiebreak: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df with its 0-based place in each series as column ``_i``; a frame that has it already stays as it is.
 
     Rows of one time are told apart by ``tiebreak`` and then by a hash of all columns, so that numbering the same rows
@@ -60,6 +66,8 @@ def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[st
     if INDEX in df.columns:
         return df
     whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
+    if one_block(rows):
+        return df.withColumn(INDEX, (F.row_number().over(Window.partitionBy(*partition_cols).orderBy(order_col, *tiebreak, whole)) - 1).cast("long"))
     keys = [*partition_cols, "_k"]
     d = df.withColumn("_k", _stretch(df, order_col))
     counts = d.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -70,8 +78,10 @@ def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[st
     return d.withColumn(INDEX, F.col("_first") + F.col("_r") - 1).drop("_k", "_r", "_first")
 
 
-def windowed(df: DataFrame, columns: dict[str, Callable[[WindowSpec], Column]], before: int, partition_cols: Sequence[str] = ()) -> DataFrame:
+def windowed(df: DataFrame, columns: dict[str, Callable[[WindowSpec], Column]], before: int, partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df (indexed) with columns made by functions of an ordered window; their frames reach back at most ``before`` rows."""
+    if one_block(rows):
+        return df.withColumns({name: make(Window.partitionBy(*partition_cols).orderBy(INDEX)) for name, make in columns.items()})
     size = max(ROWS, 4 * before)
     home = F.floor(F.col(INDEX) / size)
     reach = F.col(INDEX) % size >= size - before
@@ -80,9 +90,12 @@ def windowed(df: DataFrame, columns: dict[str, Callable[[WindowSpec], Column]],
     return d.withColumns({name: make(w) for name, make in columns.items()}).filter(F.col("_b") == home).drop("_b")
 
 
-def cumulative(df: DataFrame, columns: dict[str, tuple[Column, str]], partition_cols: Sequence[str] = ()) -> DataFrame:
+def cumulative(df: DataFrame, columns: dict[str, tuple[Column, str]], partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df (indexed) with running sums, maxima or minima (nulls skipped), given as name: (column, "sum" | "max" | "min")."""
     of = {"sum": F.sum, "max": F.max, "min": F.min}
+    if one_block(rows):
+        whole = Window.partitionBy(*partition_cols).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: of[how](c).over(whole) for n, (c, how) in columns.items()})
     both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "max": F.greatest, "min": F.least}
     keys = [*partition_cols, "_b"]
     d = df.withColumn("_b", F.floor(F.col(INDEX) / ROWS)).withColumns({f"_v_{n}": c for n, (c, _) in columns.items()})

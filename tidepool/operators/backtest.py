@@ -25,6 +25,7 @@ class BacktestResult:
 
     table: DataFrame
     order_col: str = "ts"
+    rows: int | None = None  # of the table, or more, if known
 
     @property
     def positions(self) -> DataFrame:
@@ -40,7 +41,7 @@ class BacktestResult:
 
     @cached_property
     def _summary(self) -> dict:
-        return performance_metrics(self.table, order_col=self.order_col, equity="equity", trades="is_trade").first().asDict()
+        return performance_metrics(self.table, order_col=self.order_col, equity="equity", trades="is_trade", rows=self.rows).first().asDict()
 
     @property
     def trades(self) -> int:
@@ -51,7 +52,7 @@ class BacktestResult:
         return {k: v for k, v in self._summary.items() if k != "trades"}
 
 
-def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str = "pnl", order_col: str = "ts", partition_cols: Sequence[str] = (), equity: str | None = None, trades: str | None = None) -> DataFrame:
+def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str = "pnl", order_col: str = "ts", partition_cols: Sequence[str] = (), equity: str | None = None, trades: str | None = None, rows: int | None = None) -> DataFrame:
     """total_pnl, sharpe, max_drawdown, hit_rate, n_periods of each series; with ``trades``, the sum of that column, too.
 
     Missing pnl is dropped. The drawdown's first peak is the first equity, not 0; a pnl without spread has sharpe 0; the
@@ -64,8 +65,8 @@ def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str
         d = df.select(*partition_cols, INDEX, v.alias("_pnl"), F.col(equity).alias("_equity"), *counted)
     else:
         d = df.select(*partition_cols, order_col, F.when(~F.isnan(v), v).alias("_pnl"), *counted).filter("_pnl is not null")
-        d = cumulative(staged(with_index(d, order_col, partition_cols)), {"_equity": (F.col("_pnl"), "sum")}, partition_cols)
-    d = cumulative(d, {"_peak": (F.col("_equity"), "max")}, partition_cols)
+        d = cumulative(staged(with_index(d, order_col, partition_cols, rows=rows)), {"_equity": (F.col("_pnl"), "sum")}, partition_cols, rows)
+    d = cumulative(d, {"_peak": (F.col("_equity"), "max")}, partition_cols, rows)
     s = d.groupBy(*partition_cols).agg(
         F.coalesce(F.sum("_pnl"), F.lit(0.0)).alias("total_pnl"), F.avg("_pnl").alias("m"), F.stddev_samp("_pnl").alias("s"),
         F.coalesce(F.max(F.col("_peak") - F.col("_equity")), F.lit(0.0)).alias("max_drawdown"),
@@ -76,7 +77,7 @@ def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str
     return s.select(*partition_cols, "total_pnl", sharpe.alias("sharpe"), "max_drawdown", "hit_rate", "n_periods", *(["trades"] if trades else []))
 
 
-def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, spread: str = "spread", position: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
+def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, spread: str = "spread", position: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df with position (missing: 0), pnl, equity and is_trade.
 
     pnl is the position ``lag`` rows ago times the spread's change, less cost times the change of position (charged at
@@ -85,23 +86,23 @@ def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, s
     """
     if lag < 0:
         raise ValueError("lag must not be negative: it would look ahead")
-    d = df if INDEX in df.columns else staged(with_index(df, order_col, partition_cols))
+    d = df if INDEX in df.columns else staged(with_index(df, order_col, partition_cols, rows=rows))
     d = d.withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0)))
-    d = windowed(d, {"_ds": lambda w: F.col(spread) - F.lag(spread).over(w), "_held": lambda w: F.lag("position", lag).over(w), "_prev": lambda w: F.coalesce(F.lag("position").over(w), F.lit(0.0))}, max(lag, 1), partition_cols)
+    d = windowed(d, {"_ds": lambda w: F.col(spread) - F.lag(spread).over(w), "_held": lambda w: F.lag("position", lag).over(w), "_prev": lambda w: F.coalesce(F.lag("position").over(w), F.lit(0.0))}, max(lag, 1), partition_cols, rows)
     moved = F.col("position") - F.col("_prev")
     d = d.withColumn("pnl", F.coalesce(F.coalesce("_held", F.lit(0.0)) * F.col("_ds"), F.lit(0.0)) - cost_per_unit * F.abs(moved))
     d = d.withColumn("is_trade", ((moved != 0) & (F.col("position") != 0)).cast("int")).drop("_ds", "_held", "_prev")
-    return cumulative(d, {"equity": (F.col("pnl"), "sum")}, partition_cols)
+    return cumulative(d, {"equity": (F.col("pnl"), "sum")}, partition_cols, rows)
 
 
-def backtest_spread(spread: DataFrame, positions: DataFrame | None = None, cost_per_unit: float = 0.0, lag: int = 1, *, order_col: str = "ts") -> BacktestResult:
+def backtest_spread(spread: DataFrame, positions: DataFrame | None = None, cost_per_unit: float = 0.0, lag: int = 1, *, order_col: str = "ts", rows: int | None = None) -> BacktestResult:
     """Of spread(ts, spread) with positions(ts, position), joined on time, or with its own column ``position``."""
     if positions is not None:
         spread = spread.drop("position").join(positions.select(order_col, "position"), order_col, "left")
-    return BacktestResult(backtest_table(spread, cost_per_unit, lag, order_col=order_col), order_col)
+    return BacktestResult(backtest_table(spread, cost_per_unit, lag, order_col=order_col, rows=rows), order_col, rows)
 
 
-def split_point(df: DataFrame, split: str | float, order_col: str = "ts"):
+def split_point(df: DataFrame, split: str | float, order_col: str = "ts", rows: int | None = None):
     """The first time of the test part: a date given as text, or that of row int(n * fraction) in order of time."""
     if isinstance(split, str):
         return F.lit(split).cast(df.schema[order_col].dataType)
@@ -109,8 +110,9 @@ def split_point(df: DataFrame, split: str | float, order_col: str = "ts"):
         raise TypeError(f"split is a {type(split).__name__}; a date as text or a fraction as float is needed")
     if not 0.0 < split < 1.0:
         raise ValueError(f"a fraction between 0 and 1 splits the rows, not {split}")
-    at = int(df.count() * split)
-    row = with_index(df.select(order_col, *([INDEX] if INDEX in df.columns else [])), order_col).filter(F.col(INDEX) == at).first()
+    rows = df.count() if rows is None else rows
+    at = int(rows * split)
+    row = with_index(df.select(order_col, *([INDEX] if INDEX in df.columns else [])), order_col, rows=rows).filter(F.col(INDEX) == at).first()
     return F.lit(row[0] if row else None).cast(df.schema[order_col].dataType)
 
 
@@ -127,16 +129,17 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     and counts as a trade, and earns nothing on that bar, as each part's lags start anew. z_window=None looks ahead.
     """
     base = prices if INDEX in prices.columns else staged(with_index(prices.select(order_col, y_col, x_col), order_col))
-    at = split_point(base, split, order_col)
+    n = base.count()
+    at = split_point(base, split, order_col, n)
     before = F.col(order_col) < at
     logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col)
     train = logs.filter(before)
     hedge = estimate_hedge_ratio(train, y_col, x_col)
     spread = compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha)
-    ou = fit_ou(spread.filter(before).drop(INDEX), order_col=order_col)
-    z = zscore(spread, z_window, order_col=order_col)
-    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col))
-    part = lambda cond: backtest_spread(signals.filter(cond), cost_per_unit=cost_per_unit, order_col=order_col)
+    ou = fit_ou(spread.filter(before).drop(INDEX), order_col=order_col, rows=n)
+    z = zscore(spread, z_window, order_col=order_col, rows=n)
+    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col, rows=n))
+    part = lambda cond: backtest_spread(signals.filter(cond), cost_per_unit=cost_per_unit, order_col=order_col, rows=n)
     return {"hedge": hedge, "ou": ou, "train": part(before), "test": part(~before), "spread": signals.select(order_col, "spread"), "zscore": signals.select(order_col, "z")}
 
 

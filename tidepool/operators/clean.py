@@ -32,13 +32,13 @@ def mask_prices(df: DataFrame, cols: Sequence[str], min_price: float = 0.0) -> D
     return df.withColumns({c: F.when(F.col(c) > min_price, F.col(c)) for c in cols})
 
 
-def forward_fill(df: DataFrame, cols: Sequence[str], limit: int, order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
+def forward_fill(df: DataFrame, cols: Sequence[str], limit: int, order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Nulls take the last value of at most ``limit`` rows before."""
     if limit < 1:
         raise ValueError("ffill_limit must be at least 1")
-    d = with_index(df, order_col, partition_cols)
+    d = with_index(df, order_col, partition_cols, rows=rows)
     fill = lambda c: lambda w: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))
-    out = windowed(d, {f"_f_{c}": fill(c) for c in cols}, limit, partition_cols)
+    out = windowed(d, {f"_f_{c}": fill(c) for c in cols}, limit, partition_cols, rows)
     return out.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 

@@ -33,7 +33,7 @@ class OUParams:
         return self.sigma / math.sqrt(2 * self.theta) if self.theta > 0 else math.nan
 
 
-def ou_table(df: DataFrame, dt: float = 1.0, *, value: str = "spread", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
+def ou_table(df: DataFrame, dt: float = 1.0, *, value: str = "spread", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """theta, mu, sigma, half_life, stationary_std, b and n_obs of each series, in one pass.
 
     Missing values are dropped first, so pairs may span gaps. With b <= 0, fewer than ten values or a constant series all
@@ -41,7 +41,7 @@ def ou_table(df: DataFrame, dt: float = 1.0, *, value: str = "spread", order_col
     """
     v = F.col(value).cast("double")
     d = df.select(*partition_cols, order_col, F.when(~F.isnan(v), v).alias("x1")).filter("x1 is not null")
-    d = windowed(with_index(d, order_col, partition_cols), {"x0": lambda w: F.lag("x1").over(w)}, 1, partition_cols)
+    d = windowed(with_index(d, order_col, partition_cols, rows=rows), {"x0": lambda w: F.lag("x1").over(w)}, 1, partition_cols, rows)
     s = d.groupBy(*partition_cols).agg(
         F.count("*").alias("n_obs"), F.regr_slope("x1", "x0").alias("b"), F.regr_intercept("x1", "x0").alias("a"),
         F.regr_sxx("x1", "x0").alias("sxx"), F.regr_syy("x1", "x0").alias("syy"), F.regr_sxy("x1", "x0").alias("sxy"), F.regr_count("x1", "x0").alias("m"),

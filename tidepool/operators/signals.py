@@ -13,25 +13,30 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import INDEX, ROWS, cumulative, with_index
+from ..functions.ordered import INDEX, ROWS, cumulative, one_block, with_index
 
 FLAT, LONG, SHORT, STOPPED = range(4)
 POSITION = np.array([0, 1, -1, 0])
 
 
-def generate_signals(df: DataFrame, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, *, z: str = "z", name: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
+def generate_signals(df: DataFrame, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, *, z: str = "z", name: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df with the position (-1, 0, 1) held after each row; a missing z holds what was held. All comparisons are strict."""
-    d = with_index(df, order_col, partition_cols).withColumn("_z", F.when(~F.isnan(F.col(z).cast("double")), F.col(z).cast("double")))
+    d = with_index(df, order_col, partition_cols, rows=rows).withColumn("_z", F.when(~F.isnan(F.col(z).cast("double")), F.col(z).cast("double")))
     if exit > entry:
         return _by_blocks(d, entry, exit, stop, name, partition_cols).drop("_z")
     size = F.abs("_z")
     at = F.col(INDEX)
-    d = cumulative(d, {"_seg": (F.when(size < exit, at), "max")}, partition_cols).withColumn("_seg", F.coalesce("_seg", F.lit(-1)))
+    d = cumulative(d, {"_seg": (F.when(size < exit, at), "max")}, partition_cols, rows).withColumn("_seg", F.coalesce("_seg", F.lit(-1)))
     beyond = (F.col("_z") > entry) | (F.col("_z") < -entry)
     keys = [*partition_cols, "_seg"]
+    if one_block(rows):
+        upto = Window.partitionBy(*keys).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
+        halt = F.max(F.when(size > stop, True)).over(upto) if stop is not None else F.lit(None).cast("boolean")
+        go = F.first(F.when(beyond, F.when(F.col("_z") > entry, -1).otherwise(1)), ignorenulls=True).over(upto)
+        return d.withColumn(name, F.when(halt, 0).otherwise(F.coalesce(go, F.lit(0))).cast("int")).drop("_z", "_seg")
     halted = F.min(F.when(size > stop, at)) if stop is not None else F.lit(None).cast("long")
     first = d.groupBy(*keys).agg(halted.alias("_stop"), F.min(F.when(beyond, at)).alias("_go"), F.min_by(F.when(F.col("_z") > entry, -1).otherwise(1), F.when(beyond, at)).alias("_dir"))
     d = d.join(first, keys)

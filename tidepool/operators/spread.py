@@ -22,7 +22,7 @@ def compute_spread_aligned(y: DataFrame, x: DataFrame, beta: float, alpha: float
     return compute_spread(joined, "y", "x", beta, alpha).select(order_col, "spread")
 
 
-def zscore(df: DataFrame, window: int | None = None, *, value: str = "spread", name: str = "z", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
+def zscore(df: DataFrame, window: int | None = None, *, value: str = "spread", name: str = "z", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """(value - mean) / sample deviation over the trailing ``window`` rows, or over the whole series if window is None.
 
     Null where the window isn't full, a value in it is missing, or it doesn't vary.
@@ -36,4 +36,4 @@ def zscore(df: DataFrame, window: int | None = None, *, value: str = "spread", n
         f = rolling(w, window)
         return full(F.try_divide(F.col(value) - F.avg(value).over(f), F.stddev_samp(value).over(f)), F.col(value), w, window)
 
-    return windowed(with_index(df, order_col, partition_cols), {name: z}, window - 1, partition_cols)
+    return windowed(with_index(df, order_col, partition_cols, rows=rows), {name: z}, window - 1, partition_cols, rows)

@@ -181,14 +181,20 @@ def zscore_full(spark, sf):
 
 @query(f"WITH {WALK}, {ZROLL} SELECT ts, round(z, 6) AS z FROM z")
 def zscore_rolling(spark, sf):
-    return rounded(zscore(_spread(spark, sf), 60).select("ts", "z"), ["z"])
+    d, n = _counted_spread(spark, sf)
+    return rounded(zscore(d, 60, rows=n).select("ts", "z"), ["z"])
 
 
 def _spread(spark, sf) -> DataFrame:
     """ts, y, x and the spread by the hedge ratio of the first 70 % of rows."""
+    return _counted_spread(spark, sf)[0]
+
+
+def _counted_spread(spark, sf) -> tuple[DataFrame, int]:
     d = panel.pair(spark, sf)
-    h = estimate_hedge_ratio(d.filter(F.col(INDEX) < int(d.count() * 0.7)))
-    return compute_spread(d, beta=h.beta, alpha=h.alpha)
+    n = d.count()
+    h = estimate_hedge_ratio(d.filter(F.col(INDEX) < int(n * 0.7)))
+    return compute_spread(d, beta=h.beta, alpha=h.alpha), n
 
 
 # ---- hedge ratios
@@ -225,7 +231,8 @@ f AS (SELECT regr_slope(x1, x0) AS b, regr_intercept(x1, x0) AS a, regr_sxx(x1,
 p AS (SELECT *, -ln(b) AS theta, sqrt((syy - sxy * sxy / sxx) / (m - 1)) * sqrt(-2 * ln(b) / (1 - b * b)) AS sigma FROM f)
 SELECT round(theta, 6) AS theta, round(a / (1 - b), 6) AS mu, round(sigma, 6) AS sigma, round(ln(CAST(2 AS DOUBLE)) / theta, 6) AS half_life, round(sigma / sqrt(2 * theta), 6) AS stationary_std, round(b, 6) AS b, n_obs FROM p""")
 def ou_fit(spark, sf):
-    return rounded(ou_table(_spread(spark, sf)), ["theta", "mu", "sigma", "half_life", "stationary_std", "b"])
+    d, n = _counted_spread(spark, sf)
+    return rounded(ou_table(d, rows=n), ["theta", "mu", "sigma", "half_life", "stationary_std", "b"])
 
 
 @query()
@@ -243,7 +250,8 @@ def synthetic_pair(spark, sf):
 
 @query(f"WITH {WALK}, {ZROLL}, {positions_sql('z')} SELECT ts, CAST(position AS INTEGER) AS position FROM pos")
 def signals(spark, sf):
-    return generate_signals(zscore(_spread(spark, sf), 60)).select("ts", "position")
+    d, n = _counted_spread(spark, sf)
+    return generate_signals(zscore(d, 60, rows=n), rows=n).select("ts", "position")
 
 
 @query(f"WITH {WALK}, {ZROLL}, {positions_sql('z', stop=None, entry=1.5)} SELECT ts, CAST(position AS INTEGER) AS position FROM pos")
@@ -280,26 +288,30 @@ BASE = f"WITH {WALK}, {ZROLL}, {positions_sql('z')}"
 
 
 def _signals(spark, sf):
-    return staged(generate_signals(zscore(_spread(spark, sf), 60)).select("ts", "spread", "position", INDEX))
+    d, n = _counted_spread(spark, sf)
+    return staged(generate_signals(zscore(d, 60, rows=n), rows=n).select("ts", "spread", "position", INDEX)), n
 
 
 @query(f"{BASE}, {backtest_sql('pos', cost=0.001)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity, is_trade FROM b2")
 def backtest_pnl(spark, sf):
-    return rounded(bt.backtest_spread(_signals(spark, sf), cost_per_unit=0.001).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
+    d, n = _signals(spark, sf)
+    return rounded(bt.backtest_spread(d, cost_per_unit=0.001, rows=n).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
 
 
 @query(f"{BASE}, {backtest_sql('pos', lag=0)} SELECT ts, CAST(position AS DOUBLE) AS position, CASE WHEN abs(pnl) < 5e-7 THEN 0 ELSE round(pnl, 6) END AS pnl, CASE WHEN abs(equity) < 5e-7 THEN 0 ELSE round(equity, 6) END AS equity, is_trade FROM b2")
 def backtest_lag0(spark, sf):
-    return rounded(bt.backtest_spread(_signals(spark, sf), lag=0).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
+    d, n = _signals(spark, sf)
+    return rounded(bt.backtest_spread(d, lag=0, rows=n).table.select("ts", "position", "pnl", "equity", "is_trade"), ["pnl", "equity"])
 
 
 @query(f"{BASE}, {backtest_sql('pos', cost=0.001)}, {METRICS}")
 def metrics(spark, sf):
-    return _with_trades(bt.backtest_table(_signals(spark, sf), 0.001))
+    d, n = _signals(spark, sf)
+    return _with_trades(bt.backtest_table(d, 0.001, rows=n), n)
 
 
-def _with_trades(table: DataFrame) -> DataFrame:
-    out = bt.performance_metrics(table, equity="equity", trades="is_trade")
+def _with_trades(table: DataFrame, rows: int | None) -> DataFrame:
+    out = bt.performance_metrics(table, equity="equity", trades="is_trade", rows=rows)
     return rounded(out, ["total_pnl", "sharpe", "max_drawdown", "hit_rate"])
 
 
@@ -331,13 +343,13 @@ def walk_forward_test(spark, sf):
 @query(f"{BASE}, {TEST}, {backtest_sql('tst')}, {METRICS}")
 def walk_forward_metrics(spark, sf):
     r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ", INDEX))
-    return _with_trades(r["test"].table)
+    return _with_trades(r["test"].table, r["test"].rows)
 
 
 @query(f"{BASE}, trn AS (SELECT pos.* FROM pos, cut WHERE i < k), {backtest_sql('trn')}, {METRICS}")
 def walk_forward_train_metrics(spark, sf):
     r = bt.walk_forward_backtest(panel.pair(spark, sf).select("ts", "ES", "NQ", INDEX))
-    return _with_trades(r["train"].table)
+    return _with_trades(r["train"].table, r["train"].rows)
 
 
 # ---- unit roots

@@ -25,13 +25,15 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, y, x, ES, NQ): logs and prices of a cointegrated pair (slope 1.3) that follows from the raw panel."""
-    d = staged(forward_fill(staged(raw_panel(spark, sf_dir)), ["a", "r"], 2).drop(INDEX).na.drop("any", subset=["a", "r"]))
+    raw = staged(raw_panel(spark, sf_dir))
+    n = raw.count()
+    d = staged(forward_fill(raw, ["a", "r"], 2, rows=n).drop(INDEX).na.drop("any", subset=["a", "r"]))
     s = d.agg(F.avg("a").alias("ma"), F.stddev_samp("a").alias("sa"), F.avg("r").alias("mr"), F.stddev_samp("r").alias("sr"))
     d = d.crossJoin(F.broadcast(s))  # one row
     d = d.select("ts", ((F.col("a") - F.col("ma")) / F.col("sa")).alias("za"), ((F.col("r") - F.col("mr")) / F.col("sr")).alias("zr"))
-    d = with_index(d, "ts")
-    d = windowed(d, {"e": lambda w: 0.05 * F.avg("za").over(rolling(w, 20))}, 19)
-    d = cumulative(d, {"walk": (F.col("zr"), "sum")})
+    d = with_index(d, "ts", rows=n)
+    d = windowed(d, {"e": lambda w: 0.05 * F.avg("za").over(rolling(w, 20))}, 19, rows=n)
+    d = cumulative(d, {"walk": (F.col("zr"), "sum")}, rows=n)
     d = d.withColumn("x", F.log(F.lit(100.0)) + 0.01 * F.col("walk")).withColumn("y", 2 + 1.3 * F.col("x") + F.col("e"))
     return staged(d.select("ts", "y", "x", F.exp("y").alias("ES"), F.exp("x").alias("NQ"), INDEX))
 
