@@ -160,6 +160,19 @@ def test_ou(spark):
     assert math.isnan(walk.theta) or walk.theta >= 0
 
 
+def test_ou_without_mean_reversion(spark):
+    e = np.random.default_rng(2).normal(size=300)
+    swing = np.zeros(300)
+    for t in range(1, 300):
+        swing[t] = -0.5 * swing[t - 1] + e[t]
+    fit = tp.fit_ou(series(spark, swing), value="value", order_col="idx")
+    assert math.isnan(fit.theta) and fit.half_life == math.inf and math.isnan(fit.stationary_std)
+    grown = tp.fit_ou(series(spark, 1.05 ** np.arange(60)), value="value", order_col="idx")
+    assert grown.theta == 0 and math.isnan(grown.mu) and grown.half_life == math.inf
+    flat = tp.ou_table(series(spark, [3.0] * 20), value="value", order_col="idx").first()
+    assert flat.theta is None and flat.n_obs == 20
+
+
 @pytest.fixture(scope="module")
 def logs(spark):
     d = tp.log_prices(tp.generate_synthetic_pair(spark, 3000, seed=0, sigma_spread=0.05), cols=["ES", "NQ"])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,21 @@ def fixed_point(column: str, scale: float = 1e-9) -> Column:
     return F.col(column).cast("double") * scale
 
 
+def quarterly_contracts(spark: SparkSession, product: str, first_year: int, last_year: int, *, multiplier_usd: float, tick_size: float, exchange: str = "XCME", currency: str = "USD", source: str = "calendar") -> DataFrame:
+    """The contracts of a product that expires on the third Friday of March, June, September and December, as CONTRACTS:
+    named by product, month code (H, M, U, Z) and two digits of the year; they expire at 9:30 New York time, given in UTC."""
+    year, quarter = F.floor(F.col("id") / 4).cast("int"), (F.col("id") % 4).cast("int")
+    d = spark.range(4 * first_year, 4 * (last_year + 1)).select(year.alias("y"), quarter.alias("q"))
+    third = F.date_add(F.next_day(F.date_sub(F.make_date("y", 3 * (F.col("q") + 1), F.lit(1)), 1), "FR"), 14)
+    d = d.withColumns({"code": F.substring(F.lit("HMUZ"), F.col("q") + 1, F.lit(1)), "last": third})
+    made = {
+        "product": F.lit(product), "contract": F.concat(F.lit(product), "code", F.lpad((F.col("y") % 100).cast("string"), 2, "0")), "month_code": F.col("code"), "year": F.col("y"),
+        "last_trade_date": F.col("last"), "expiration_ts": F.to_utc_timestamp(F.col("last").cast("timestamp_ntz") + F.expr("INTERVAL '9:30' HOUR TO MINUTE"), ZONE),
+        "multiplier_usd": F.lit(multiplier_usd), "tick_size": F.lit(tick_size), "tick_value_usd": F.lit(multiplier_usd * tick_size), "exchange": F.lit(exchange), "currency": F.lit(currency), "source": F.lit(source),
+    }
+    return d.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CONTRACTS])
+
+
 def duplicate_bars(bars: DataFrame, key: Sequence[str] = ("product", "contract", "ts_event")) -> DataFrame:
     """Keys that occur more than once, and how often; a sound bar table gives none."""
     return bars.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")

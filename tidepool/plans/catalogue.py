@@ -563,6 +563,15 @@ def fixed_point(spark, sf):
     return rounded(t.withColumn("price", continuous.fixed_point("price")), ["price"], 4)
 
 
+@query("""WITH m AS (SELECT CAST(y AS INTEGER) AS y, q, make_date(y, 3 * (q + 1), 1) AS d FROM range(2016, 2031) a(y), range(4) b(q)),
+e AS (SELECT *, CAST(d + CAST((12 - isodow(d)) % 7 + 14 AS INTEGER) AS DATE) AS last_trade_date FROM m)
+SELECT 'ES' || substr('HMUZ', q + 1, 1) || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS contract, y AS year, last_trade_date,
+  (CAST(last_trade_date AS TIMESTAMP) + INTERVAL 570 MINUTE) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS expiration_ts, CAST(12.5 AS DOUBLE) AS tick_value_usd FROM e""")
+def contract_table(spark, sf):
+    d = continuous.quarterly_contracts(spark, "ES", 2016, 2030, multiplier_usd=50.0, tick_size=0.25)
+    return d.select("contract", F.col("year").cast("int").alias("year"), "last_trade_date", "expiration_ts", "tick_value_usd")
+
+
 @query("""SELECT l_returnflag AS product, 'C' || l_linenumber AS contract, CAST(l_shipdate AS DATE) AS ts_event, count(*) AS n FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def duplicate_bars(spark, sf):
     t = panel.read(spark, sf, "lineitem")
