@@ -175,6 +175,18 @@ def test_bpe_edges(spark):
     assert len(by[7]) == 1 and sum(r.doc_id is None for r in rows) == 2
 
 
+def test_ascii_texts_are_split_and_encoded_as_the_library_does():
+    r = random.Random(2)
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path()
+    library, codec = Tokenizer.from_file(path), bpe.codec(path)
+    letters = [chr(c) for c in range(128)] + list(" \n\t'  ''sdtrevlm") * 4
+    texts = ["".join(r.choices(letters, k=r.randrange(1, 60))) for _ in range(3000)] + ["".join(r.choices("abcdeiou tnrs", k=200)) for _ in range(300)]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == e.ids, t
+
+
 def test_many_added_tokens_are_split_in_linear_time():
     added = {"<|endoftext|>": 50256, "<|end": 7}
     text = "<|endoftext|>a<|end" * 200_000

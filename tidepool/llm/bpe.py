@@ -11,12 +11,14 @@ what it lost later. So states are kept as (origin, time of copy, arcs lost and w
 Encoding is driven by two tables of whole numbers: one goes from (node, byte) to the next node of the labels' byte trie,
 the other from (state, label) to the state behind the arc, or to nothing; its cells are filled in when a word first needs
 them. Each prefix of a word has at most one path, so there is one state for each position, from which the trie is walked
-as far as the word follows it.
+as far as the word follows it; the longest label is tried first, as most paths take it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,8 @@ from .common import table
 from .tokens import split_added, vocabulary, vocabulary_path
 
 NEVER = 1 << 60
+# what the pattern says of ASCII texts, in the classes of Python's own, faster expressions
+ASCII_PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 
 
 class Automaton:
@@ -95,43 +99,47 @@ class Automaton:
         return to
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the one path that spells the word."""
-        step, ends, arcs, n = self.step, self.ends, self.arcs, len(word)
+        """The labels of the one path that spells the word.
+
+        From each position the longest label with an arc is followed first. A position is left for good when nothing
+        leads on from it, so each is visited once at most.
+        """
         if (whole := self.ids.get(word)) is not None and self._arc(0, whole) >= 0:
             return [whole]
-        state = [-1] * (n + 1)  # of the path to each position, -1: none
-        came: list[int] = [-1] * (n + 1)  # label by which the path gets there
-        state[0] = 0
-        for i in range(n):
-            if (here := state[i]) < 0:
-                continue
-            node, base = 0, here << 32
-            for j in range(i, n):
+        step, ends, arcs, n = self.step, self.ends, self.arcs, len(word)
+        came: dict[int, tuple[int, int]] = {}  # position: where its label begins, and the label
+        open_ = [(0, 0)]  # positions to go on from, with their states
+        while n not in came:
+            at, state = open_.pop()
+            node, base = 0, state << 32
+            for j in range(at, n):
                 node = step.get(node << 8 | word[j])
                 if node is None:
                     break
                 token = ends[node]
-                if token >= 0 and came[j + 1] < 0:
+                if token >= 0 and j + 1 not in came:
                     to = arcs.get(base | token)
                     if to is None:
-                        to = self._arc(here, token)
+                        to = self._arc(state, token)
                     if to >= 0:
-                        came[j + 1], state[j + 1] = token, to
+                        came[j + 1] = at, token
+                        open_.append((j + 1, to))
         out, at = [], n
         while at:
-            out.append(came[at])
-            at -= len(self.label[came[at]])
+            at, token = came[at]
+            out.append(token)
         return out[::-1]
 
 
 class Words(dict):
     """Ids (as bytes) by word, made when first asked for. ``most`` bounds the bytes held; long words aren't kept."""
 
-    def __init__(self, automaton: Automaton, most: int = 1 << 25):
+    def __init__(self, automaton: Automaton, most: int = 1 << 27):
         self.automaton, self.most, self.held = automaton, most, 0
 
     def __missing__(self, word: str) -> bytes:
-        made = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
+        ids = self.automaton.encode(word.encode())
+        made = struct.pack(f"<{len(ids)}I", *ids)
         size = 150 + len(word) + len(made)
         if size < 1024:
             if self.held + size > self.most:
@@ -149,14 +157,14 @@ class Codec:
         ids, merges, self.added = vocabulary(path)
         automaton = Automaton(ids, merges)
         self.words = Words(automaton)
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.find, self.find_ascii = regex.compile(public_tokenizers.PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self.label = automaton.label | {i: s.encode() for s, i in self.added.items()}
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for part, special in split_added(text or "", self.added):
-            out += map(self.words.__getitem__, self.find(part))
+            out += map(self.words.__getitem__, (self.find_ascii if part.isascii() else self.find)(part))
             if special is not None:
                 out.append(np.array([special], "<u4").tobytes())
         return b"".join(out)
