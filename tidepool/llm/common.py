@@ -46,10 +46,15 @@ def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that settle() wrote; only for those that no result still reads."""
+    """Delete tables that settle() wrote; only for those that no result still reads.
+
+    The shuffle files of the jobs that made them go, too: Spark deletes these once the driver's heap is collected, which
+    without a nudge may be long after.
+    """
     for t in tables:
         place, files = _hadoop(t.sparkSession, t.settled_at)
         files.delete(place, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def join_side(df: DataFrame) -> DataFrame:

@@ -446,7 +446,9 @@ def repeated_windows(texts: DataFrame, hot: int = 16_384) -> DataFrame:
     else:
         spans = span(found, False).unionByName(span(unique_windows(classes.join(crowded, "kh", "left_anti")), True))
         spans = spans.unionByName(span(unique_windows_spread(classes.join(crowded, "kh", "left_semi")), True))
-    return spans.groupBy("row").agg(F.collect_list("s").alias("spans"))  # of one document
+    spans = settle(spans.groupBy("row").agg(F.collect_list("s").alias("spans")))  # of one document
+    discard(found, classes, crowded)
+    return spans
 
 
 # ---- results
@@ -546,6 +548,7 @@ def remove_repeats(docs: DataFrame, hot: int = 16_384) -> DataFrame:
     rows = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
     texts = settle(squeezed(rows.select("row", "doc.text")))
     spans = repeated_windows(texts, hot).withColumnRenamed("spans", extra)
+    discard(texts)
     return rows.join(spans, "row", "left").select("doc.*", extra).mapInArrow(run, docs.schema)
 
 
