@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, settle, table
 from .vectors import groups, parts
@@ -105,7 +106,6 @@ def squeezed(docs: DataFrame, *columns: str) -> DataFrame:
     """row (a number for each row of docs), size, z: the texts' bytes (null: none) compressed, and other columns.
 
     Only a written table keeps its row numbers."""
-    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
     names = ["row", "size", "z", *columns]
 
     def run(batches):
@@ -118,9 +118,8 @@ def squeezed(docs: DataFrame, *columns: str) -> DataFrame:
                 z.append(codec.compress(raw, asbytes=True) if raw else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(z, pa.binary()), *batch.columns[2:]], names)
 
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
-    schema = ", ".join(["row long", "size long", "z binary", *(f"{c} {k}" for c, k in zip(columns, kinds))])
-    return docs.select(row, "text", *columns).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("size", T.LongType()), T.StructField("z", T.BinaryType()), *(docs.schema[c] for c in columns)])
+    return docs.select(F.monotonically_increasing_id().alias("row"), "text", *columns).mapInArrow(run, schema)
 
 
 def plain(z, size: int) -> bytes:
@@ -519,37 +518,31 @@ def remove_repeats(docs: DataFrame, hot: int = 16_384) -> DataFrame:
     As removal_digests, but a character of which a part would stay stays whole. All columns stay, whatever their names.
     """
     columns = docs.columns
-    at, extra = columns.index("text"), "spans"
-    while extra in columns:
-        extra += "_"
-
-    def cut(text: str | None, spans) -> str | None:
-        if not spans or text is None:
-            return text
-        raw, whole = text.encode(), []
+    others = [c for c in columns if c != "text"]
+
+    def cut(text: bytes, spans) -> str:
+        whole = []
         for s, e in byte_spans(spans):
-            while s < e and raw[s] & 0xC0 == 0x80:
+            while s < e and text[s] & 0xC0 == 0x80:
                 s += 1
-            while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            while e > s and e < len(text) and text[e] & 0xC0 == 0x80:
                 e -= 1
             whole.append((s, e))
-        return without(raw, whole).decode()
+        return without(text, whole).decode()
 
     def run(batches):
         for batch in batches:
-            texts = [cut(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(len(columns)))]
-            cells = list(batch.columns[: len(columns)])
-            cells[at] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                i = columns.index("n_chars")
-                cells[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cells[i].type)
-            yield pa.RecordBatch.from_arrays(cells, columns)
-
-    rows = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "zstd")
-    texts = settle(squeezed(rows.select("row", "doc.text")))
-    spans = repeated_windows(texts, hot).withColumnRenamed("spans", extra)
-    discard(texts)
-    return rows.join(spans, "row", "left").select("doc.*", extra).mapInArrow(run, docs.schema)
+            rest, missing, size, z, spans = batch.columns
+            texts = [None if m else cut(plain(t.as_buffer(), n), s.as_py()) for m, n, t, s in zip(missing.to_pylist(), size.to_pylist(), z, spans)]
+            cells = dict(zip(others, rest.flatten())) | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in cells:
+                cells["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cells["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cells[c] for c in columns], columns)
+
+    doc = F.struct(F.col("text").isNull().alias("missing"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")).alias("doc")
+    rows = settle(squeezed(docs.select("text", doc), "doc"))
+    joined = rows.join(repeated_windows(rows, hot), "row", "left")
+    return joined.select("doc.rest", "doc.missing", "size", "z", "spans").mapInArrow(run, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
