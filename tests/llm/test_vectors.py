@@ -79,7 +79,7 @@ def test_blocks_of_a_part_agree(spark, cell, slice_):
 
 def share_and_recall(x, k=20):
     """Of all vectors the share that a query ranks, and how many of its true neighbours are among them."""
-    some = x[np.random.default_rng(1).permutation(len(x))[:20_480]]
+    some = x[np.random.default_rng(1).permutation(len(x))[:16_384]]
     router = learned_ann.fit_router(some, learned_ann.depth_for(len(x), len(some)), k, 0.93)
     own = np.concatenate([router.part(x[i : i + 4096]) for i in range(0, len(x), 4096)])
     sizes = np.bincount(own, minlength=router.w0.shape[1])

@@ -23,11 +23,11 @@ from .vectors import groups, matrix, packed, parts, unpacked, usable
 def neighbour_lists(queries: np.ndarray, base: np.ndarray, k: int, same: bool = False) -> np.ndarray:
     """Places in base of each query's k largest inner products (its own place left out, if the two are the same)."""
     out = []
-    for at in range(0, len(queries), 512):
-        scores = queries[at : at + 512] @ base.T
+    for at in range(0, len(queries), 128):
+        scores = queries[at : at + 128] @ base.T
         if same:
             scores[np.arange(len(scores)), at + np.arange(len(scores))] = -np.inf
-        out.append(np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, :k].copy())  # not a view, which would keep the whole row
     return np.concatenate(out)
 
 
@@ -103,7 +103,7 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 16, epochs: in
     rng = np.random.default_rng(seed)
     scale = 1 / max(float(np.sqrt((x**2).mean())), 1e-300)
     z, (d, k) = x * scale, (x.shape[1], target.shape[1])
-    mean = target.T @ z
+    mean = np.stack([column @ z for column in target.T])  # without a copy of the targets in double precision
     mean /= np.maximum(np.linalg.norm(mean, axis=1)[:, None], 1e-12)
     p = [2 * mean.T, rng.standard_normal((d, hidden)) * np.sqrt(2 / d), np.zeros(hidden), rng.standard_normal((hidden, k)) * 0.1 * np.sqrt(1 / hidden), np.zeros(k)]
     m, s, t = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p], 0
@@ -131,13 +131,14 @@ def fit_router(sample: np.ndarray, depth: int, k: int, recall: float, seed: int
     base, queries = sample[~held], sample[held]
     lists = neighbour_lists(base, base, min(20, len(base) - 1), same=True)
     part = balanced_partition(lists, depth, seed)
-    target = np.zeros((len(base), 1 << depth))
+    target = np.zeros((len(base), 1 << depth), np.float32)
     np.add.at(target, (np.arange(len(base)), part), 2.0)
     for column in lists.T:
         np.add.at(target, (np.arange(len(base)), part[column]), 1.0)
-    router = train_router(base, target / target.sum(axis=1, keepdims=True), seed=seed)
+    target /= target.sum(axis=1, keepdims=True)
+    router = train_router(base, target, seed=seed)
     if depth and len(queries):
-        true, own = neighbour_lists(queries, base, min(k, len(base))), router.part(base)
+        true, own = neighbour_lists(queries, base, min(k, len(base))), np.concatenate([router.part(base[i : i + 2048]) for i in range(0, len(base), 2048)])
         needed = np.take_along_axis(router.mass_before(queries), own[true], axis=1).ravel()
         router.mass = float(np.quantile(needed, recall, method="higher"))
     return router
@@ -151,7 +152,7 @@ def depth_for(rows: int, sample: int, member: int = 64, fitted: int = 32) -> int
 TOGETHER = 16  # parts that lie together in one group of rows
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_480, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products (double precision) for each row of vectors(vec_id, embedding) with ``is_query``.
 
     The router is fitted on at most ``sample`` different vectors (those with the smallest hashes), in 2**depth parts (if
@@ -177,8 +178,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_480, dept
     asked = rows.filter("query").select("vec_id", "vector")
     queries = asked.groupBy("vector").agg(F.min("vec_id").alias("query_id"))
 
-    some = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
-    x = np.array([r.vector for r in some], np.float64)
+    some = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()
+    x = matrix(some.column(0).combine_chunks())
     depth = depth_for(classes.count(), len(x)) if depth is None else depth
     router = spark.sparkContext.broadcast(fit_router(x, depth, k, recall))  # size fixed by dimension, hidden units and parts
 
