@@ -149,9 +149,6 @@ def depth_for(rows: int, sample: int, member: int = 64, fitted: int = 32) -> int
     return max(0, min(int(np.log2(max(rows / member, 1))), int(np.log2(max(sample / fitted, 1)))))
 
 
-TOGETHER = 16  # parts that lie together in one group of rows
-
-
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products (double precision) for each row of vectors(vec_id, embedding) with ``is_query``.
 
@@ -181,6 +178,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, dept
     some = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()
     x = matrix(some.column(0).combine_chunks())
     depth = depth_for(classes.count(), len(x)) if depth is None else depth
+    together = min(64, max(1, (1 << depth) // 8))  # parts of a group: eight groups, so that a query gets as many lists at every size
     router = spark.sparkContext.broadcast(fit_router(x, depth, k, recall))  # size fixed by dimension, hidden units and parts
 
     def to_groups(batches):
@@ -188,24 +186,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, dept
             v = matrix(batch.column(0))
             if len(v):
                 part = router.value.part(v)
-                yield pa.RecordBatch.from_arrays([pa.array(part // TOGETHER, pa.int32()), pa.array(part % TOGETHER, pa.int32()), packed(v), batch.column(1)], ["group", "part", "x", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part // together, pa.int32()), pa.array(part % together, pa.int64()), packed(v), batch.column(1)], ["group", "part", "x", "ids"])
 
     def to_probes(batches):
         for batch in batches:
             v = matrix(batch.column(0))
             if len(v):
                 wanted = router.value.wanted(v)
-                wanted = np.pad(wanted, ((0, 0), (0, -wanted.shape[1] % TOGETHER))).reshape(len(v), -1, TOGETHER)
-                bits = wanted @ (1 << np.arange(TOGETHER))
+                wanted = np.pad(wanted, ((0, 0), (0, -wanted.shape[1] % together))).reshape(len(v), -1, together)
+                bits = (wanted * (np.uint64(1) << np.arange(together, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
                 row, group = np.nonzero(bits)
                 again = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(bits[row, group], pa.int32()), packed(v).take(again), batch.column(1).take(again)], ["group", "part", "x", "query_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(bits[row, group], pa.int64()), packed(v).take(again), batch.column(1).take(again)], ["group", "part", "x", "query_id"])
 
-    members = settle(classes.select("vector", "ids").mapInArrow(to_groups, "group int, part int, x binary, ids array<long>"))
-    probes = settle(queries.select("vector", "query_id").mapInArrow(to_probes, "group int, part int, x binary, query_id long"))
+    members = settle(classes.select("vector", "ids").mapInArrow(to_groups, "group int, part long, x binary, ids array<long>"))
+    probes = settle(queries.select("vector", "query_id").mapInArrow(to_probes, "group int, part long, x binary, query_id long"))
     sizes = {r.group: r.n for r in members.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group of parts
     asks = {r.group: r.n for r in probes.groupBy("group").agg(F.count("*").alias("n")).collect()}
-    number = lambda counts, most: F.element_at(F.create_map(*[F.lit(y) for p in range(-(-(1 << depth) // TOGETHER)) for y in (p, max(1, -(-counts.get(p, 0) // most)))]), F.col("group"))
+    number = lambda counts, most: F.element_at(F.create_map(*[F.lit(y) for p in range(-(-(1 << depth) // together)) for y in (p, max(1, -(-counts.get(p, 0) // most)))]), F.col("group"))
     cells, slices = number(sizes, cell), number(asks, slice_)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
@@ -220,11 +218,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, dept
             if not 0 < cut < len(kind):
                 continue
             base, smallest, members_ = unpacked(v[:cut]), np.array([i[0] for i in ids[:cut]]), ids[:cut]
-            ends = np.searchsorted(part[:cut], np.arange(TOGETHER + 1))
+            ends = np.searchsorted(part[:cut], np.arange(together + 1))
             for at in range(cut, len(kind), 256):
                 x, bits = unpacked(v[at : at + 256]), part[at : at + 256]
                 scores = np.full((len(x), cut), -np.inf)
-                for p in range(TOGETHER):
+                for p in range(together):
                     asks_it = np.flatnonzero(bits >> p & 1)
                     if len(asks_it) and ends[p] < ends[p + 1]:
                         scores[asks_it, ends[p] : ends[p + 1]] = x[asks_it] @ base[ends[p] : ends[p + 1]].T
