@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .importance import OP11_SQL, op11_importance
 from .learned_ann import op1_learned_ann
 from .packing import op3_packing
 from .preference import OP10_SQL, op10_preference_format
 from .projection_dedup import op9_projection_dedup
 from .simhash import op6_simhash
+from .spelling import OP12_SQL, op12_spelling
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 from .token_output import op7_token_output
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_projection_dedup": op9_projection_dedup,
     "op10_preference_format": op10_preference_format,
+    "op11_importance": op11_importance,
+    "op12_spelling": op12_spelling,
 }
-SQL = {"op8_url_filter": OP8_SQL, "op10_preference_format": OP10_SQL}
+SQL = {"op8_url_filter": OP8_SQL, "op10_preference_format": OP10_SQL, "op11_importance": OP11_SQL, "op12_spelling": OP12_SQL}
