@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .importance import OP11_SQL, op11_importance
 from .learned_ann import op1_learned_ann
 from .packing import op3_packing
+from .page_text import op13_page_text
 from .preference import OP10_SQL, op10_preference_format
 from .projection_dedup import op9_projection_dedup
 from .simhash import op6_simhash
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_preference_format": op10_preference_format,
     "op11_importance": op11_importance,
     "op12_spelling": op12_spelling,
+    "op13_page_text": op13_page_text,
 }
 SQL = {"op8_url_filter": OP8_SQL, "op10_preference_format": OP10_SQL, "op11_importance": OP11_SQL, "op12_spelling": OP12_SQL}
