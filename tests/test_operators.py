@@ -325,3 +325,93 @@ def test_stream_bars(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.ts_event - DAY).seconds // 60: (r.open, r.close, r.volume) for r in spark.table("bars5").collect()}
     assert got[0] == (0.0, 4.0, 5) and len(got) >= 9
+
+
+def test_p_values_far_out():
+    from tidepool.functions.unitroot import SMALL_P, p_value, valid_range
+
+    for key in SMALL_P:
+        assert [p_value(t, *key) for t in (-math.inf, -50.0, -25.0)] == [0, 0, 0] and p_value(math.inf, *key) == p_value(5.0, *key) == 1
+        low, high = valid_range(key)
+        steps = [p_value(low + (high - low) * k / 400, *key) for k in range(401)]
+        assert steps == sorted(steps) or max(a - b for a, b in zip(steps, steps[1:])) < 2e-3  # but for where the branches meet
+
+
+@pytest.mark.parametrize("trend", ["n", "c", "ct"])
+def test_clear_and_perfect_cointegration(spark, trend):
+    rng = np.random.default_rng(4)
+    x = 5 + rng.normal(size=2500).cumsum()
+    pair = lambda y: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x))], "idx long, y double, x double")
+    near = tp.engle_granger(pair(1.5 * x + (0 if trend == "n" else 2) + rng.normal(size=2500)), trend=trend, order_col="idx")
+    assert near.statistic < -20 and near.pvalue == 0 and near.is_cointegrated
+    same = tp.engle_granger(pair(1.5 * x + (0 if trend == "n" else 2)), trend=trend, order_col="idx")
+    assert same.statistic == -math.inf and same.pvalue == 0 and same.is_cointegrated
+
+
+def test_many_unit_roots_are_those_of_each(spark, monkeypatch):
+    monkeypatch.setattr("tidepool.operators.unitroot.ROWS", 64)
+    rng = np.random.default_rng(5)
+    made = {"walk": rng.normal(size=300).cumsum(), "noise": rng.normal(size=150), None: np.convolve(rng.normal(size=420), [1, 0.5, 0.3], "valid").cumsum(), "short": rng.normal(size=2), "flat": np.ones(50)}
+    rows = [(k, i, float(v)) for k, s in made.items() for i, v in enumerate(s)] + [("noise", 500, None), ("noise", 501, math.nan)]
+    random.Random(0).shuffle(rows)
+    d = spark.createDataFrame(rows, "name string, idx long, v double")
+    got = {r.name: r for r in tp.adf_many(d, ["name"], value="v", order_col="idx").collect()}
+    assert set(got) == set(made) and got["flat"].statistic is None and got["short"].statistic is None
+    for k in ("walk", "noise", None):
+        want, lags = plain_auto(made[k] - made[k].mean(), True)
+        assert got[k].statistic == pytest.approx(want, rel=1e-7) and got[k].lags == lags and got[k].n == len(made[k]) and got[k].rejected == (got[k].pvalue < 0.05)
+
+
+def test_many_pairs_are_those_of_each(spark):
+    rng = np.random.default_rng(6)
+    rows, apart = [], {}
+    for k, name in enumerate(["a", None, "c"]):
+        x = rng.normal(0, 0.02, 400 + 40 * k).cumsum()
+        y = 0.5 + 1.2 * x + np.convolve(rng.normal(0, 0.02, len(x) + 9), np.ones(10) / 3, "valid")
+        apart[name] = list(zip(np.exp(y).tolist(), np.exp(x).tolist()))
+        rows += [(name, i, *v) for i, v in enumerate(apart[name])]
+    d = spark.createDataFrame(rows, "name string, idx long, y double, x double")
+    many = tp.walk_forward_many(d, ["name"], split=0.6, z_window=20, cost_per_unit=0.001, order_col="idx")
+    hedge, ou = ({r.name: r for r in many[part].collect()} for part in ("hedge", "ou"))
+    metrics = {(r.name, r.part): r for r in many["metrics"].collect()}
+    table = many["table"].collect()
+    egs = {r.name: r for r in tp.engle_granger_many(d, ["name"], order_col="idx").collect()}
+    for name in ("a", None):
+        one = spark.createDataFrame([(i, *v) for i, v in enumerate(apart[name])], "idx long, y double, x double")
+        single = tp.walk_forward_backtest(one, "y", "x", 0.6, 20, cost_per_unit=0.001, order_col="idx")
+        assert hedge[name].beta == pytest.approx(single["hedge"].beta) and ou[name].theta == pytest.approx(single["ou"].theta)
+        for part in ("train", "test"):
+            m = single[part].metrics | {"trades": single[part].trades}
+            assert {k: metrics[name, part][k] for k in m} == {k: pytest.approx(v) for k, v in m.items()}
+            own = {r.idx: r.pnl for r in table if r.name == name and r.part == part}
+            assert own == {r.idx: pytest.approx(r.pnl) for r in single[part].table.collect()}
+        alone = tp.engle_granger(one, order_col="idx")
+        assert egs[name].statistic == pytest.approx(alone.statistic) and egs[name].rejected == alone.is_cointegrated
+    assert len(table) == len(rows) and sum(r.trades for r in metrics.values()) > 0
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(k, i, math.sin(i) + (i % 7) / 5, float(i % 3)) for k in ("a", None) for i in range(30)]
+    d = spark.createDataFrame(rows, "k string, idx long, spread double, position double")
+    how = dict(order_col="idx", partition_cols=["k"])
+    for rows_ in (None, 60):
+        z = tp.zscore(d, 3, rows=rows_, **how)
+        s = tp.generate_signals(z.drop("position"), 1.0, 0.5, 1.4, rows=rows_, **how)
+        t = tp.backtest_table(s, rows=rows_, **how).collect()
+        by = {k: sorted((r.idx, r.z, r.position, r.equity) for r in t if r.k == k and r.z is not None) for k in ("a", None)}
+        assert len(t) == 60 and by["a"] == by[None] and len(by["a"]) == 28
+    assert tp.generate_signals(z.drop("position"), 1.0, 1.2, **how).count() == tp.zscore(d, **how).filter("z is not null").count() == 60
+
+
+def test_nan_is_as_null(spark):
+    r = random.Random(9)
+    rows = [(i, r.gauss(0, 1), r.gauss(0, 1), r.choice([-1.0, 0.0, 1.0])) for i in range(40)]
+    at = {3: 1, 11: 2, 12: 1, 20: 3, 31: 2}
+    frame = lambda gap: spark.createDataFrame([tuple(gap if at.get(i) == c else v for c, v in enumerate(row)) for i, row in enumerate(rows)], "idx long, y double, x double, position double")
+    found = []
+    for gap in (None, math.nan):
+        whole = frame(gap).withColumn("_i", F.col("idx"))
+        d = whole.drop("position")  # which the other operators leave alone
+        made = [tp.compute_spread(d, beta=0.5), tp.zscore(d, value="y", order_col="idx"), tp.zscore(d, 4, value="y", order_col="idx"), tp.hedge_table(d), tp.hedge_table(d, method="tls"), tp.rolling_hedge_ratio(d, 6, order_col="idx"), tp.backtest_table(whole, 0.1, spread="y", order_col="idx")]
+        found.append([sorted((tuple(x) for x in m.collect()), key=lambda x: str(x[0])) for m in made])
+    assert found[0] == found[1] and not any(isinstance(v, float) and math.isnan(v) for m in found[1] for row in m for v in row)

@@ -5,7 +5,8 @@ among themselves. ``windowed`` evaluates frames that reach back a bounded number
 with a copy of the rows just before it. ``cumulative`` sums within blocks and adds the totals of earlier blocks (one row
 each). These are lazy and exact; no window ranges over more than a block of rows, or over one row a block.
 
-Who has counted a frame can say so (``rows``): one of at most ROWS rows is a single block, and plain windows do.
+Who has counted a frame can say so (``rows``): one of at most ROWS rows is a single block, and plain windows do. A wrong
+count costs time, not results: a null key is a key like any other, here and there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,6 +45,18 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with right where all keys are equal, null keys to each other, too; right's own copies of the keys go.
+
+    Without keys, right is one row, which goes to all of left.
+    """
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def _stretch(df: DataFrame, order_col: str) -> Column:
     kind = df.schema[order_col].dataType
     if isinstance(kind, T.DateType):
@@ -74,7 +89,7 @@ def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[st
     before = Window.partitionBy(*partition_cols).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col, *tiebreak, whole))
-    d = d.withColumn("_r", place).join(first, keys)
+    d = join_on(d.withColumn("_r", place), first, keys)
     return d.withColumn(INDEX, F.col("_first") + F.col("_r") - 1).drop("_k", "_r", "_first")
 
 
@@ -103,7 +118,8 @@ def cumulative(df: DataFrame, columns: dict[str, tuple[Column, str]], partition_
     before = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, *[of[how](f"_t_{n}").over(before).alias(f"_p_{n}") for n, (_, how) in columns.items()])
     upto = Window.partitionBy(*keys).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"_l_{n}": of[how](f"_v_{n}").over(upto) for n, (_, how) in columns.items()}).join(totals, keys)
+    d = d.withColumns({f"_l_{n}": of[how](f"_v_{n}").over(upto) for n, (_, how) in columns.items()})
+    d = join_on(d, totals, keys)
     d = d.withColumns({n: both[how](F.col(f"_p_{n}"), F.col(f"_l_{n}")) for n, (_, how) in columns.items()})
     return d.drop("_b", *[f"_{x}_{n}" for n in columns for x in "vlp"])
 

@@ -7,11 +7,10 @@ import math
 import numpy as np
 
 # Fixed values of the published response surfaces, by number of series and deterministic terms: coefficients of the
-# polynomials in tau for small and large p, where they meet, and where p is 0 or 1.
+# polynomials in tau for small and large p, and where they meet.
 SMALL_P = {(1, "c"): (2.1659, 1.4412, 0.038269), (2, "c"): (2.92, 1.5012, 0.039796), (2, "ct"): (3.6646, 1.5419, 0.036448), (2, "n"): (1.9129, 1.3857, 0.035322)}
 LARGE_P = {(1, "c"): (1.7339, 0.93202, -0.12745, -0.010368), (2, "c"): (2.1945, 0.64695, -0.29198, -0.042377), (2, "ct"): (2.85, 0.5272, -0.36622, -0.051695), (2, "n"): (1.5578, 0.8558, -0.2083, -0.033549)}
 MEET = {(1, "c"): -1.61, (2, "c"): -2.62, (2, "ct"): -3.19, (2, "n"): -1.53}
-RANGE = {(1, "c"): (-18.83, 2.74), (2, "c"): (-18.86, 0.92)}
 # Critical values at 1, 5 and 10 %: coefficients of 1, 1/T, 1/T^2, 1/T^3.
 CRITICAL = {
     (1, "c"): ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.040), (-2.56677, -1.5384, -2.809, 0.0)),
@@ -20,11 +19,18 @@ CRITICAL = {
 }
 
 
+def valid_range(key: tuple[int, str]) -> tuple[float, float]:
+    """Where the polynomials turn: p is 0 below the vertex of the one for small p, 1 above the peak of the other."""
+    _, b, c = SMALL_P[key]
+    _, d, e, f = LARGE_P[key]
+    return -b / (2 * c), (-e - math.sqrt(e * e - 3 * d * f)) / (3 * f)
+
+
 def p_value(tau: float, series: int, trend: str) -> float:
     key = (series, trend)
     if key not in SMALL_P:
         raise ValueError(f"no p-values for {series} series with trend {trend!r}")
-    low, high = RANGE.get(key, (-math.inf, math.inf))
+    low, high = valid_range(key)
     if tau < low:
         return 0.0
     if tau > high:

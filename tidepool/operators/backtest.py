@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import INDEX, cumulative, staged, windowed, with_index
-from .clean import log_prices
-from .hedge import estimate_hedge_ratio
-from .ou import fit_ou
+from ..functions.ordered import INDEX, cumulative, join_on, staged, windowed, with_index
+from .clean import log_prices, nan_to_null
+from .hedge import HedgeRatio, hedge_table
+from .ou import LEAST, OUParams, ou_table
 from .signals import generate_signals
 from .spread import compute_spread, zscore
 
@@ -78,7 +78,7 @@ def performance_metrics(df: DataFrame, periods_per_year: int = 252, *, pnl: str
 
 
 def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, spread: str = "spread", position: str = "position", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """df with position (missing: 0), pnl, equity and is_trade.
+    """df with position (missing: 0; null and NaN are missing, also in the spread), pnl, equity and is_trade.
 
     pnl is the position ``lag`` rows ago times the spread's change, less cost times the change of position (charged at
     once; the first row from 0). A trade is a change to a position other than 0. A frame that is indexed already isn't
@@ -87,7 +87,7 @@ def backtest_table(df: DataFrame, cost_per_unit: float = 0.0, lag: int = 1, *, s
     if lag < 0:
         raise ValueError("lag must not be negative: it would look ahead")
     d = df if INDEX in df.columns else staged(with_index(df, order_col, partition_cols, rows=rows))
-    d = d.withColumn("position", F.coalesce(F.col(position).cast("double"), F.lit(0.0)))
+    d = nan_to_null(d.withColumn("position", F.col(position)), [spread, "position"]).withColumn("position", F.coalesce("position", F.lit(0.0)))
     d = windowed(d, {"_ds": lambda w: F.col(spread) - F.lag(spread).over(w), "_held": lambda w: F.lag("position", lag).over(w), "_prev": lambda w: F.coalesce(F.lag("position").over(w), F.lit(0.0))}, max(lag, 1), partition_cols, rows)
     moved = F.col("position") - F.col("_prev")
     d = d.withColumn("pnl", F.coalesce(F.coalesce("_held", F.lit(0.0)) * F.col("_ds"), F.lit(0.0)) - cost_per_unit * F.abs(moved))
@@ -122,6 +122,22 @@ def train_test_split_by_date(df: DataFrame, split: str | float, *, order_col: st
     return df.filter(F.col(order_col) < at), df.filter(F.col(order_col) >= at)
 
 
+def _walk(base: DataFrame, keys: list[str], y: str, x: str, at: DataFrame, z_window, entry, exit, stop, order_col: str, rows: int | None = None):
+    """Hedge ratios and OU fits (rows a pair) of the train parts, and the staged signals of the whole with their ``part``.
+
+    ``base`` is indexed; ``at``(keys, _at) has the first time of each pair's test part. All parameters are joined, as rows.
+    """
+    logs = log_prices(base.select(*keys, order_col, INDEX, y, x), order_col=order_col, partition_cols=keys, cols=[y, x])
+    time = F.col(order_col)
+    logs = join_on(logs, at, keys).withColumn("part", F.when(time < F.col("_at"), "train").when(time >= F.col("_at"), "test")).drop("_at")
+    hedge = hedge_table(logs.filter("part = 'train'"), y, x, partition_cols=keys)
+    spread = compute_spread(join_on(logs, hedge.select(*keys, F.col("alpha").alias("_alpha"), F.col("beta").alias("_beta")), keys), y, x, "_beta", "_alpha")
+    spread = spread.select(*keys, order_col, INDEX, "part", "spread")
+    ou = ou_table(spread.filter("part = 'train'").drop(INDEX), order_col=order_col, partition_cols=keys, rows=rows)
+    z = zscore(spread, z_window, order_col=order_col, partition_cols=keys, rows=rows)
+    return hedge, ou, staged(generate_signals(z, entry, exit, stop, order_col=order_col, partition_cols=keys, rows=rows))
+
+
 def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ", split: str | float = 0.7, z_window: int | None = 60, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, cost_per_unit: float = 0.0, *, order_col: str = "ts") -> dict:
     """Hedge ratio and OU fit on the train part; spread, z-score and signals on the whole; backtests of either part.
 
@@ -130,17 +146,47 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     """
     base = prices if INDEX in prices.columns else staged(with_index(prices.select(order_col, y_col, x_col), order_col))
     n = base.count()
-    at = split_point(base, split, order_col, n)
-    before = F.col(order_col) < at
-    logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col)
-    train = logs.filter(before)
-    hedge = estimate_hedge_ratio(train, y_col, x_col)
-    spread = compute_spread(logs, y_col, x_col, hedge.beta, hedge.alpha)
-    ou = fit_ou(spread.filter(before).drop(INDEX), order_col=order_col, rows=n)
-    z = zscore(spread, z_window, order_col=order_col, rows=n)
-    signals = staged(generate_signals(z, entry, exit, stop, order_col=order_col, rows=n))
-    part = lambda cond: backtest_spread(signals.filter(cond), cost_per_unit=cost_per_unit, order_col=order_col, rows=n)
-    return {"hedge": hedge, "ou": ou, "train": part(before), "test": part(~before), "spread": signals.select(order_col, "spread"), "zscore": signals.select(order_col, "z")}
+    if isinstance(split, float) and 0.0 < split < 1.0:
+        at = base.filter(F.col(INDEX) == int(n * split)).select(F.col(order_col).alias("_at"))  # joined, not looked up
+    else:
+        at = base.sparkSession.range(1).select(split_point(base, split, order_col, n).alias("_at"))
+    hedge, ou, signals = _walk(base, [], y_col, x_col, at, z_window, entry, exit, stop, order_col, n)
+    r = hedge.crossJoin(ou).first()
+    if r.n_obs < LEAST:
+        raise ValueError(f"a fit needs {LEAST} values or more, there are {r.n_obs}")
+    value = lambda v: math.nan if v is None else v
+    logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col, cols=[y_col, x_col]).crossJoin(F.broadcast(at)).filter(F.col(order_col) < F.col("_at")).drop("_at")
+    residuals = compute_spread(logs, y_col, x_col, value(r.beta), value(r.alpha), "residual")
+    part = lambda name: backtest_spread(signals.filter(F.col("part") == name).drop("part"), cost_per_unit=cost_per_unit, order_col=order_col, rows=n)
+    return {
+        "hedge": HedgeRatio(value(r.alpha), value(r.beta), residuals, value(r.r_squared)), "ou": OUParams(value(r.theta), value(r.mu), value(r.sigma), 1.0),
+        "train": part("train"), "test": part("test"), "spread": signals.select(order_col, "spread"), "zscore": signals.select(order_col, "z"),
+    }
+
+
+def walk_forward_many(prices: DataFrame, partition_cols: Sequence[str], y_col: str = "y", x_col: str = "x", split: str | float = 0.7, z_window: int | None = 60, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, cost_per_unit: float = 0.0, *, order_col: str = "ts") -> dict[str, DataFrame]:
+    """As walk_forward_backtest, of many pairs of prices(partition_cols, ts, y, x) in one plan.
+
+    ``hedge`` and ``ou`` have a row a pair, ``table`` (spread, z, position, pnl, equity, is_trade) and ``metrics`` those of
+    either part, told apart by ``part``. A fraction splits each pair by its own rows. Pairs with too few rows for a fit
+    have nulls; null keys are keys; prices that aren't positive are missing; a null time belongs to neither part.
+    """
+    keys = list(partition_cols)
+    base = staged(with_index(prices.select(*keys, order_col, y_col, x_col), order_col, keys))
+    if isinstance(split, str):
+        at = base.select(*keys).distinct().withColumn("_at", F.lit(split).cast(base.schema[order_col].dataType))
+    elif not isinstance(split, float):
+        raise TypeError(f"split is a {type(split).__name__}; a date as text or a fraction as float is needed")
+    elif not 0.0 < split < 1.0:
+        raise ValueError(f"a fraction between 0 and 1 splits the rows, not {split}")
+    else:
+        sizes = base.groupBy(*keys).agg(F.count("*").alias("_n"))
+        at = join_on(base, sizes, keys).filter(F.col(INDEX) == (F.col("_n") * F.lit(split)).cast("long")).select(*keys, F.col(order_col).alias("_at"))
+    hedge, ou, signals = _walk(base, keys, y_col, x_col, at, z_window, entry, exit, stop, order_col)
+    parts = [*keys, "part"]
+    table = backtest_table(signals.filter("part is not null"), cost_per_unit, order_col=order_col, partition_cols=parts)
+    metrics = performance_metrics(table, order_col=order_col, partition_cols=parts, equity="equity", trades="is_trade")
+    return {"hedge": hedge, "ou": ou, "table": table.drop(INDEX), "metrics": metrics}
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:

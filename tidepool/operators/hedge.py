@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import full, rolling, windowed, with_index
 from ..functions.regression import ols, tls
+from .clean import nan_to_null
 from .spread import compute_spread
 
 METHODS = {"ols": ols, "tls": tls}
@@ -24,10 +25,10 @@ class HedgeRatio:
 
 
 def hedge_table(df: DataFrame, y: str = "y", x: str = "x", method: str = "ols", partition_cols: Sequence[str] = ()) -> DataFrame:
-    """alpha, beta and r_squared of each series in one aggregate."""
+    """alpha, beta and r_squared of each series in one aggregate, over pairs of which neither is missing (null or NaN)."""
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {sorted(METHODS)}")
-    return df.groupBy(*partition_cols).agg(*[c.alias(n) for n, c in METHODS[method](y, x).items()])
+    return nan_to_null(df, [y, x]).groupBy(*partition_cols).agg(*[c.alias(n) for n, c in METHODS[method](y, x).items()])
 
 
 def estimate_hedge_ratio(df: DataFrame, y: str = "y", x: str = "x", method: str = "ols") -> HedgeRatio:
@@ -47,5 +48,5 @@ def rolling_hedge_ratio(df: DataFrame, window: int, *, y: str = "y", x: str = "x
         beta = F.try_divide(F.covar_samp(y, x).over(f), F.var_samp(x).over(f))
         return full(beta if what == "beta" else F.avg(y).over(f) - beta * F.avg(x).over(f), pair, w, window)
 
-    d = with_index(df, order_col, partition_cols)
+    d = with_index(nan_to_null(df, [y, x]), order_col, partition_cols)
     return windowed(d, {"alpha": lambda w: of(w, "alpha"), "beta": lambda w: of(w, "beta")}, window - 1, partition_cols)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import INDEX, ROWS, cumulative, one_block, with_index
+from ..functions.ordered import INDEX, ROWS, cumulative, join_on, one_block, with_index
 
 FLAT, LONG, SHORT, STOPPED = range(4)
 POSITION = np.array([0, 1, -1, 0])
@@ -39,7 +39,7 @@ def generate_signals(df: DataFrame, entry: float = 2.0, exit: float = 0.5, stop:
         return d.withColumn(name, F.when(halt, 0).otherwise(F.coalesce(go, F.lit(0))).cast("int")).drop("_z", "_seg")
     halted = F.min(F.when(size > stop, at)) if stop is not None else F.lit(None).cast("long")
     first = d.groupBy(*keys).agg(halted.alias("_stop"), F.min(F.when(beyond, at)).alias("_go"), F.min_by(F.when(F.col("_z") > entry, -1).otherwise(1), F.when(beyond, at)).alias("_dir"))
-    d = d.join(first, keys)
+    d = join_on(d, first, keys)
     position = F.when(F.col("_stop") <= at, 0).when(F.col("_go") <= at, F.col("_dir")).otherwise(0)
     return d.withColumn(name, position.cast("int")).drop("_z", "_seg", "_stop", "_go", "_dir")
 
@@ -88,4 +88,4 @@ def _by_blocks(d: DataFrame, entry: float, exit: float, stop: float | None, name
     maps = d.select(*keys, INDEX, "_z").groupBy(*keys).applyInPandas(summary, f"{kinds}, to array<int>")
     starts = maps.groupBy(*partition_cols).applyInPandas(chain, f"{kinds}, _start int")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_b").schema) + f", `{name}` int"
-    return d.join(starts, keys).groupBy(*keys).applyInPandas(fill, schema)
+    return join_on(d, starts, keys).groupBy(*keys).applyInPandas(fill, schema)

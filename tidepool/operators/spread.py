@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import full, rolling, windowed, with_index
+from ..functions.ordered import full, join_on, rolling, windowed, with_index
+from .clean import nan_to_null
 
 
 def compute_spread(df: DataFrame, y: str = "y", x: str = "x", beta=1.0, alpha=0.0, name: str = "spread") -> DataFrame:
-    """y - alpha - beta * x; alpha and beta are numbers or names of columns."""
+    """y - alpha - beta * x, null where y or x is missing (null or NaN); alpha and beta are numbers or names of columns."""
     of = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
+    df = nan_to_null(df, [y, x])
     return df.withColumn(name, F.col(y) - of(alpha) - of(beta) * F.col(x))
 
 
@@ -25,11 +27,12 @@ def compute_spread_aligned(y: DataFrame, x: DataFrame, beta: float, alpha: float
 def zscore(df: DataFrame, window: int | None = None, *, value: str = "spread", name: str = "z", order_col: str = "ts", partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """(value - mean) / sample deviation over the trailing ``window`` rows, or over the whole series if window is None.
 
-    Null where the window isn't full, a value in it is missing, or it doesn't vary.
+    Null where the window isn't full, a value in it is missing (null or NaN), or it doesn't vary.
     """
+    df = nan_to_null(df, [value])
     if window is None:
         stats = df.groupBy(*partition_cols).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-        joined = df.join(stats, list(partition_cols)) if partition_cols else df.crossJoin(F.broadcast(stats))  # one row
+        joined = join_on(df, stats, partition_cols) if partition_cols else df.crossJoin(F.broadcast(stats))  # one row
         return joined.withColumn(name, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
     def z(w):

@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import unitroot as ur
 from ..functions.ordered import INDEX, staged
 from ..operators import backtest as bt
-from ..operators import clean, continuous
+from ..operators import clean, continuous, unitroot
 from ..operators.hedge import estimate_hedge_ratio, hedge_table, rolling_hedge_ratio
 from ..operators.ou import OUParams, ou_table, simulate_ou
 from ..operators.signals import generate_signals
@@ -352,8 +353,71 @@ def walk_forward_train_metrics(spark, sf):
     return _with_trades(r["train"].table, r["train"].rows)
 
 
+MANY = """fl AS (SELECT CAST(l_shipdate AS DATE) AS ts, l_returnflag AS flag, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2),
+li AS (SELECT CAST(l_shipdate AS DATE) AS ts, CAST(l_linenumber AS BIGINT) AS line, avg(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
+pair AS (SELECT flag, line, ts, ln(y) AS y, ln(x) AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY flag, line) AS n FROM fl JOIN li USING (ts) WINDOW w AS (PARTITION BY flag, line ORDER BY ts)),
+h AS (SELECT flag, line, regr_intercept(y, x) AS alpha, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2 FROM pair WHERE i < CAST(floor(CAST(0.7 AS DOUBLE) * n) AS BIGINT) GROUP BY 1, 2),
+s AS (SELECT flag, line, ts, i, n, y - alpha - beta * x AS spread FROM pair JOIN h USING (flag, line)),
+z AS (SELECT *, CASE WHEN i >= 59 THEN (spread - avg(spread) OVER f) / nullif(stddev_samp(spread) OVER f, 0) END AS z FROM s
+  WINDOW f AS (PARTITION BY flag, line ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
+MANY_BACKTEST = f"""WITH {MANY}, {positions_sql('z', 'flag, line')},
+c AS (SELECT *, CASE WHEN i < CAST(floor(CAST(0.7 AS DOUBLE) * n) AS BIGINT) THEN 'train' ELSE 'test' END AS part FROM pos),
+b0 AS (SELECT *, spread - lag(spread) OVER o AS ds, lag(position) OVER o AS held, coalesce(lag(position) OVER o, 0) AS prev FROM c WINDOW o AS (PARTITION BY flag, line, part ORDER BY ts)),
+b1 AS (SELECT *, coalesce(coalesce(held, 0) * ds, 0) - CAST(0.001 AS DOUBLE) * abs(position - prev) AS pnl, CASE WHEN position <> prev AND position <> 0 THEN 1 ELSE 0 END AS is_trade FROM b0),
+b2 AS (SELECT *, sum(pnl) OVER (PARTITION BY flag, line, part ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM b1)"""
+
+
+def _many(spark, sf):
+    return bt.walk_forward_many(panel.many_pairs(spark, sf), ["flag", "line"], cost_per_unit=0.001)
+
+
+@query(MANY_BACKTEST + METRICS.replace("m0 AS", ", m0 AS", 1).replace("OVER (ORDER BY", "OVER (PARTITION BY flag, line, part ORDER BY").replace("SELECT round", "SELECT flag, line, part, round", 1) + " GROUP BY flag, line, part")
+def walk_forward_many(spark, sf):
+    return rounded(_many(spark, sf)["metrics"], ["total_pnl", "sharpe", "max_drawdown", "hit_rate"])
+
+
+@query(f"""WITH {MANY}, l AS (SELECT flag, line, spread AS x1, lag(spread) OVER (PARTITION BY flag, line ORDER BY ts) AS x0 FROM s WHERE i < CAST(floor(CAST(0.7 AS DOUBLE) * n) AS BIGINT)),
+f AS (SELECT flag, line, regr_slope(x1, x0) AS b, regr_intercept(x1, x0) AS a, count(*) AS n_obs FROM l GROUP BY 1, 2)
+SELECT flag, line, round(h.alpha, 6) AS alpha, round(h.beta, 6) AS beta, round(h.r2, 6) AS r_squared, round(CASE WHEN b > 0 AND b < 1 THEN -ln(b) WHEN b >= 1 THEN 0 END, 6) AS theta, round(CASE WHEN b > 0 AND b < 1 THEN a / (1 - b) END, 6) AS mu, n_obs
+FROM f JOIN h USING (flag, line)""")
+def fit_many(spark, sf):
+    r = _many(spark, sf)
+    return rounded(r["hedge"].join(r["ou"], ["flag", "line"]).select("flag", "line", "alpha", "beta", "r_squared", "theta", "mu", "n_obs"), ["alpha", "beta", "r_squared", "theta", "mu"])
+
+
 # ---- unit roots
 
+# Normal distribution function by its series, and the published polynomials of p-values.
+NORMAL = "CASE WHEN x < -8 THEN 0 WHEN x > 8 THEN 1 ELSE CAST(0.5 AS DOUBLE) + exp(-x * x / 2) / sqrt(2 * pi()) * list_reduce(list_transform(range(1, 120), lambda k: CAST(k AS DOUBLE)), lambda s, k: x * (1 + x * s / (2 * (120 - k) + 1)), x / 239) END"
+
+
+def _p_sql(series: int, trend: str) -> str:
+    low, high = ur.valid_range((series, trend))
+    poly = lambda c: " + ".join(f"CAST({v!r} AS DOUBLE) * pow(statistic, {i})" for i, v in enumerate(c))
+    x = f"CASE WHEN statistic < {low} THEN -99 WHEN statistic > {high} THEN 99 WHEN statistic <= {ur.MEET[series, trend]} THEN {poly(ur.SMALL_P[series, trend])} ELSE {poly(ur.LARGE_P[series, trend])} END"
+    return f"SELECT *, round({NORMAL}, 6) AS pvalue FROM (SELECT *, {x} AS x FROM f)"
+
+
+@query(f"""WITH v AS (SELECT event_type AS product, ts, sum(value - 50) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM events),
+l AS (SELECT product, v - lag(v) OVER w AS dy, lag(v) OVER w AS x FROM v WINDOW w AS (PARTITION BY product ORDER BY ts)),
+m AS (SELECT product, regr_slope(dy, x) AS b, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy, regr_sxx(dy, x) AS sxx, regr_count(dy, x) AS k, count(*) AS n FROM l GROUP BY 1),
+f AS (SELECT product, b / sqrt((syy - sxy * sxy / sxx) / (k - 2) / sxx) AS statistic, n FROM m)
+SELECT product, round(statistic, 6) AS statistic, pvalue, pvalue < 0.05 AS rejected, n FROM ({_p_sql(1, 'c')})""")
+def adf_many(spark, sf):
+    found = unitroot.adf_many(panel.walks(spark, sf), ["product"], value="v", maxlag=0, autolag=None)
+    return rounded(found.select("product", "statistic", "pvalue", "rejected", "n"), ["statistic", "pvalue"])
+
+
+@query(f"""WITH {MANY}, w AS (SELECT flag, line, ts, i, sum(y - x) OVER o AS y, sum(x) OVER o AS x FROM (SELECT flag, line, ts, i, y - avg(y) OVER (PARTITION BY flag, line) AS y, x - avg(x) OVER (PARTITION BY flag, line) AS x FROM pair) WINDOW o AS (PARTITION BY flag, line ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT flag, line, regr_intercept(y, x) AS alpha, regr_slope(y, x) AS beta FROM w GROUP BY 1, 2), u AS (SELECT flag, line, ts, y - alpha - beta * x AS u FROM w JOIN g USING (flag, line)),
+l AS (SELECT flag, line, u - lag(u) OVER o AS dy, lag(u) OVER o AS x FROM u WINDOW o AS (PARTITION BY flag, line ORDER BY ts)),
+m AS (SELECT flag, line, sum(x * dy) AS xy, sum(x * x) AS xx, sum(dy * dy) AS yy, count(dy) AS k, count(*) AS n FROM (SELECT flag, line, x, dy FROM l WHERE x IS NOT NULL UNION ALL SELECT flag, line, NULL, NULL FROM l WHERE x IS NULL) GROUP BY 1, 2),
+f AS (SELECT flag, line, xy / xx / sqrt((yy - xy * xy / xx) / (k - 1) / xx) AS statistic, n FROM m)
+SELECT flag, line, round(statistic, 5) AS statistic, pvalue, pvalue < 0.05 AS rejected, n FROM ({_p_sql(2, 'c')})""")
+def eg_many(spark, sf):
+    found = unitroot.engle_granger_many(panel.many_walks(spark, sf), ["flag", "line"], maxlag=0, autolag=None)
+    return rounded(rounded(found.select("flag", "line", "statistic", "pvalue", "rejected", "n"), ["statistic"], 5), ["pvalue"])
+
 
 @query(f"""WITH {WALK}, l AS (SELECT spread - lag(spread) OVER (ORDER BY ts) AS dy, lag(spread) OVER (ORDER BY ts) AS x FROM s),
 f AS (SELECT regr_slope(dy, x) AS b, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy, regr_sxx(dy, x) AS sxx, regr_count(dy, x) AS n FROM l)

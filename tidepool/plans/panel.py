@@ -38,6 +38,28 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(d.select("ts", "y", "x", F.exp("y").alias("ES"), F.exp("x").alias("NQ"), INDEX))
 
 
+def many_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(flag, line, ts, y, x): mean prices by day of each return flag and of each line number, paired with each other."""
+    t = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("ts"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").cast("long").alias("line"), "l_extendedprice")
+    side = lambda key, name: t.groupBy("ts", key).agg(F.avg("l_extendedprice").alias(name))
+    return side("flag", "y").join(side("line", "x"), "ts").select("flag", "line", "ts", "y", "x")
+
+
+def many_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(flag, line, ts, y, x): running sums of the centred logs of many_pairs; y's of y less x."""
+    d = many_pairs(spark, sf_dir).withColumns({"y": F.log("y"), "x": F.log("x")})
+    keys = ["flag", "line"]
+    d = d.join(d.groupBy(*keys).agg(F.avg("y").alias("my"), F.avg("x").alias("mx")), keys)
+    d = with_index(d.select(*keys, "ts", (F.col("y") - F.col("my")).alias("sy"), (F.col("x") - F.col("mx")).alias("sx")), "ts", keys)
+    return cumulative(d, {"y": (F.col("sy") - F.col("sx"), "sum"), "x": (F.col("sx"), "sum")}, keys).select(*keys, "ts", "y", "x")
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product, ts, v): running sums of the events' values less 50, by type."""
+    t = read(spark, sf_dir, "events").select(F.col("event_type").alias("product"), "ts", (F.col("value") - 50).alias("step"))
+    return cumulative(with_index(t, "ts", ["product"]), {"v": (F.col("step"), "sum")}, ["product"]).select("product", "ts", "v")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ticks: (ts_event, product, contract, open, high, low, close, volume)."""
     t = read(spark, sf_dir, "events")
