@@ -412,6 +412,6 @@ def test_nan_is_as_null(spark):
     for gap in (None, math.nan):
         whole = frame(gap).withColumn("_i", F.col("idx"))
         d = whole.drop("position")  # which the other operators leave alone
-        made = [tp.compute_spread(d, beta=0.5), tp.zscore(d, value="y", order_col="idx"), tp.zscore(d, 4, value="y", order_col="idx"), tp.hedge_table(d), tp.hedge_table(d, method="tls"), tp.rolling_hedge_ratio(d, 6, order_col="idx"), tp.backtest_table(whole, 0.1, spread="y", order_col="idx")]
+        made = [tp.compute_spread(d, beta=0.5), tp.zscore(d.drop("x"), value="y", order_col="idx"), tp.zscore(d.drop("x"), 4, value="y", order_col="idx"), tp.hedge_table(d), tp.hedge_table(d, method="tls"), tp.rolling_hedge_ratio(d, 6, order_col="idx"), tp.backtest_table(whole.drop("x"), 0.1, spread="y", order_col="idx")]
         found.append([sorted((tuple(x) for x in m.collect()), key=lambda x: str(x[0])) for m in made])
     assert found[0] == found[1] and not any(isinstance(v, float) and math.isnan(v) for m in found[1] for row in m for v in row)
