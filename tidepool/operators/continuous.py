@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import INDEX, cumulative, windowed, with_index
+from ..functions.ordered import INDEX, cumulative, join_on, windowed, with_index
+from .asof import asof_join
 
 ZONE = "America/New_York"
 
@@ -54,12 +55,16 @@ def duplicate_bars(bars: DataFrame, key: Sequence[str] = ("product", "contract",
     return bars.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def resample(bars: DataFrame, every: str = "5 minutes", *, ts: str = "ts_event", keys: Sequence[str] = ("product", "contract")) -> DataFrame:
-    """Open, high, low, close and volume of coarser bars, named by the time they open."""
-    first, last = F.struct(F.col(ts)), F.struct(F.col(ts))
+def resample(bars: DataFrame, every: str = "5 minutes", *, ts: str = "ts_event", keys: Sequence[str] = ("product", "contract"), tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Open, high, low, close and volume of coarser bars, named by the time they open.
+
+    Of bars of one time, the first and last by ``tiebreak`` (a sequence number, say) open and close; without it, by values.
+    """
+    values = ("open", "high", "low", "close", "volume")
+    first = F.struct(F.col(ts), *[F.col(c) for c in (tiebreak or values)])  # of bars of one time, all their values decide
     return bars.groupBy(*keys, F.window(ts, every).alias("w")).agg(
-        F.min_by("open", first).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", last).alias("close"), F.sum("volume").alias("volume"),
-    ).select(*keys, F.col("w.start").alias(ts), "open", "high", "low", "close", "volume")
+        F.min_by("open", first).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", first).alias("close"), F.sum("volume").alias("volume"),
+    ).select(*keys, F.col("w.start").alias(ts), *values)
 
 
 def with_sessions(bars: DataFrame, *, ts: str = "ts_event") -> DataFrame:
@@ -92,43 +97,47 @@ def monday_of(column: str = "last_trade_date") -> Column:
 
 
 def active_contracts(sessions: DataFrame, contracts: DataFrame, rule: str = "v", *, first_roll_days: int = 10, k: int = 5) -> DataFrame:
-    """(product, session_date, rank): the front contract's rank in order of expiry, for each session.
+    """(product, session_date, rank, contract, _i): the front contract, its rank in order of expiry, and the session's place.
 
-    sessions(product, session_date, contract, volume[, open_interest]); contracts(product, contract, last_trade_date),
-    broadcast behind Spark's size check. By rule ``v`` or ``n`` the contract with the largest volume or open interest of
+    sessions(product, session_date, contract, volume[, open_interest]); contracts(product, contract, last_trade_date). By rule ``v`` or ``n`` the contract with the largest volume or open interest of
     the *session before*, never going back; by ``c`` from the Monday of the expiry week on, and by ``fixed_k`` from k
     business days before expiry on, the next one. In any case not before ``first_roll_days`` business days and not after
     that Monday.
     """
     if rule not in ("v", "n", "c", "fixed_k"):
         raise ValueError(f"unknown roll rule {rule!r}")
+    keys = ["product"]
     order = Window.partitionBy("product").orderBy("last_trade_date", "contract")  # one row a contract
-    ranked = contracts.select("product", "contract", "last_trade_date", F.row_number().over(order).alias("rank"))
+    ranked = contracts.select("product", "contract", "last_trade_date", F.row_number().over(order).cast("long").alias("rank"), F.count("*").over(Window.partitionBy("product")).alias("last"))
     monday, back = monday_of(), business_days_before
-    at = {"c": monday, "fixed_k": F.least(back(k), monday)}.get(rule)
-    days = sessions.select("product", "session_date").distinct()
-    bounds = ranked.select("product", F.col("rank").alias("r"), back(first_roll_days).alias("opens"), monday.alias("closes"), *([at.alias("at")] if at is not None else []))
-    upto = lambda c: F.coalesce(F.max(F.when(F.col("session_date") >= F.col(c), F.col("r") + 1)), F.lit(1))
-    calendar = days.join(bounds, "product").groupBy("product", "session_date").agg(upto("closes").alias("low"), upto("opens").alias("high"), *([upto("at").alias("rank")] if at is not None else []), F.max("r").alias("last"))
-    if at is None:
+    dates = {"low": monday, "high": back(first_roll_days), **{"c": {"rank": monday}, "fixed_k": {"rank": F.least(back(k), monday)}}.get(rule, {})}
+    # from each of a contract's dates on, the next one's rank: merged with the sessions in order of time
+    steps = ranked.select("product", F.explode(F.array(*[F.struct(date.alias("session_date"), *[F.when(F.lit(name == n), F.col("rank") + 1).alias(n) for n in dates]) for name, date in dates.items()])).alias("s")).select("product", "s.*", F.lit(0).alias("_side"))
+    if "rank" in dates:
+        days = sessions.select("product", "session_date").distinct()
+    else:
         measure = "volume" if rule == "v" else "open_interest"
-        best = sessions.join(ranked, ["product", "contract"]).groupBy("product", "session_date").agg(F.max_by("rank", F.struct(F.col(measure), -F.col("rank"))).alias("best"))
-        d = windowed(with_index(best, "session_date", ["product"]), {"prior": lambda w: F.lag("best").over(w)}, 1, ["product"])
-        d = d.join(calendar, ["product", "session_date"])
+        days = join_on(sessions, ranked.select("product", "contract", "rank"), ["product", "contract"]).groupBy("product", "session_date").agg(F.max_by("rank", F.struct(F.col(measure), -F.col("rank"))).alias("best"))
+    both = with_index(days.withColumn("_side", F.lit(1)).unionByName(steps, allowMissingColumns=True), "session_date", keys, ["_side"])
+    d = cumulative(both, {n: (F.col(n), "max") for n in dates}, keys).filter("_side = 1").drop(INDEX, "_side")
+    d = d.withColumns({n: F.coalesce(n, F.lit(1)) for n in dates})
+    d = with_index(d, "session_date", keys)
+    if "rank" not in dates:
+        d = windowed(d, {"prior": lambda w: F.lag("best").over(w)}, 1, keys)
         clipped = F.least(F.greatest(F.coalesce("prior", F.lit(1)), "low"), "high")
-        out = cumulative(d, {"rank": (clipped, "max")}, ["product"]).drop(INDEX)
-    else:
-        out = calendar
-    return out.select("product", "session_date", F.least("rank", "last").alias("rank")).join(ranked.select("product", "rank", "contract"), ["product", "rank"])
+        d = cumulative(d, {"rank": (clipped, "max")}, keys)
+    last = ranked.groupBy("product").agg(F.max("last").alias("last"))
+    d = join_on(d, last, keys).withColumn("rank", F.least("rank", "last"))
+    return join_on(d.select("product", "session_date", "rank", INDEX), ranked.select("product", "rank", "contract"), ["product", "rank"])
 
 
 def roll_calendar(active: DataFrame, sessions: DataFrame) -> DataFrame:
     """A row for each change of contract: its session, both contracts, and offset and ratio of their closes the session before."""
     d = windowed(with_index(active, "session_date", ["product"]), {"from_contract": lambda w: F.lag("contract").over(w), "decided": lambda w: F.lag("session_date").over(w)}, 1, ["product"])
     rolls = d.filter(F.col("contract") != F.col("from_contract")).select("product", F.col("session_date").alias("roll_session_date"), "from_contract", F.col("contract").alias("to_contract"), "decided")
-    close = lambda side: sessions.select("product", F.col("session_date").alias("decided"), F.col("contract").alias(f"{side}_contract"), F.col("close").alias(f"{side}_close"))
-    for side in ("from", "to"):
-        rolls = rolls.join(close(side), ["product", "decided", f"{side}_contract"], "left")
+    closes = join_on(rolls, sessions.select("product", F.col("session_date").alias("decided"), "contract", "close"), ["product", "decided"], "left")
+    close = lambda side: F.max(F.when(F.col("contract") == F.col(f"{side}_contract"), F.col("close"))).alias(f"{side}_close")
+    rolls = closes.groupBy("product", "roll_session_date", "from_contract", "to_contract").agg(close("from"), close("to"))
     return rolls.select("product", "roll_session_date", "from_contract", "to_contract", (F.col("to_close") - F.col("from_close")).alias("panama_offset"), F.try_divide("to_close", "from_close").alias("ratio_factor"))
 
 
@@ -146,26 +155,61 @@ def joint_rolls(rolls: DataFrame, quarter: Column | None = None, *, contracts: D
     return rolls.groupBy(q.alias("quarter")).agg(joint.alias("joint_roll_session_date"), F.count("*").alias("n"))
 
 
+def epochs(rolls: DataFrame, adjust: str = "none", *, asof: str | None = None, forward: bool = False) -> DataFrame:
+    """(product, contract, since, shift): from which session each contract is the front one (null: from the first), and what
+    its closes are shifted by (``ratio``: their logarithms). Of products without rolls there is no row: no shift.
+
+    Windows range over the rolls of a product, a handful a year.
+    """
+    if adjust not in ("none", "panama", "ratio"):
+        raise ValueError(f"unknown adjustment {adjust!r}")
+    if asof is not None:
+        rolls = rolls.filter(F.col("roll_session_date") <= asof)
+    step = F.coalesce({"none": F.lit(0.0), "panama": F.col("panama_offset"), "ratio": F.log("ratio_factor")}[adjust], F.lit(0.0))
+    by = Window.partitionBy("product")
+    upto = by.orderBy("roll_session_date").rowsBetween(Window.unboundedPreceding, 0)
+    d = rolls.select("product", "roll_session_date", "from_contract", "to_contract", F.sum(step).over(upto).alias("passed"), F.sum(step).over(by).alias("total"), F.row_number().over(by.orderBy("roll_session_date")).alias("n"))
+    none = F.lit(None).cast("date")
+    here = F.struct(F.col("to_contract").alias("contract"), F.col("roll_session_date").cast("date").alias("since"), F.col("passed").alias("passed"))
+    before = F.struct(F.col("from_contract").alias("contract"), none.alias("since"), F.lit(0.0).alias("passed"))
+    d = d.select("product", "total", F.explode(F.when(F.col("n") == 1, F.array(before, here)).otherwise(F.array(here))).alias("e"))
+    return d.select("product", "e.contract", "e.since", (-F.col("e.passed") if forward else F.col("total") - F.col("e.passed")).alias("shift"))
+
+
+def _shifted(adjust: str) -> Column:
+    shift = F.coalesce("shift", F.lit(0.0))
+    return F.col("close") * F.exp(shift) if adjust == "ratio" else F.col("close") + shift
+
+
 def continuous(sessions: DataFrame, active: DataFrame, rolls: DataFrame, adjust: str = "none", *, asof: str | None = None, forward: bool = False) -> DataFrame:
     """(product, session_date, contract, close, adjusted) of the front contract in each session.
 
     ``panama`` adds the offsets, ``ratio`` multiplies by the ratios, of all later rolls (``forward``: takes off those of
-    earlier ones, so that history never changes). With ``asof``, neither rolls nor sessions after that date exist.
+    earlier ones, so that history never changes). With ``asof``, neither rolls nor sessions after that date exist. As the
+    front contract never goes back, a contract has one shift.
     """
-    if adjust not in ("none", "panama", "ratio"):
-        raise ValueError(f"unknown adjustment {adjust!r}")
     if asof is not None:
-        rolls, active = rolls.filter(F.col("roll_session_date") <= asof), active.filter(F.col("session_date") <= asof)
-    step = {"none": F.lit(0.0), "panama": F.col("panama_offset"), "ratio": F.log("ratio_factor")}[adjust]
-    changes = rolls.select("product", F.col("roll_session_date").alias("session_date"), step.alias("step"))
-    # over all sessions: the front contract may have no bar in the session of a roll
-    d = with_index(active.join(changes, ["product", "session_date"], "left"), "session_date", ["product"])
-    d = cumulative(d, {"passed": (F.coalesce("step", F.lit(0.0)), "sum")}, ["product"])
-    total = changes.groupBy("product").agg(F.sum("step").alias("total"))
-    d = d.join(sessions.select("product", "session_date", "contract", "close"), ["product", "session_date", "contract"]).join(total, "product", "left")
-    shift = -F.col("passed") if forward else F.coalesce("total", F.lit(0.0)) - F.col("passed")
-    adjusted = F.col("close") * F.exp(shift) if adjust == "ratio" else F.col("close") + shift
-    return d.select("product", "session_date", "contract", "close", adjusted.alias("adjusted"))
+        active = active.filter(F.col("session_date") <= asof)
+    d = join_on(active.select("product", "session_date", "contract"), sessions.select("product", "session_date", "contract", "close"), ["product", "session_date", "contract"])
+    d = join_on(d, epochs(rolls, adjust, asof=asof, forward=forward).select("product", "contract", "shift"), ["product", "contract"], "left")
+    return d.select("product", "session_date", "contract", "close", _shifted(adjust).alias("adjusted"))
+
+
+def intraday(bars: DataFrame, rolls: DataFrame, adjust: str = "none", *, ts: str = "ts_event", opens: str = "INTERVAL 0 HOURS", asof: str | None = None, forward: bool = False) -> DataFrame:
+    """(product, ts, contract, close, adjusted): the bars of the contract that is the front one at their time, adjusted as by
+    continuous().
+
+    Bars of any width are merged with the rolls in order of time; a roll takes effect at its session's date plus ``opens``.
+    Bars of products without rolls don't occur; with ``asof``, neither rolls nor bars after the end of that date exist.
+    """
+    kind = bars.schema[ts].dataType
+    spans = epochs(rolls, adjust, asof=asof, forward=forward)
+    since = F.coalesce(F.col("since").cast("timestamp_ntz") + F.expr(opens), F.lit("0001-01-01").cast("timestamp_ntz")).cast(kind)
+    spans = spans.select("product", since.alias(ts), F.col("contract").alias("front"), "shift")
+    if asof is not None:
+        bars = bars.filter(F.to_date(ts) <= asof)
+    d = asof_join(bars.select("product", ts, "contract", "close"), spans, ts, ["product"]).filter(F.col("contract") == F.col("front"))
+    return d.select("product", ts, "contract", "close", _shifted(adjust).alias("adjusted"))
 
 
 def mask_roll_days(z: DataFrame, rolls: DataFrame, *, name: str = "z", order_col: str = "session_date") -> DataFrame:
@@ -211,3 +255,31 @@ def broken_steps(series: DataFrame, adjust: str = "panama", tolerance: float = 1
     step = lambda c: lambda w: of(c) - F.lag(of(c)).over(w)
     d = windowed(with_index(series, "session_date", ["product"]), {"own": step("close"), "moved": step("adjusted"), "was": lambda w: F.lag("contract").over(w)}, 1, ["product"])
     return d.filter((F.col("was") == F.col("contract")) & (F.abs(F.col("own") - F.col("moved")) > tolerance)).drop(INDEX, "was")
+
+
+def gap_accounts(series: DataFrame, rolls: DataFrame, adjust: str = "panama", tolerance: float = 1e-6) -> DataFrame:
+    """Products of a continuous() series (not ``forward``) whose first bar is shifted by something else than all rolls' gaps:
+    (product, shifted, gaps), sums for ``panama`` and logarithms for ``ratio``."""
+    first = series.groupBy("product").agg(F.min_by(F.struct("close", "adjusted"), "session_date").alias("f"))
+    step, shifted = (F.log("ratio_factor"), F.log("f.adjusted") - F.log("f.close")) if adjust == "ratio" else (F.col("panama_offset"), F.col("f.adjusted") - F.col("f.close"))
+    gaps = rolls.groupBy("product").agg(F.sum(step).alias("gaps"))
+    d = join_on(first, gaps, ["product"], "left").select("product", shifted.alias("shifted"), F.coalesce("gaps", F.lit(0.0)).alias("gaps"))
+    return d.filter(F.abs(F.col("shifted") - F.col("gaps")) > tolerance)
+
+
+def look_ahead(sessions: DataFrame, contracts: DataFrame, asof: str, rule: str = "v", **how) -> DataFrame:
+    """Sessions up to ``asof`` whose front contract would have been another one had later sessions not been there:
+    (product, session_date, contract, then). A rule that looks only back gives none."""
+    now = active_contracts(sessions, contracts, rule, **how).filter(F.col("session_date") <= asof)
+    then = active_contracts(sessions.filter(F.col("session_date") <= asof), contracts, rule, **how).select("product", "session_date", F.col("contract").alias("then"))
+    d = join_on(now.select("product", "session_date", "contract"), then, ["product", "session_date"], "left")
+    return d.filter(~F.col("contract").eqNullSafe(F.col("then")))
+
+
+def phantom_pnl(series: DataFrame, sessions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Sessions on which holding one unit of a ``panama`` series earns other than the contract it stands for did:
+    (product, session_date, contract, moved, earned). Sessions in which that contract has no close before are left out."""
+    own = windowed(with_index(sessions.select("product", "contract", "session_date", "close"), "session_date", ["product", "contract"]), {"earned": lambda w: F.col("close") - F.lag("close").over(w), "before": lambda w: F.lag("session_date").over(w)}, 1, ["product", "contract"])
+    d = windowed(with_index(series, "session_date", ["product"]), {"moved": lambda w: F.col("adjusted") - F.lag("adjusted").over(w), "_before": lambda w: F.lag("session_date").over(w)}, 1, ["product"])
+    d = join_on(d.select("product", "session_date", "contract", "moved", "_before"), own.select("product", "session_date", "contract", "earned", "before"), ["product", "session_date", "contract"])
+    return d.filter((F.col("before") == F.col("_before")) & (F.abs(F.col("moved") - F.col("earned")) > tolerance)).drop("before", "_before")

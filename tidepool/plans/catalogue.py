@@ -512,7 +512,7 @@ ro AS (SELECT c.session_date AS roll_session_date, prev AS from_contract, c.cont
 def _rolls(spark, sf, rule="v"):
     s = staged(panel.contract_sessions(spark, sf))
     active = staged(continuous.active_contracts(s, panel.contract_list(spark, sf), rule))
-    return s, active, continuous.roll_calendar(active, s)
+    return s, active, staged(continuous.roll_calendar(active, s))  # a handful of rows
 
 
 @query(f"WITH {SESS}, {RANKS} SELECT session_date, contract, CAST(r AS INTEGER) AS rank FROM af")
@@ -606,6 +606,26 @@ def panama_forward(spark, sf):
     return rounded_means(continuous.continuous(*_rolls(spark, sf), "panama", forward=True).drop("product"), ["close", "adjusted"])
 
 
+TYPES = """tk AS (SELECT 'P' AS product, event_type AS contract, ts, value FROM events),
+hb AS (SELECT contract, time_bucket(INTERVAL 1 HOUR, ts) AS ts_event, arg_max(value, ts) AS close FROM tk GROUP BY 1, 2),
+se AS (SELECT CAST(ts AS DATE) AS session_date, contract, arg_max(value, ts) AS close, count(*) AS volume FROM tk GROUP BY 1, 2)"""
+TYPE_RANKS = RANKS.replace("DATE '1992-06-19' + INTERVAL 1 YEAR", "DATE '2024-01-04' + INTERVAL 6 DAY")
+
+
+@query(f"""WITH {TYPES}, {TYPE_RANKS}, {ROLLS}, fr AS (SELECT contract AS front, min(session_date) AS since, max(r) AS r FROM af GROUP BY 1),
+ep AS (SELECT front, CASE WHEN since = (SELECT min(since) FROM fr) THEN DATE '0001-01-01' ELSE since END AS since,
+  lead(since) OVER (ORDER BY r) AS until, coalesce((SELECT sum(panama_offset) FROM ro WHERE roll_session_date > since), 0) AS shift FROM fr)
+SELECT hb.contract, ts_event, round(close, 6) AS close, round(close + shift, 6) AS adjusted FROM hb JOIN ep ON contract = front AND ts_event >= since AND (until IS NULL OR ts_event < until)""")
+def panama_intraday(spark, sf):
+    ticks = panel.read(spark, sf, "events").select(F.lit("P").alias("product"), F.col("event_type").alias("contract"), F.col("ts").alias("ts_event"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1).cast("long").alias("volume"))
+    hours = continuous.resample(ticks, "1 hour")
+    sessions_ = staged(continuous.daily(ticks.withColumn("session_date", F.to_date("ts_event"))))
+    contracts = panel.numbered(ticks.select("contract").distinct(), "DATE'2024-01-04'", "INTERVAL 6 DAYS")
+    active = staged(continuous.active_contracts(sessions_, contracts))
+    rolls = staged(continuous.roll_calendar(active, sessions_))
+    return rounded(continuous.intraday(hours, rolls, "panama").select("contract", "ts_event", "close", "adjusted"), ["close", "adjusted"])
+
+
 @query(f"""WITH {SESS}, {RANKS}, {ROLLS}, {FRONT_CLOSE} SELECT session_date,
   CASE WHEN session_date NOT IN (SELECT roll_session_date FROM ro) THEN {mean_sql('close')} END AS z FROM f""")
 def roll_mask(spark, sf):

@@ -81,3 +81,9 @@ def contract_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "lineitem").select(contract_name().alias("contract")).distinct()
     n = F.row_number().over(Window.orderBy("contract"))  # a handful of rows
     return t.select(F.lit("P").alias("product"), "contract", n.alias("n")).withColumn("last_trade_date", F.expr("add_months(DATE'1992-06-19', 12 * n)")).drop("n")
+
+
+def numbered(contracts: DataFrame, first: str, step: str) -> DataFrame:
+    """contracts(contract) of product P in order of name, expiring at ``first`` plus 1, 2, ... times ``step``."""
+    n = F.row_number().over(Window.orderBy("contract"))  # a handful of rows
+    return contracts.select(F.lit("P").alias("product"), "contract", n.alias("n")).withColumn("last_trade_date", F.expr(f"cast({first} + n * {step} AS date)")).drop("n")
