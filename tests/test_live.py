@@ -1,0 +1,77 @@
+"""Streamed z-scores and positions against those of the whole table."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import tidepool as tp
+from tidepool.streaming.live import live_signals
+
+SCHEMA = "k string, ts timestamp, spread double"
+END = 10**6
+
+
+def made(rng, n=160):
+    rows = []
+    for k in ("a", "b", None):
+        level = 0.0
+        for i in range(n):
+            level = 0.7 * level + rng.gauss(0, 1)
+            rows.append((k, 60 * i + rng.randrange(50), None if rng.random() < 0.04 else math.nan if rng.random() < 0.03 else 5.0 if n // 3 < i < n // 3 + 14 else level))
+    return rows
+
+
+def feed(spark, tmp_path, batches, late="1 hour"):
+    """Write each batch of (k, seconds, value) as a file and let the stream read one file a micro-batch."""
+    source = str(tmp_path / "in")
+    for b in batches:
+        spark.createDataFrame([(k, float(t), v) for k, t, v in b], "k string, t double, v double").select("k", F.timestamp_seconds("t").alias("ts"), F.col("v").alias("spread")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    out = live_signals(stream, 12, 1.0, 0.4, 2.2, keys=["k"], late=late)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return sorted(((r.k, r.ts.timestamp(), r.spread, r.z, r.position) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=lambda r: (str(r[0]), r[1]))
+
+
+def batch(spark, rows):
+    d = spark.createDataFrame([(k, float(t), v) for k, t, v in rows], "k string, t double, v double").select("k", F.timestamp_seconds("t").alias("ts"), F.col("v").alias("spread"))
+    got = tp.generate_signals(tp.zscore(d, 12, partition_cols=["k"]), 1.0, 0.4, 2.2, partition_cols=["k"]).collect()
+    return sorted(((r.k, r.ts.timestamp(), r.spread, r.z, r.position) for r in got), key=lambda r: (str(r[0]), r[1]))
+
+
+def same(got, want):
+    assert [(k, t, v, p) for k, t, v, _, p in got] == [(k, t, v, p) for k, t, v, _, p in want]
+    assert [z for *_, z, _ in got] == [None if z is None else pytest.approx(z, abs=1e-9) for *_, z, _ in want]
+
+
+@pytest.mark.parametrize("cuts", [1, 5])
+def test_any_cut_into_batches_gives_the_table(spark, tmp_path, cuts):
+    rng = random.Random(cuts)
+    rows = made(rng)
+    arrived = sorted(rows, key=lambda r: r[1] + rng.randrange(1500))  # out of order, within the lateness
+    size = -(-len(arrived) // cuts)
+    batches = [arrived[i : i + size] for i in range(0, len(arrived), size)] + [[("end", END, 0.0)]]
+    got = [r for r in feed(spark, tmp_path, batches) if r[0] != "end"]
+    want = batch(spark, rows)
+    same(got, want)
+    assert {p for *_, p in want} == {-1, 0, 1}
+
+
+def test_a_restart_goes_on_where_it_stopped(spark, tmp_path):
+    rows = sorted(made(random.Random(7), 90), key=lambda r: r[1])
+    third = len(rows) // 3
+    first = feed(spark, tmp_path, [rows[:third]], late="5 minutes")
+    assert 0 < len(first) < third  # the last minutes wait
+    second = feed(spark, tmp_path, [rows[third : 2 * third]], late="5 minutes")
+    assert set(first) < set(second)
+    got = [r for r in feed(spark, tmp_path, [rows[2 * third :], [("end", END, 0.0)]], late="5 minutes") if r[0] != "end"]
+    same(got, batch(spark, rows))
+
+
+def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+    rows = [("a", 600 * i, float(i % 5)) for i in range(40)]
+    got = feed(spark, tmp_path, [rows[10:], [("a", 600 * 41, 1.0)], rows[:10], [("end", END, 0.0)]])
+    same([r for r in got if r[0] != "end"], batch(spark, [*rows[10:], ("a", 600 * 41, 1.0)]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import unitroot as ur
-from ..functions.ordered import INDEX, staged
+from ..functions.ordered import INDEX, shared_folder, staged
 from ..operators import backtest as bt
 from ..operators import clean, continuous, unitroot
 from ..operators.hedge import estimate_hedge_ratio, hedge_table, rolling_hedge_ratio
@@ -17,6 +17,7 @@ from ..operators.signals import generate_signals
 from ..operators.spread import compute_spread, compute_spread_aligned, zscore
 from ..operators.unitroot import adf_test, dickey_fuller, engle_granger
 from ..sources.prices import generate_synthetic_pair, normalise_panel, pivot_panel
+from ..streaming.live import live_signals
 from . import panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,6 +284,19 @@ def signals_many(spark, sf):
     return rounded(generate_signals(z, 1.5, 0.5, 2.5, partition_cols=["event_type"]).select("event_type", "ts", "z", "position"), ["z"])
 
 
+@query(f"WITH {EVENTS}, {ZMANY}, {positions_sql('z', 'event_type', entry=1.5, stop=2.5)} SELECT event_type, ts, round(z, 6) AS z, CAST(position AS INTEGER) AS position FROM pos")
+def live_signals_many(spark, sf):
+    """As signals_many, by a stream over the events into a table, until all that there is has been read."""
+    source = panel.read(spark, sf, "events").select("event_type", "ts", F.col("value").alias("spread"))
+    folder = shared_folder(spark)
+    stream = spark.readStream.schema(panel.read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet").select("event_type", F.to_timestamp("ts").alias("ts"), F.col("value").alias("spread"))
+    found = live_signals(stream, 20, 1.5, 0.5, 2.5, keys=["event_type"], late="0 seconds")
+    q = found.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(f"{folder}/table").select("event_type", F.col("ts").cast(source.schema["ts"].dataType).alias("ts"), "z", "position")
+    return rounded(out, ["z"])
+
+
 # ---- backtests
 
 BASE = f"WITH {WALK}, {ZROLL}, {positions_sql('z')}"
