@@ -289,7 +289,8 @@ def live_signals_many(spark, sf):
     """As signals_many, by a stream over the events into a table, until all that there is has been read."""
     source = panel.read(spark, sf, "events").select("event_type", "ts", F.col("value").alias("spread"))
     folder = shared_folder(spark)
-    stream = spark.readStream.schema(panel.read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet").select("event_type", F.to_timestamp("ts").alias("ts"), F.col("value").alias("spread"))
+    # a pattern, as Spark takes the table itself, one file or a folder, only so
+    stream = spark.readStream.schema(panel.read(spark, sf, "events").schema).parquet(f"{sf}/[e]vents.parquet").select("event_type", F.to_timestamp("ts").alias("ts"), F.col("value").alias("spread"))
     found = live_signals(stream, 20, 1.5, 0.5, 2.5, keys=["event_type"], late="0 seconds")
     q = found.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -87,7 +87,8 @@ def live_signals(stream: DataFrame, window: int, entry: float = 2.0, exit: float
     keys = list(keys)
     v = F.col(value).cast("double")
     at = F.col(ts).cast("timestamp")
-    rows = stream.select(*keys, at.alias(ts), F.unix_micros(at).alias("at_us"), F.coalesce(v, F.lit(float("nan"))).alias("v_now")).withWatermark(ts, late)
+    clock = F.timestamp_millis(F.ceil(F.unix_micros(at) / 1000))  # watermarks are in milliseconds
+    rows = stream.select(*keys, clock.alias("clock"), F.unix_micros(at).alias("at_us"), F.coalesce(v, F.lit(float("nan"))).alias("v_now")).withWatermark("clock", late)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
     schema = ", ".join([*kinds, "at_us long, v_now double, z double, position int"])
     found = rows.groupBy(*keys).transformWithStateInPandas(Machine(keys, window, entry, exit, stop), schema, "Append", "EventTime")
