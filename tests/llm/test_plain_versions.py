@@ -195,6 +195,19 @@ def test_many_added_tokens_are_split_in_linear_time():
     assert list(tokens.split_added("abc", {})) == [("abc", None)]
 
 
+def test_arcs_are_kept_within_their_bound(monkeypatch):
+    """Texts in which every word is new: encoded as the library does, whatever the table has forgotten."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MOST_ARCS", 300)
+    made, library = bpe.Codec(tokens.vocabulary_path()), Tokenizer.from_file(tokens.vocabulary_path())
+    r = random.Random(3)
+    for _ in range(40):
+        text = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(200))
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(made.words.automaton.arcs) < 300 + 200 * 60
+
+
 def test_words_are_kept_within_their_bound():
     codec = bpe.codec(tokens.vocabulary_path())
     words = bpe.Words(codec.words.automaton, 5000)

@@ -31,6 +31,7 @@ from .common import table
 from .tokens import split_added, vocabulary, vocabulary_path
 
 NEVER = 1 << 60
+MOST_ARCS = 1 << 19  # cells of the table of arcs that are kept, some 60 MB; texts in which every word is new fill it
 # what the pattern says of ASCII texts, in the classes of Python's own, faster expressions
 ASCII_PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
 
@@ -106,6 +107,8 @@ class Automaton:
         """
         if (whole := self.ids.get(word)) is not None and self._arc(0, whole) >= 0:
             return [whole]
+        if len(self.arcs) > MOST_ARCS:
+            self.arcs.clear()
         step, ends, arcs, n = self.step, self.ends, self.arcs, len(word)
         came: dict[int, tuple[int, int]] = {}  # position: where its label begins, and the label
         open_ = [(0, 0)]  # positions to go on from, with their states
