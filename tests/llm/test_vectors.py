@@ -77,6 +77,29 @@ def test_blocks_of_a_part_agree(spark, cell, slice_):
     assert sum(len({i for i, _ in w} & found[q]) for q, w in want.items()) >= 0.97 * 5 * len(want)
 
 
+def test_a_query_keeps_as_many_rows_whatever_passes_by():
+    rng = np.random.default_rng(5)
+    x, base = rng.standard_normal((30, 6)), np.round(rng.standard_normal((900, 6)), 1)
+    base[100:160] = base[:60]  # ties
+    part = np.sort(rng.integers(0, 4, len(base)))
+    wanted = rng.integers(1, 16, len(x))
+    pack = lambda v: np.array([r.tobytes() for r in np.ascontiguousarray(v)], object)
+    ids = np.empty(len(base), object)
+    ids[:] = [[int(i)] for i in rng.permutation(len(base))]
+    found = []
+    for size in (900, 37):
+        best = learned_ann.Best(wanted, pack(x), np.arange(len(x)), 6, 4)
+        for at in range(0, len(base), size):
+            best.rank([(part[at : at + size], pack(base[at : at + size]), ids[at : at + size])])
+        rows = [r for b in best.rows() for r in b.to_pylist()]
+        assert len(rows) <= 6 * len(x)
+        found.append([(r["query_id"], round(r["score"], 9), r["ids"]) for r in rows])
+    assert found[0] == found[1]
+    for q in range(len(x)):
+        able = [(-round(float(x[q] @ base[i]), 9), ids[i][0]) for i in range(len(base)) if wanted[q] >> part[i] & 1]
+        assert [(-s, i[0]) for k, s, i in found[0] if k == q] == sorted(able)[:6]
+
+
 def share_and_recall(x, k=20):
     """Of all vectors the share that a query ranks, and how many of its true neighbours are among them."""
     some = x[np.random.default_rng(1).permutation(len(x))[:16_384]]

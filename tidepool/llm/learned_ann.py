@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
-from .vectors import groups, matrix, packed, parts, unpacked, usable
+from .vectors import matrix, packed, parts, unpacked, usable
 
 
 def neighbour_lists(queries: np.ndarray, base: np.ndarray, k: int, same: bool = False) -> np.ndarray:
@@ -149,13 +149,69 @@ def depth_for(rows: int, sample: int, member: int = 64, fitted: int = 32) -> int
     return max(0, min(int(np.log2(max(rows / member, 1))), int(np.log2(max(sample / fitted, 1)))))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 32_768) -> DataFrame:
+def runs(batch, keys: list[str]):
+    """Runs of equal keys of a batch: the key, then its other columns."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    key = [get(c) for c in keys]
+    new = np.zeros(batch.num_rows, bool)
+    for c in key:
+        new[1:] |= c[1:] != c[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows] if batch.num_rows else []
+    others = [get(c) for c in batch.schema.names if c not in keys]
+    for s, e in zip(edges, edges[1:]):
+        yield tuple(c[s].item() for c in key), *(c[s:e] for c in others)
+
+
+class Best:
+    """The best members so far of each query of a slice: at most ``keep`` of each, whatever number has passed by."""
+
+    def __init__(self, wanted: np.ndarray, x: np.ndarray, query: np.ndarray, keep: int, together: int):
+        self.wanted, self.x, self.query, self.keep, self.together = wanted, unpacked(x), query, keep, together
+        self.score = np.full((len(query), keep), -np.inf)
+        self.least = np.full((len(query), keep), np.iinfo(np.int64).max)  # smallest id of each member, for ties
+        self.ids = np.empty((len(query), keep), object)
+
+    def rank(self, cells: list) -> None:
+        """Members as (part, packed vector, ids), sorted by part."""
+        if not cells:
+            return
+        part, v, ids = (np.concatenate(c) for c in zip(*cells))
+        base, least = unpacked(v), np.array([i[0] for i in ids])
+        ends = np.searchsorted(part, np.arange(self.together + 1))
+        cut, keep = len(part), self.keep
+        for at in range(0, len(self.query), 256):
+            x, bits = self.x[at : at + 256], self.wanted[at : at + 256]
+            scores = np.full((len(x), cut), -np.inf)
+            for p in range(self.together):
+                asks_it = np.flatnonzero(bits >> p & 1)
+                if len(asks_it) and ends[p] < ends[p + 1]:
+                    scores[asks_it, ends[p] : ends[p + 1]] = x[asks_it] @ base[ends[p] : ends[p + 1]].T
+            for q, s in enumerate(scores, at):
+                lowest = max(self.score[q, -1], np.partition(s, -keep)[-keep] if cut > keep else -np.inf)
+                near = np.flatnonzero((s >= lowest) & (s > -np.inf))
+                if len(near):
+                    score, first = np.concatenate([self.score[q], s[near]]), np.concatenate([self.least[q], least[near]])
+                    order = np.lexsort((first, -score))[:keep]
+                    self.score[q], self.least[q] = score[order], first[order]
+                    self.ids[q] = np.concatenate([self.ids[q], ids[near]])[order]
+
+    def rows(self):
+        for at in range(0, len(self.query), 256):
+            score, ids = self.score[at : at + 256], self.ids[at : at + 256]
+            row, place = np.nonzero(score > -np.inf)
+            if len(row):
+                columns = [pa.array(self.query[at + row], pa.int64()), pa.array(score[row, place]), pa.array(ids[row, place].tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "score", "ids"])
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, depth: int | None = None, recall: float = 0.93, cell: int = 8192, slice_: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products (double precision) for each row of vectors(vec_id, embedding) with ``is_query``.
 
     The router is fitted on at most ``sample`` different vectors (those with the smallest hashes), in 2**depth parts (if
     not given: by depth_for(), from one part for less than 128 vectors to 512 with this sample); all vectors are indexed
     and all members of the visited parts ranked. Neighbouring parts are kept in groups, so that a query travels once for
-    each group. Groups of more than ``cell`` members, and their queries by more than ``slice_``, are handled in blocks.
+    each group. A group's queries are cut into slices of about ``slice_``; for each slice its members pass by in cells of
+    ``cell``, and a query keeps its k + 1 best: out of the ranking come at most so many rows for each query and group.
     Equal vectors are searched, and ranked, as one: of each class, the k + 1 smallest vec_ids can appear in a result. Ties
     go to the smaller vec_id; a query's own vec_id isn't returned.
 
@@ -201,40 +257,37 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16_384, dept
 
     members = settle(classes.select("vector", "ids").mapInArrow(to_groups, "group int, part long, x binary, ids array<long>"))
     probes = settle(queries.select("vector", "query_id").mapInArrow(to_probes, "group int, part long, x binary, query_id long"))
-    sizes = {r.group: r.n for r in members.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group of parts
-    asks = {r.group: r.n for r in probes.groupBy("group").agg(F.count("*").alias("n")).collect()}
-    number = lambda counts, most: F.element_at(F.create_map(*[F.lit(y) for p in range(-(-(1 << depth) // together)) for y in (p, max(1, -(-counts.get(p, 0) // most)))]), F.col("group"))
-    cells, slices = number(sizes, cell), number(asks, slice_)
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = lambda n, c: F.pmod(F.xxhash64(c), n).cast("int")
-    left = members.select("group", own(cells, "ids").alias("cell"), all_of(slices).alias("slice"), F.lit(0).alias("kind"), "part", "x", "ids", F.lit(0).cast("long").alias("query_id"))
-    right = probes.select("group", all_of(cells).alias("cell"), own(slices, "query_id").alias("slice"), F.lit(1).alias("kind"), "part", "x", F.array().cast("array<long>").alias("ids"), "query_id")
-    block = ["group", "cell", "slice"]
-    dealt = left.unionByName(right).repartition(parts(rows), *block).sortWithinPartitions(*block, "kind", F.when(F.col("kind") == 0, F.col("part")))
+    asks = {r.group: r.n for r in probes.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group of parts
+    slices = F.element_at(F.create_map(*[F.lit(y) for p in range(-(-(1 << depth) // together)) for y in (p, max(1, -(-asks.get(p, 0) // slice_)))]), F.col("group"))
+    left = probes.select("group", F.pmod(F.xxhash64("query_id"), slices).cast("int").alias("slice"), F.lit(0).alias("kind"), "part", "x", F.array().cast("array<long>").alias("ids"), "query_id")
+    right = members.select("group", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(1).alias("kind"), "part", "x", "ids", F.lit(0).cast("long").alias("query_id"))
+    block = ["group", "slice"]
+    dealt = left.unionByName(right).repartition(parts(rows), *block).sortWithinPartitions(*block, "kind", F.when(F.col("kind") == 1, F.col("part")))
 
     def rank(batches):
-        for _, kind, part, v, ids, query in groups(batches, block, ["kind", "part", "x", "ids", "query_id"]):
-            cut = int((kind == 0).sum())
-            if not 0 < cut < len(kind):
-                continue
-            base, smallest, members_ = unpacked(v[:cut]), np.array([i[0] for i in ids[:cut]]), ids[:cut]
-            ends = np.searchsorted(part[:cut], np.arange(together + 1))
-            for at in range(cut, len(kind), 256):
-                x, bits = unpacked(v[at : at + 256]), part[at : at + 256]
-                scores = np.full((len(x), cut), -np.inf)
-                for p in range(together):
-                    asks_it = np.flatnonzero(bits >> p & 1)
-                    if len(asks_it) and ends[p] < ends[p + 1]:
-                        scores[asks_it, ends[p] : ends[p + 1]] = x[asks_it] @ base[ends[p] : ends[p + 1]].T
-                out: list = [[], [], []]
-                for q, s in zip(query[at : at + 256].tolist(), scores):
-                    least = np.partition(s, -(k + 1))[-(k + 1)] if cut > k + 1 else -np.inf
-                    near = np.flatnonzero((s >= least) & (s > -np.inf))
-                    near = near[np.lexsort((smallest[near], -s[near]))][: k + 1]
-                    out[0] += [q] * len(near)
-                    out[1] += s[near].tolist()
-                    out[2] += [members_[i] for i in near]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], ["query_id", "score", "ids"])
+        """A slice's queries come first and are held; its group's members pass by, and each query keeps its best so far."""
+        at, asked_, wait = None, [], []
+        best: Best | None = None
+        for batch in batches:
+            for key, kind, part, v, ids, query in runs(batch, block):
+                if key != at:
+                    if best is not None:
+                        best.rank(wait)
+                        yield from best.rows()
+                    at, asked_, wait, best = key, [], [], None
+                queries_ = int((kind == 0).sum())
+                if queries_:
+                    asked_.append((part[:queries_], v[:queries_], query[:queries_]))
+                if queries_ < len(kind):
+                    best = best or (Best(*(np.concatenate(c) for c in zip(*asked_)), k + 1, together) if asked_ else None)
+                    wait.append((part[queries_:], v[queries_:], ids[queries_:]))
+                    if sum(len(w[0]) for w in wait) >= cell:
+                        if best is not None:
+                            best.rank(wait)
+                        wait = []
+        if best is not None:
+            best.rank(wait)
+            yield from best.rows()
 
     found = dealt.mapInArrow(rank, "query_id long, score double, ids array<long>").select("query_id", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
