@@ -98,16 +98,58 @@ def with_index(df: DataFrame, order_col: str = "ts", partition_cols: Sequence[st
     return d.withColumn(INDEX, F.col("_first") + F.col("_r") - 1).drop("_k", "_r", "_first")
 
 
-def windowed(df: DataFrame, columns: dict[str, Callable[[WindowSpec], Column]], before: int, partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
-    """df (indexed) with columns made by functions of an ordered window; their frames reach back at most ``before`` rows."""
+Columns = dict[str, Callable[[WindowSpec], Column]]
+
+
+def windowed(df: DataFrame, columns: Columns | Sequence[Columns], before: int, partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """df (indexed) with columns made by functions of an ordered window; their frames reach back at most ``before`` rows.
+
+    Of several groups of columns, each can use those of the groups before it.
+    """
+    groups = [columns] if isinstance(columns, dict) else columns
     if one_block(rows):
-        return df.withColumns({name: make(Window.partitionBy(*partition_cols).orderBy(INDEX)) for name, make in columns.items()})
+        w = Window.partitionBy(*partition_cols).orderBy(INDEX)
+        return reduce(lambda d, made: d.withColumns({name: make(w) for name, make in made.items()}), groups, df)
     size = max(ROWS, 4 * before)
     home = F.floor(F.col(INDEX) / size)
     reach = F.col(INDEX) % size >= size - before
     d = df.withColumn("_b", F.explode(F.when(reach, F.array(home, home + 1)).otherwise(F.array(home))))
     w = Window.partitionBy(*partition_cols, "_b").orderBy(INDEX)
-    return d.withColumns({name: make(w) for name, make in columns.items()}).filter(F.col("_b") == home).drop("_b")
+    d = reduce(lambda d, made: d.withColumns({name: make(w) for name, make in made.items()}), groups, d)
+    return d.filter(F.col("_b") == home).drop("_b")
+
+
+def rolling_moments(df: DataFrame, cols: Sequence[str], window: int, partition_cols: Sequence[str] = (), rows: int | None = None, pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """df (indexed) with ``_mean_<col>``, ``_var_<col>`` and ``_cov_<a>_<b>`` over the trailing ``window`` rows, null unless the
+    frame is full and none of ``cols`` is missing in it.
+
+    Frames are differences of running sums, so that a row costs the same whatever the window. The sums are of values less
+    their block's mean, which keeps large offsets from cancelling; a frame of equal values has a variance of exactly 0.
+    """
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    products = [(c, c) for c in cols] + list(pairs)
+    centred = lambda c: F.col(c) - F.col(f"_c_{c}")
+    there = reduce(and_, [F.col(c).isNotNull() for c in cols])
+    first = {f"_c_{c}": lambda w, c=c: F.avg(c).over(whole(w)) for c in cols} | {f"_d_{c}": lambda w, c=c: (F.col(c) != F.lag(c).over(w)).cast("long") for c in cols}
+    terms = {"n": there.cast("long")} | {f"s_{c}": centred(c) for c in cols} | {f"p_{a}_{b}": centred(a) * centred(b) for a, b in products} | {f"d_{c}": F.col(f"_d_{c}") for c in cols}
+    second = {f"_u_{name}": lambda w, term=term: F.sum(F.coalesce(term, F.lit(0))).over(upto(w)) for name, term in terms.items()}
+    back = lambda name: window - 1 if name.startswith("d_") else window  # noqa: E731  # a change lies between two rows of the frame
+    since = lambda name: lambda w: F.col(f"_u_{name}") - F.coalesce(F.lag(f"_u_{name}", back(name)).over(w), F.lit(0))
+    third = {f"_f_{name}": since(name) for name in terms if window > 1 or not name.startswith("d_")}
+    d = windowed(df, [first, second, third], window - 1, partition_cols, rows)
+    f, n = (lambda name: F.col(f"_f_{name}")), float(window)
+    full_ = f("n") == window
+
+    def covariance(a, b):
+        if window < 2:
+            return F.lit(None).cast("double")
+        value = (f(f"p_{a}_{b}") - f(f"s_{a}") * f(f"s_{b}") / n) / (n - 1)
+        still = (f(f"d_{a}") == 0) | (f(f"d_{b}") == 0)
+        return F.when(full_ & still, 0.0).when(full_, F.greatest(value, F.lit(0.0)) if a == b else value)
+
+    made = {f"_mean_{c}": F.when(full_, F.col(f"_c_{c}") + f(f"s_{c}") / n) for c in cols} | {f"_var_{c}": covariance(c, c) for c in cols} | {f"_cov_{a}_{b}": covariance(a, b) for a, b in pairs}
+    return d.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
 def cumulative(df: DataFrame, columns: dict[str, tuple[Column, str]], partition_cols: Sequence[str] = (), rows: int | None = None) -> DataFrame:
@@ -131,8 +173,3 @@ def cumulative(df: DataFrame, columns: dict[str, tuple[Column, str]], partition_
 
 def rolling(w: WindowSpec, window: int) -> WindowSpec:
     return w.rowsBetween(-(window - 1), 0)
-
-
-def full(value: Column, of: Column, w: WindowSpec, window: int) -> Column:
-    """``value`` where the frame of ``window`` rows has no missing ``of``, else null."""
-    return F.when(F.count(of).over(rolling(w, window)) == window, value)

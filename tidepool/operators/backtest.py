@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ordered import INDEX, cumulative, join_on, staged, windowed, with_index
+from ..functions.selection import ranked_values
 from .clean import log_prices, nan_to_null
 from .hedge import HedgeRatio, hedge_table
 from .ou import LEAST, OUParams, ou_table
@@ -102,7 +102,7 @@ def backtest_spread(spread: DataFrame, positions: DataFrame | None = None, cost_
     return BacktestResult(backtest_table(spread, cost_per_unit, lag, order_col=order_col, rows=rows), order_col, rows)
 
 
-def split_point(df: DataFrame, split: str | float, order_col: str = "ts", rows: int | None = None):
+def split_point(df: DataFrame, split: str | float, order_col: str = "ts"):
     """The first time of the test part: a date given as text, or that of row int(n * fraction) in order of time."""
     if isinstance(split, str):
         return F.lit(split).cast(df.schema[order_col].dataType)
@@ -110,10 +110,11 @@ def split_point(df: DataFrame, split: str | float, order_col: str = "ts", rows:
         raise TypeError(f"split is a {type(split).__name__}; a date as text or a fraction as float is needed")
     if not 0.0 < split < 1.0:
         raise ValueError(f"a fraction between 0 and 1 splits the rows, not {split}")
-    rows = df.count() if rows is None else rows
-    at = int(rows * split)
-    row = with_index(df.select(order_col, *([INDEX] if INDEX in df.columns else [])), order_col, rows=rows).filter(F.col(INDEX) == at).first()
-    return F.lit(row[0] if row else None).cast(df.schema[order_col].dataType)
+    kind = df.schema[order_col].dataType
+    times = df.select(F.lit(0).alias("key"), F.col(order_col).alias("v"))
+    n, known, low, high = times.agg(F.count("*"), F.count("v"), F.min("v"), F.max("v")).first()
+    at = int(n * split) - (n - known)  # rows without a time come first
+    return F.lit(ranked_values(times.filter("v is not null"), {0: [at]}, {0: (known, low, high)})[0, at] if 0 <= at < known else None).cast(kind)
 
 
 def train_test_split_by_date(df: DataFrame, split: str | float, *, order_col: str = "ts") -> tuple[DataFrame, DataFrame]:
@@ -149,7 +150,7 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     if isinstance(split, float) and 0.0 < split < 1.0:
         at = base.filter(F.col(INDEX) == int(n * split)).select(F.col(order_col).alias("_at"))  # joined, not looked up
     else:
-        at = base.sparkSession.range(1).select(split_point(base, split, order_col, n).alias("_at"))
+        at = base.sparkSession.range(1).select(split_point(base, split, order_col).alias("_at"))
     hedge, ou, signals = _walk(base, [], y_col, x_col, at, z_window, entry, exit, stop, order_col, n)
     r = hedge.crossJoin(ou).first()
     if r.n_obs < LEAST:
@@ -190,35 +191,30 @@ def walk_forward_many(prices: DataFrame, partition_cols: Sequence[str], y_col: s
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles (exact, interpolated) and max: one row for each column.
+    """count, mean, std, min, quartiles (exact, interpolated) and max of values that aren't missing: one row for each column.
 
-    Quartiles come from counts of different values: approximate cuts part these into ranges, ranges are ranked by their
-    sizes (about a hundred a column), values within their range.
+    One aggregate gives the counts, from which the ranks follow; their values are selected (functions.selection).
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
-    cuts = F.percentile_approx("v", [i / 64 for i in range(1, 64)], 10_000)
-    stats = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), cuts.alias("cuts"))
-    counts = long.filter("v is not null").groupBy("column", "v").agg(F.count("*").alias("n")).join(F.broadcast(stats), "column")  # one row a column
-    counts = counts.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select("column", "v", "n", "range", "count")
-    sizes = counts.groupBy("column", "range").agg(F.sum("n").alias("size"))
-    first = sizes.select("column", "range", F.coalesce(F.sum("size").over(Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    place = F.sum("n").over(Window.partitionBy("column", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.join(first, ["column", "range"]).withColumn("at", F.col("first") + F.coalesce(place, F.lit(0)))
-
-    def quartile(share: float):
-        want = (F.col("count") - 1) * share
-        of = lambda rank: F.max(F.when((F.col("at") <= rank) & (rank < F.col("at") + F.col("n")), F.col("v")))
-        low, high = of(F.floor(want)), of(F.ceil(want))
-        return low + (high - low) * F.max(want - F.floor(want))
-
-    quartiles = ranked.groupBy("column").agg(quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75"))
-    return stats.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    d = nan_to_null(df.select(*cols), cols)
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    s = d.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in kinds.items()]).first()
+    long = d.select(F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.col(c).alias("v")) for i, c in enumerate(cols)])).alias("x")).select("x.*").filter("v is not null")
+    quartile = lambda i, share: (s[f"count{i}"] - 1) * share
+    wanted = {i: [r for share in (0.25, 0.5, 0.75) for r in (math.floor(quartile(i, share)), math.ceil(quartile(i, share)))] for i in range(len(cols)) if s[f"count{i}"]}
+    found = ranked_values(long, wanted, {i: (s[f"count{i}"], s[f"min{i}"], s[f"max{i}"]) for i in wanted})
+
+    def row(i, c):
+        def value(share):
+            if not s[f"count{i}"]:
+                return None
+            low, high = found[i, math.floor(quartile(i, share))], found[i, math.ceil(quartile(i, share))]
+            return low + (high - low) * (quartile(i, share) - math.floor(quartile(i, share)))
+
+        return c, s[f"count{i}"], s[f"mean{i}"], s[f"std{i}"], s[f"min{i}"], value(0.25), value(0.5), value(0.75), s[f"max{i}"]
+
+    return df.sparkSession.createDataFrame([row(i, c) for i, c in enumerate(cols)], "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def tail(df: DataFrame, n: int = 5, order_col: str = "ts") -> DataFrame:
     """The last n rows by time."""
     return df.orderBy(F.desc(order_col)).limit(n)
-
-
-def numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import full, rolling, windowed, with_index
+from ..functions.ordered import rolling_moments, with_index
 from ..functions.regression import ols, tls
 from .clean import nan_to_null
 from .spread import compute_spread
@@ -42,11 +42,8 @@ def estimate_hedge_ratio(df: DataFrame, y: str = "y", x: str = "x", method: str
 def rolling_hedge_ratio(df: DataFrame, window: int, *, y: str = "y", x: str = "x", order_col: str = "ts", partition_cols: Sequence[str] = ()) -> DataFrame:
     """df with the slope (``beta``) and intercept (``alpha``) over the trailing window; null unless it is full and x varies."""
 
-    def of(w, what):
-        f = rolling(w, window)
-        pair = F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), F.lit(1))
-        beta = F.try_divide(F.covar_samp(y, x).over(f), F.var_samp(x).over(f))
-        return full(beta if what == "beta" else F.avg(y).over(f) - beta * F.avg(x).over(f), pair, w, window)
-
     d = with_index(nan_to_null(df, [y, x]), order_col, partition_cols)
-    return windowed(d, {"alpha": lambda w: of(w, "alpha"), "beta": lambda w: of(w, "beta")}, window - 1, partition_cols)
+    d = rolling_moments(d, [y, x], window, partition_cols, pairs=[(y, x)])
+    beta = F.try_divide(f"_cov_{y}_{x}", f"_var_{x}")
+    d = d.withColumn("beta", beta).withColumn("alpha", F.col(f"_mean_{y}") - F.col("beta") * F.col(f"_mean_{x}"))
+    return d.drop(*[f"_{kind}_{c}" for kind in ("mean", "var") for c in (y, x)], f"_cov_{y}_{x}")

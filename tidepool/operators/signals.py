@@ -59,31 +59,47 @@ def step(state: int, z: float, entry: float, exit: float, stop: float | None) ->
     return FLAT if abs(z) < exit else state
 
 
+def row_maps(z: np.ndarray, entry: float, exit: float, stop: float | None) -> np.ndarray:
+    """For each row, the state after it by the state before it: step() of all rows at once."""
+    size = np.abs(z)
+    flat = np.where(z > entry, SHORT, np.where(z < -entry, LONG, FLAT))
+    held = [np.where(size < exit, FLAT, state) for state in (LONG, SHORT)]
+    maps = np.stack([flat, *held, flat], axis=1)
+    if stop is not None:
+        maps[size > stop] = STOPPED
+    maps[size >= exit, STOPPED] = STOPPED
+    maps[np.isnan(z)] = np.arange(4)
+    return maps.astype(np.int8)
+
+
+def composed(maps: np.ndarray) -> np.ndarray:
+    """Each row's map after those of all rows before it, in as many passes as the number of rows has binary digits."""
+    out, reach = maps.copy(), 1
+    while reach < len(out):
+        out[reach:] = np.take_along_axis(out[reach:], out[:-reach].astype(np.int64), axis=1)
+        reach *= 2
+    return out
+
+
 def _by_blocks(d: DataFrame, entry: float, exit: float, stop: float | None, name: str, partition_cols: Sequence[str]) -> DataFrame:
     keys = [*partition_cols, "_b"]
     d = d.withColumn("_b", F.floor(F.col(INDEX) / ROWS))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keys).schema)
 
-    def walk(values, state):
-        out = np.empty(len(values), np.int8)
-        for i, v in enumerate(values):
-            out[i] = state = step(state, v, entry, exit, stop)
-        return out
+    def prefixes(pdf: pd.DataFrame) -> np.ndarray:
+        return composed(row_maps(pdf["_z"].to_numpy(float), entry, exit, stop))
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(INDEX)["_z"].to_numpy(float)
-        return pdf[keys].iloc[:1].assign(to=[[int(walk(values, s)[-1]) for s in range(4)]])
+        return pdf[keys].iloc[:1].assign(to=[prefixes(pdf.sort_values(INDEX))[-1].tolist()])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, starts = pdf.sort_values("_b"), FLAT, []
-        for to in pdf["to"]:
-            starts.append(state)
-            state = int(to[state])
-        return pdf[keys].assign(_start=starts)
+        pdf = pdf.sort_values("_b")
+        after = composed(np.stack(pdf["to"].to_numpy()))[:, FLAT]
+        return pdf[keys].assign(_start=np.concatenate([[FLAT], after[:-1]]))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(INDEX)
-        return pdf.assign(**{name: POSITION[walk(pdf["_z"].to_numpy(float), int(pdf["_start"].iloc[0]))]}).drop(columns=["_b", "_start"])
+        return pdf.assign(**{name: POSITION[prefixes(pdf)[:, int(pdf["_start"].iloc[0])]]}).drop(columns=["_b", "_start"])
 
     maps = d.select(*keys, INDEX, "_z").groupBy(*keys).applyInPandas(summary, f"{kinds}, to array<int>")
     starts = maps.groupBy(*partition_cols).applyInPandas(chain, f"{kinds}, _start int")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import full, join_on, rolling, windowed, with_index
+from ..functions.ordered import join_on, rolling_moments, with_index
 from .clean import nan_to_null
 
 
@@ -35,8 +35,6 @@ def zscore(df: DataFrame, window: int | None = None, *, value: str = "spread", n
         joined = join_on(df, stats, partition_cols) if partition_cols else df.crossJoin(F.broadcast(stats))  # one row
         return joined.withColumn(name, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
-    def z(w):
-        f = rolling(w, window)
-        return full(F.try_divide(F.col(value) - F.avg(value).over(f), F.stddev_samp(value).over(f)), F.col(value), w, window)
-
-    return windowed(with_index(df, order_col, partition_cols, rows=rows), {name: z}, window - 1, partition_cols, rows)
+    d = rolling_moments(with_index(df, order_col, partition_cols, rows=rows), [value], window, partition_cols, rows)
+    z = F.try_divide(F.col(value) - F.col(f"_mean_{value}"), F.sqrt(f"_var_{value}"))
+    return d.withColumn(name, z).drop(f"_mean_{value}", f"_var_{value}")
