@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,58 @@ def test_fallback_goes_on_after_a_failing_download(spark):
         tp.load_prices(spark, "yfinance", "2024-01-01", download=vendor(["Close"], fail={"NQ=F", "QQQ"}))
 
 
+def test_spans_of_a_range():
+    assert prices.date_spans("2024-01-01", None, None) == [("2024-01-01", None)]
+    assert prices.date_spans("2024-01-01", "2024-01-10", 4) == [("2024-01-01", "2024-01-05"), ("2024-01-05", "2024-01-09"), ("2024-01-09", "2024-01-10")]
+    assert prices.date_spans("2024-01-01", "2024-01-05", 4) == [("2024-01-01", "2024-01-05")]
+    assert prices.date_spans("2024-01-01", None, 10_000)[-1] == ("2024-01-01", None)
+    with pytest.raises(ValueError):
+        prices.date_spans("2024-01-01", None, 0)
+
+
+def flaky(folder, fail_first):
+    """read(symbol, from, to): a row a day, after having failed ``fail_first`` times for each part, half-way through."""
+
+    def read(symbol, start, end):
+        mark = f"{folder}/{symbol}-{start}"
+        tries = int(open(mark).read()) if os.path.exists(mark) else 0
+        with open(mark, "w") as f:
+            f.write(str(tries + 1))
+        day, stop = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end)
+        for n in range((stop - day).days):
+            if tries < fail_first and n == (stop - day).days // 2:
+                raise OSError("connection lost")
+            yield day + dt.timedelta(days=n), symbol, "close", float((day + dt.timedelta(days=n)).toordinal())
+
+    return read
+
+
+def test_a_vendor_that_fails_once_a_part_gives_all_rows(spark, tmp_path):
+    got = prices.vendor_rows(spark, ["a", "b"], flaky(tmp_path, 1), "2024-01-01", "2024-02-15", days=10, pause=0.01)
+    days = [DAY + dt.timedelta(days=n) for n in range(45)]
+    assert sorted((r.ts, r.ticker, r.value) for r in got.collect()) == sorted((d, t, float(d.toordinal())) for d in days for t in "ab")
+    assert len(os.listdir(tmp_path)) == 10
+    with pytest.raises(Exception, match="connection lost"):
+        prices.vendor_rows(spark, ["c"], flaky(tmp_path, 9), "2024-01-01", "2024-01-05", attempts=2, pause=0.01)
+
+
+def test_a_restarted_vendor_stream_gives_no_row_twice(spark, tmp_path):
+    (tmp_path / "marks").mkdir()
+    clock = str(tmp_path / "today")
+    until = lambda: open(clock).read()
+
+    def run(today):
+        (tmp_path / "today").write_text(today)
+        stream = prices.stream_vendor(spark, ["a", "b"], flaky(str(tmp_path / "marks"), 1), "2024-01-01", until, pause=0.01)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.ts, r.ticker) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for today in ("2024-01-08", "2024-01-08", "2024-01-20"):
+        days = (dt.date.fromisoformat(today) - DAY.date()).days
+        assert run(today) == sorted((DAY + dt.timedelta(days=n), t) for n in range(days) for t in "ab")
+
+
 class Client:
     def __init__(self, key):
         assert key == "secret"
@@ -139,6 +192,58 @@ def test_bar_tables_keep_other_days(spark, tmp_path):
     assert facts["dataset_id"] == json.loads(bars.manifest(spark, path, source="s", symbols=["X"]))["dataset_id"]
 
 
+BARS = "ts_event timestamp_ntz, source string, product string, contract string, close double"
+bar = lambda day, minute, price, contract="X", source="s": (DAY + dt.timedelta(days=day, minutes=minute), source, "p", contract, price)
+
+
+def test_merged_bars_have_each_key_once(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    first = [bar(d, m, 1.0, c) for d in range(3) for m in range(20) for c in "XY"]
+    second = [bar(d, m, 2.0) for d in (1, 4) for m in range(10, 30)] + [bar(1, 10, 0.5), bar(2, 5, 3.0, "Y", "other")]
+    for rows in (first, second, second, first[:5] + first[:5]):
+        bars.merge_bars(spark.createDataFrame(rows, BARS), path)
+    got = {(r.source, r.contract, r.ts_event): r.close for r in bars.read_bars(spark, path).collect()}
+    want = {(s, c, t): v for t, s, _, c, v in first} | {(s, c, t): v for t, s, _, c, v in second if v != 0.5} | {(s, c, t): v for t, s, _, c, v in first[:5]}
+    assert got == want and bars.read_bars(spark, path).count() == len(want)
+    bars.write_bars(spark.createDataFrame([bar(9, 0, 1.0), bar(9, 0, 4.0)], BARS), path)
+    assert bars.read_bars(spark, path).filter("date = '2024-01-10'").collect()[0].close == 4.0
+
+
+def test_a_merge_that_fails_leaves_the_table(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    bars.merge_bars(spark.createDataFrame([bar(d, m, 1.0) for d in range(2) for m in range(20)], BARS), path)
+    before = sorted(map(tuple, bars.read_bars(spark, path).collect()))
+    bad = spark.createDataFrame([bar(d, m, 2.0) for d in range(3) for m in range(20)], BARS)
+    bad = bad.withColumn("close", F.when((F.dayofmonth("ts_event") == 2) & (F.minute("ts_event") == 7), F.raise_error(F.lit("disk full")).cast("double")).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="disk full"):
+        bars.merge_bars(bad, path)
+    assert sorted(map(tuple, bars.read_bars(spark, path).collect())) == before
+
+
+def test_manifests_name_each_kind_of_damage(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    bars.write_bars(spark.createDataFrame([bar(d, m, float(m), c) for d in range(4) for m in range(5) for c in ("X", "a b")], BARS), path)
+    digest = bars.write_manifest(spark, path, f"file://{tmp_path}/m1")
+    assert bars.write_manifest(spark, path, f"file://{tmp_path}/m2") == digest
+    assert bars.compare_manifests(spark, f"file://{tmp_path}/m1", f"file://{tmp_path}/m2").count() == 0
+    tree = {r.prefix: r for r in spark.read.parquet(f"file://{tmp_path}/m1/tree").collect()}
+    assert (tree[""].files, tree[""].rows) == (8, 40) and tree[""].digest == digest
+    files = sorted(p for p in (tmp_path / "bars").rglob("*.parquet"))
+    gone, cut = files[0], files[1]
+    gone.unlink()
+    bars.write_bars(spark.createDataFrame([bar(9, 0, 1.0)], BARS), path)
+    new = spark.createDataFrame([bar(0, m, 7.0) for m in range(3)], BARS).drop("source", "product", "contract").coalesce(1)
+    new.write.parquet(f"file://{tmp_path}/one")
+    (part,) = (tmp_path / "one").glob("part-*")
+    cut.write_bytes(part.read_bytes())
+    (cut.parent / f".{cut.name}.crc").unlink(missing_ok=True)
+    assert bars.write_manifest(spark, path, f"file://{tmp_path}/m3") != digest
+    found = {r.path: (r.change, r.detail) for r in bars.compare_manifests(spark, f"file://{tmp_path}/m1", f"file://{tmp_path}/m3").collect()}
+    inside = lambda p: str(p.relative_to(tmp_path / "bars"))
+    assert found.pop(inside(gone)) == ("missing", None) and found.pop(inside(cut)) == ("changed", "rows, size, sha256")
+    assert [v for v in found.values()] == [("extra", None)] and "date=2024-01-10" in next(iter(found))
+
+
 # ---- continuous series
 
 

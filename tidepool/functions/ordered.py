@@ -59,7 +59,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
         return left.crossJoin(F.broadcast(right))
     right = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
-    return left.join(right, same, how).drop(*[f"_on_{k}" for k in keys])
+    return left.join(right, same, how).drop(*[f"_on_{k}" for k in keys])  # a semi or anti join has none of them
 
 
 def _stretch(df: DataFrame, order_col: str) -> Column:
