@@ -226,6 +226,15 @@ def test_shards_of_a_cascade_are_exact(spark, shard_keys):
     assert keys.select((made.has(F.col("key")) != F.expr(of)).alias("x")).filter("x").count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_keys_that_levels_do_not_tell_apart_are_listed(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "CHUNK", 16)
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    made = url_filter.build_cascade(keys, keys.filter("hash(key) % 5 = 0"), 400, most)
+    assert made.left and keys.select((made.has(F.col("key")) != F.expr("hash(key) % 5 = 0")).alias("x")).filter("x").count() == 0
+    assert max(len(s) for s in made.shards) == most
+
+
 def test_a_million_listed_keys(spark):
     keys = spark.range(1_500_000).select(F.concat(F.lit("host"), F.xxhash64("id"), F.lit(".net/")).alias("key"), "id")
     made = url_filter.build_cascade(keys.select("key"), keys.filter("id % 3 > 0").select("key"), 400_000)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CHUNK = 1 << 13  # bytes of a level that come to the driver in one row
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
@@ -65,7 +66,7 @@ def _positions(key: Column, level: int, size, hashes: int) -> list[Column]:
 
 
 def _levels(keys: DataFrame, counts: dict[int, int], level: int, rate: float) -> dict[int, Level]:
-    """A Bloom filter for each shard of keys(key, shard); to the driver comes one row for each byte that holds a bit."""
+    """A Bloom filter for each shard of keys(key, shard). Tasks put CHUNK bytes together, of which the driver gets a row each."""
     hashes = max(1, round(-math.log2(rate)))
     sizes = {shard: max(70, math.ceil(n * hashes / math.log(2))) for shard, n in counts.items()}
     size = F.lit(0)
@@ -74,22 +75,30 @@ def _levels(keys: DataFrame, counts: dict[int, int], level: int, rate: float) ->
     at = keys.select("shard", F.explode(F.array(*_positions(F.col("key"), level, size, hashes))).alias("p"))
     bit = F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(7)).cast("int"))
     cells = at.groupBy("shard", F.floor(F.col("p") / 7).alias("byte")).agg(F.bit_or(bit).alias("bits"))
+    # the bytes of a chunk in order, with zero bytes where no key has a bit
+    cells = cells.withColumn("chunk", F.floor(F.col("byte") / CHUNK)).withColumn("byte", F.pmod("byte", F.lit(CHUNK)).cast("int"))
+    chunks = cells.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("byte", "bits"))).alias("held"))  # at most CHUNK bytes
+    last = F.concat(F.array(F.lit(-1)), F.transform("held", lambda h: h["byte"]))
+    text = F.zip_with("held", F.slice(last, 1, F.size("held")), lambda h, p: F.concat(F.repeat(F.lit("\0"), h["byte"] - p - 1), F.chr(h["bits"])))
     bits = {shard: bytearray(-(-n // 7)) for shard, n in sizes.items()}
-    for shard, byte, value in cells.toLocalIterator():
-        bits[shard][byte] = value
+    for shard, chunk, held in chunks.select("shard", "chunk", F.array_join(text, "")).toLocalIterator():
+        bits[shard][chunk * CHUNK : chunk * CHUNK + len(held)] = held.encode("ascii")
     return {shard: Level(bytes(bits[shard]), n, hashes) for shard, n in sizes.items()}
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Levels by shard of the key space; with one shard, every key is in it."""
+    """Levels by shard of the key space; with one shard, every key is in it. ``left``: keys that the levels don't tell apart."""
 
     shards: tuple[tuple[Level, ...], ...]
+    left: tuple[str, ...] = ()
 
     def has(self, key: Column) -> Column:
         out = None
         for n, levels in enumerate(self.shards):
-            one = F.lit(len(levels) % 2 == 1)  # let through by all: in what the last level holds
+            one = F.lit(len(levels) % 2 == 1)  # let through by all: in what the last level holds, but for those left
+            if self.left:
+                one = F.when(key.isin(*self.left), len(levels) % 2 == 0).otherwise(one)
             for at in reversed(range(len(levels))):
                 one = F.when(levels[at].has(key, at), one).otherwise(at % 2 == 1)
             out = one if out is None else F.when(_shard(key, len(self.shards)) == n, one).otherwise(out)
@@ -104,7 +113,8 @@ def build_cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = 1 <<
     """A cascade for ``listed(key)`` that is exact on every key of ``universe(key)`` and of ``listed``.
 
     The key space is cut by hash into shards of about ``shard_keys`` listed keys, each with levels of its own, so a level
-    holds a few MB at most, however many keys are listed; only these levels' bytes come to the driver. Null keys are left
+    holds a few MB at most, however many keys are listed; only these levels' bytes come to the driver, a row for CHUNK of
+    them. Keys that ``most_levels`` levels can't tell apart (of equal hashes) are kept as they are. Null keys are left
     out; repeated keys count once; an empty list gives a cascade that lists nothing.
     """
     keys = universe.select("key", F.lit(0).alias("listed")).unionByName(listed.select("key", F.lit(1).alias("listed")))
@@ -114,7 +124,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = 1 <<
     keys = keys.select("key", "listed", (_shard(F.col("key"), shards) if shards > 1 else F.lit(0)).alias("shard"))
     inside, outside = (keys.filter(F.col("listed") == i).select("key", "shard") for i in (1, 0))
     made: list[list[Level]] = [[] for _ in range(shards)]
-    for level in range(most_levels + 1):
+    for level in range(most_levels):
         counts = {r.shard: r.n for r in inside.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
         if not counts:
             return Cascade(tuple(map(tuple, made)))
@@ -126,7 +136,8 @@ def build_cascade(universe: DataFrame, listed: DataFrame, shard_keys: int = 1 <<
             passes = F.when(F.col("shard") == shard, one.has(F.col("key"), level)).otherwise(passes)
         through = outside.filter(passes)
         inside, outside = settle(through) if total + rest > 100_000 else through, inside
-    raise RuntimeError(f"the cascade needs more than {most_levels} levels")
+    # each level halves what is left, so only keys with equal hashes come here: these are listed one by one
+    return Cascade(tuple(map(tuple, made)), tuple(sorted(r.key for r in inside.collect())))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
