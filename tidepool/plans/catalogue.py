@@ -16,6 +16,7 @@ from ..operators.ou import OUParams, ou_table, simulate_ou
 from ..operators.signals import generate_signals
 from ..operators.spread import compute_spread, compute_spread_aligned, zscore
 from ..operators.unitroot import adf_test, dickey_fuller, engle_granger
+from ..sources import bars
 from ..sources.prices import generate_synthetic_pair, normalise_panel, pivot_panel
 from ..streaming.live import live_signals
 from . import panel
@@ -677,6 +678,20 @@ def duplicate_bars(spark, sf):
     return continuous.duplicate_bars(t.select(F.col("l_returnflag").alias("product"), panel.contract_name().alias("contract"), F.col("l_shipdate").cast("date").alias("ts_event")))
 
 
+@query("""WITH b AS (SELECT l_returnflag AS product, 'C' || l_linenumber AS contract, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS close, l_quantity AS volume, l_quantity FROM lineitem),
+pt AS (SELECT product, contract, day, 1 AS part, max(struct_pack(close := close, volume := CAST(volume AS BIGINT))) AS m FROM b WHERE l_quantity <= 30 GROUP BY 1, 2, 3
+  UNION ALL SELECT product, contract, day, 2, max(struct_pack(close := close, volume := CAST(volume AS BIGINT))) FROM b WHERE l_quantity > 20 GROUP BY 1, 2, 3)
+SELECT product, contract, CAST(day AS TIMESTAMP) AS ts_event, m.close AS close, m.volume AS volume FROM pt QUALIFY row_number() OVER (PARTITION BY product, contract, day ORDER BY part DESC) = 1""")
+def merged_bars(spark, sf):
+    """Two overlapping batches of bars with repeated keys, the second one merged twice, read back from the table."""
+    t = panel.read(spark, sf, "lineitem")
+    bars_ = t.select(F.col("l_shipdate").cast("timestamp_ntz").alias("ts_event"), F.col("l_returnflag").alias("product"), panel.contract_name().alias("contract"), F.col("l_extendedprice").cast("double").alias("close"), F.col("l_quantity").cast("long").alias("volume"))
+    folder = shared_folder(spark)
+    for part in ("volume <= 30", "volume > 20", "volume > 20"):
+        bars.merge_bars(bars_.filter(part), folder, ("product", "contract"))
+    return bars.read_bars(spark, folder).select("product", "contract", "ts_event", "close", "volume")
+
+
 @query(f"""WITH {SESS}, {RANKS}, own AS (SELECT contract, session_date, close, lag(close) OVER (PARTITION BY contract ORDER BY session_date) AS before FROM se),
 hd AS (SELECT a.session_date, a.contract, close, before, lag(a.contract) OVER (ORDER BY a.session_date) AS old FROM af a JOIN own USING (session_date, contract))
 SELECT session_date, contract, {mean_sql("CASE WHEN old IS NULL THEN 0 ELSE coalesce((close - before), 0) * 50 END - CASE WHEN old <> contract THEN CAST(2.5 AS DOUBLE) ELSE 0 END")} AS pnl FROM hd""")
