@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -139,7 +139,7 @@ def _walk(base: DataFrame, keys: list[str], y: str, x: str, at: DataFrame, z_win
     return hedge, ou, staged(generate_signals(z, entry, exit, stop, order_col=order_col, partition_cols=keys, rows=rows))
 
 
-def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ", split: str | float = 0.7, z_window: int | None = 60, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, cost_per_unit: float = 0.0, *, order_col: str = "ts") -> dict:
+def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ", split: str | float = 0.7, z_window: int | None = 60, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, cost_per_unit: float = 0.0, *, order_col: str = "ts") -> WalkForward:
     """Hedge ratio and OU fit on the train part; spread, z-score and signals on the whole; backtests of either part.
 
     Signals run across the split, so a position can be carried into the test part; its first row then pays the entry cost
@@ -148,21 +148,47 @@ def walk_forward_backtest(prices: DataFrame, y_col: str = "ES", x_col: str = "NQ
     base = prices if INDEX in prices.columns else staged(with_index(prices.select(order_col, y_col, x_col), order_col))
     n = base.count()
     if isinstance(split, float) and 0.0 < split < 1.0:
+        if int(n * split) < LEAST:
+            raise ValueError(f"a fit needs {LEAST} values or more, there are {int(n * split)}")
         at = base.filter(F.col(INDEX) == int(n * split)).select(F.col(order_col).alias("_at"))  # joined, not looked up
     else:
         at = base.sparkSession.range(1).select(split_point(base, split, order_col).alias("_at"))
     hedge, ou, signals = _walk(base, [], y_col, x_col, at, z_window, entry, exit, stop, order_col, n)
-    r = hedge.crossJoin(ou).first()
-    if r.n_obs < LEAST:
-        raise ValueError(f"a fit needs {LEAST} values or more, there are {r.n_obs}")
     value = lambda v: math.nan if v is None else v
-    logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col, cols=[y_col, x_col]).crossJoin(F.broadcast(at)).filter(F.col(order_col) < F.col("_at")).drop("_at")
-    residuals = compute_spread(logs, y_col, x_col, value(r.beta), value(r.alpha), "residual")
+
+    def fitted() -> tuple[HedgeRatio, OUParams]:
+        r = hedge.crossJoin(ou).first()
+        if r.n_obs < LEAST:
+            raise ValueError(f"a fit needs {LEAST} values or more, there are {r.n_obs}")
+        logs = log_prices(base.select(order_col, INDEX, y_col, x_col), order_col=order_col, cols=[y_col, x_col]).crossJoin(F.broadcast(at)).filter(F.col(order_col) < F.col("_at")).drop("_at")
+        residuals = compute_spread(logs, y_col, x_col, value(r.beta), value(r.alpha), "residual")
+        return HedgeRatio(value(r.alpha), value(r.beta), residuals, value(r.r_squared)), OUParams(value(r.theta), value(r.mu), value(r.sigma), 1.0)
+
     part = lambda name: backtest_spread(signals.filter(F.col("part") == name).drop("part"), cost_per_unit=cost_per_unit, order_col=order_col, rows=n)
-    return {
-        "hedge": HedgeRatio(value(r.alpha), value(r.beta), residuals, value(r.r_squared)), "ou": OUParams(value(r.theta), value(r.mu), value(r.sigma), 1.0),
-        "train": part("train"), "test": part("test"), "spread": signals.select(order_col, "spread"), "zscore": signals.select(order_col, "z"),
-    }
+    return WalkForward(
+        fitted, train=lambda: part("train"), test=lambda: part("test"), spread=lambda: signals.select(order_col, "spread"), zscore=lambda: signals.select(order_col, "z"),
+    )
+
+
+class WalkForward(Mapping):
+    """hedge, ou, train, test, spread and zscore, each made when first asked for."""
+
+    def __init__(self, fitted: Callable[[], tuple], **makers: Callable):
+        self.fitted, self.makers, self.made = fitted, makers, {}
+
+    def __getitem__(self, name: str):
+        if name not in self.made:
+            if name in ("hedge", "ou"):
+                self.made["hedge"], self.made["ou"] = self.fitted()
+            else:
+                self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(["hedge", "ou", *self.makers])
+
+    def __len__(self) -> int:
+        return 2 + len(self.makers)
 
 
 def walk_forward_many(prices: DataFrame, partition_cols: Sequence[str], y_col: str = "y", x_col: str = "x", split: str | float = 0.7, z_window: int | None = 60, entry: float = 2.0, exit: float = 0.5, stop: float | None = 4.0, cost_per_unit: float = 0.0, *, order_col: str = "ts") -> dict[str, DataFrame]:

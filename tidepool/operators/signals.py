@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import INDEX, ROWS, cumulative, join_on, one_block, with_index
+from ..functions.ordered import INDEX, ROWS, cumulative, join_on, one_block, staged, with_index
 
 FLAT, LONG, SHORT, STOPPED = range(4)
 POSITION = np.array([0, 1, -1, 0])
@@ -27,6 +27,8 @@ def generate_signals(df: DataFrame, entry: float = 2.0, exit: float = 0.5, stop:
     d = with_index(df, order_col, partition_cols, rows=rows).withColumn("_z", F.when(~F.isnan(F.col(z).cast("double")), F.col(z).cast("double")))
     if exit > entry:
         return _by_blocks(d, entry, exit, stop, name, partition_cols).drop("_z")
+    if not one_block(rows):
+        d = staged(d)  # which is read four times from here on
     size = F.abs("_z")
     at = F.col(INDEX)
     d = cumulative(d, {"_seg": (F.when(size < exit, at), "max")}, partition_cols, rows).withColumn("_seg", F.coalesce("_seg", F.lit(-1)))

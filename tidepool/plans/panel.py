@@ -27,7 +27,7 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, y, x, ES, NQ): logs and prices of a cointegrated pair (slope 1.3) that follows from the raw panel."""
     raw = staged(raw_panel(spark, sf_dir))
     n = raw.count()
-    d = staged(forward_fill(raw, ["a", "r"], 2, rows=n).drop(INDEX).na.drop("any", subset=["a", "r"]))
+    d = forward_fill(raw, ["a", "r"], 2, rows=n).drop(INDEX).na.drop("any", subset=["a", "r"])
     s = d.agg(F.avg("a").alias("ma"), F.stddev_samp("a").alias("sa"), F.avg("r").alias("mr"), F.stddev_samp("r").alias("sr"))
     d = d.crossJoin(F.broadcast(s))  # one row
     d = d.select("ts", ((F.col("a") - F.col("ma")) / F.col("sa")).alias("za"), ((F.col("r") - F.col("mr")) / F.col("sr")).alias("zr"))
