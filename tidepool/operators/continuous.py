@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import INDEX, cumulative, join_on, windowed, with_index
+from ..functions.ordered import INDEX, cumulative, join_on, staged, windowed, with_index
 from .asof import asof_join
 
 ZONE = "America/New_York"
@@ -118,10 +118,11 @@ def active_contracts(sessions: DataFrame, contracts: DataFrame, rule: str = "v",
     else:
         measure = "volume" if rule == "v" else "open_interest"
         days = join_on(sessions, ranked.select("product", "contract", "rank"), ["product", "contract"]).groupBy("product", "session_date").agg(F.max_by("rank", F.struct(F.col(measure), -F.col("rank"))).alias("best"))
-    both = with_index(days.withColumn("_side", F.lit(1)).unionByName(steps, allowMissingColumns=True), "session_date", keys, ["_side"])
+    # a row a session, written when first numbered, as it is read twice at every step from here on
+    both = staged(with_index(staged(days.withColumn("_side", F.lit(1)).unionByName(steps, allowMissingColumns=True)), "session_date", keys, ["_side"]))
     d = cumulative(both, {n: (F.col(n), "max") for n in dates}, keys).filter("_side = 1").drop(INDEX, "_side")
     d = d.withColumns({n: F.coalesce(n, F.lit(1)) for n in dates})
-    d = with_index(d, "session_date", keys)
+    d = staged(with_index(staged(d), "session_date", keys))
     if "rank" not in dates:
         d = windowed(d, {"prior": lambda w: F.lag("best").over(w)}, 1, keys)
         clipped = F.least(F.greatest(F.coalesce("prior", F.lit(1)), "low"), "high")
