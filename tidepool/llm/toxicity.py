@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold != 2")
-    rows = settle(docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != 2).join(known, "doc_id").select("text", "toxic", "fold"))
+    # labels grow with the documents, without a bound: a merge at every size, not a broadcast while they are few
+    rows = settle(docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != 2).join(known.hint("merge"), "doc_id").select("text", "toxic", "fold"))
     counts = count_words(rows.filter("fold < 2")).toPandas()  # at most 3 * BUCKETS rows
     found = np.zeros((2, 3 * BUCKETS))
     found[:, counts.bucket] = counts.toxic, counts.clean
