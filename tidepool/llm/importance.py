@@ -136,8 +136,8 @@ def importance(docs: DataFrame, target: DataFrame, keep: Sequence[str] = ("doc_i
     Of the N rows with at least ``least_words`` words the floor(percent * N / 100) of highest score are drawn and ranked;
     ties go to smaller doc_ids (null last), then to fewer features; other rows have a null rank. Null and empty texts have
     no words and weight 0; texts of any length are read whole; repeated rows are drawn each, with equal noise; extra
-    columns don't matter, whatever their names; an empty table gives an empty result, an empty target lowers every weight
-    alike. ``target`` needs a column ``text``.
+    columns don't matter, whatever their names; an empty table gives an empty result, and an empty target has no counts:
+    rare words weigh more. ``target`` needs a column ``text``.
     """
     once = settle(collapsed(docs.select("text"), most_words, buckets))
     goal = collapsed(target.select("text"), most_words, buckets)
