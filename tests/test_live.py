@@ -2,11 +2,17 @@
 
 import math
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import tidepool as tp
+from tidepool.operators.signals import step
+from tidepool.streaming import live
 from tidepool.streaming.live import live_signals
 
 SCHEMA = "k string, ts timestamp, spread double"
@@ -75,3 +81,87 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
     rows = [("a", 600 * i, float(i % 5)) for i in range(40)]
     got = feed(spark, tmp_path, [rows[10:], [("a", 600 * 41, 1.0)], rows[:10], [("end", END, 0.0)]])
     same([r for r in got if r[0] != "end"], batch(spark, [*rows[10:], ("a", 600 * 41, 1.0)]))
+
+
+class InMemory:
+    """State of one series: as Spark keeps it, but in a dict."""
+
+    def __init__(self):
+        self.of, self.timers = {}, set()
+
+    def state(self, name, *schemas):
+        rows = self.of.setdefault(name, {})
+        one = lambda key=(): rows.get(key)
+        return SimpleNamespace(
+            exists=lambda: bool(rows), get=one, getValue=one, clear=rows.clear, removeKey=lambda key: rows.pop(key),
+            update=lambda value: rows.update({(): value}), put=lambda value: rows.update({(): value}), updateValue=lambda key, value: rows.update({key: value}),
+        )
+
+    getValueState = getListState = getMapState = state
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def through(machine, batches, watermarks):
+    """What a machine gives for micro-batches of (at, v) arrays, each in chunks of 1,000 rows."""
+    handle = InMemory()
+    machine.init(handle)
+    for (at, v), mark in zip(batches, watermarks):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        chunks = (pd.DataFrame({"at_us": at[i : i + 1000], "v_now": v[i : i + 1000]}) for i in range(0, len(at), 1000))
+        assert not list(machine.handleInputRows(("a",), chunks, times))
+        for t in sorted(x for x in handle.timers if x <= mark):
+            yield from machine.handleExpiredTimer(("a",), times, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+            handle.deleteTimer(t)
+    assert not handle.timers and not any(handle.of[x] for x in handle.of if x != "held")
+
+
+def test_memory_of_a_task_does_not_grow_with_a_micro_batch(monkeypatch):
+    monkeypatch.setattr(live, "PIECE", 256, raising=False)
+    monkeypatch.setattr(live, "RUN", 2048, raising=False)
+    n, given = 40_000, 0
+    rng = np.random.default_rng(3)
+    at, v = 1000 * rng.permutation(n), rng.normal(size=n)
+    tracemalloc.start()
+    for pdf in through(live.Machine(["k"], 5, 1.0, 0.4, 2.2), [(at, v)], [10**9]):
+        np.testing.assert_array_equal(pdf["at_us"], 1000 * np.arange(given, given + len(pdf)))
+        given += len(pdf)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert given == n
+    assert most - 16 * n < 4e6  # without the dict that stands for the state
+
+
+@pytest.mark.parametrize("piece", [1, 3, 50])
+def test_runs_give_rows_in_order(monkeypatch, piece):
+    monkeypatch.setattr(live, "PIECE", piece)
+    monkeypatch.setattr(live, "RUN", 6 * piece)
+    rng = np.random.default_rng(piece)
+    batches, marks, low = [], [], 0
+    for n in [700, 3, 0, 40, 900, 1, 250]:
+        at = low * 1000 + rng.integers(0, 400, n) * 500  # many rows of one time
+        v = np.where(rng.random(n) < 0.2, np.nan, rng.integers(-3, 3, n).astype(float))
+        batches.append((at, v))
+        low += int(rng.integers(0, 120))
+        marks.append(low - 1)
+    marks[-1] = 10**9
+    got = pd.concat(through(live.Machine(["k"], 4, 1.0, 0.4, 2.2), batches, marks))
+    at, v = (np.concatenate([b[i] for b in batches]) for i in (0, 1))
+    order = np.lexsort((v, at))
+    np.testing.assert_array_equal(got["at_us"], at[order])
+    np.testing.assert_array_equal(got["v_now"], v[order])
+    z, state, positions = [], 0, []
+    for i in range(len(v)):
+        last = v[order][max(0, i - 3) : i + 1]
+        z.append((last[-1] - last.mean()) / last.std(ddof=1) if len(last) == 4 and last.max() > last.min() else np.nan)
+        state = step(state, z[-1], 1.0, 0.4, 2.2)
+        positions.append([0, 1, -1, 0][state])
+    np.testing.assert_allclose(got["z"], z, atol=1e-12)
+    assert got["position"].tolist() == positions and {-1, 0, 1} == set(positions)
